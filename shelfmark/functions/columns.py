@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,13 @@ def validity(location: Column, hash_value: Column, width: Column, height: Column
         .when(~valid_size(width, height), "size")
         .otherwise("ok")
     )
+
+
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often later steps use them.
+
+    The optimizer copies the definition of a plain column into each filter and column above it.
+    Unfolding a one-element array gives the same rows, and ends that.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
 
-# Leading bytes of each format, in hex; WebP names its variant at byte 12.
+# Leading bytes of each format, in hex; WebP names its variant at byte 8.
 PNG_MAGIC = "89504E470D0A1A0A"
+PNG_FIRST_CHUNK = "49484452"
 GIF_MAGICS = ("474946383761", "474946383961")
 BMP_MAGIC = "424D"
 RIFF_MAGIC = "52494646"
@@ -27,6 +28,20 @@ WEBP_EXTENDED = "5745425056503858"
 JPEG_MAGIC = "FFD8FF"
 TIFF_MAGICS = ("49492A00", "4D4D002A")
 
+# Bytes of the header that hold width and height, most significant first.
+PLACES = {
+    "png": ((16, 17, 18, 19), (20, 21, 22, 23)),
+    "gif": ((7, 6), (9, 8)),
+    "bmp": ((21, 20, 19, 18), (25, 24, 23, 22)),
+    "bmp_os2": ((19, 18), (21, 20)),
+    "webp_lossy": ((27, 26), (29, 28)),
+    "webp_lossless": ((22, 21), (24, 23, 22)),
+    "webp_extended": ((26, 25, 24), (29, 28, 27)),
+}
+# WebP sizes have 14 bits; the lossless height starts at bit 6 of its bytes.
+WEBP_BITS = 0x3FFF
+WEBP_HEIGHT_SHIFT = 6
+
 # The JPEG frame headers (which carry the size) and the markers without a body.
 JPEG_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 JPEG_BARE = frozenset(range(0xD0, 0xD9)) | {0x01}
@@ -35,68 +50,69 @@ TIFF_WIDTH, TIFF_LENGTH = 256, 257
 TIFF_SHORT, TIFF_LONG = 3, 4
 
 
-def _big(header: Column, offset: int, size: int) -> Column:
-    return F.conv(F.substring(header, 2 * offset + 1, 2 * size), 16, 10).cast("bigint")
+def image_header(content: Column) -> Column:
+    """The first 32 bytes in hex: enough for every fixed-place format."""
+    return F.hex(F.substring(content, 1, 32))
+
 
+def _at(header: Column, *places: int) -> Column:
+    digits = [F.substring(header, 2 * place + 1, 2) for place in places]
+    return F.concat(*digits) if len(digits) > 1 else digits[0]
 
-def _little(header: Column, offset: int, size: int) -> Column:
-    digits = [F.substring(header, 2 * (offset + i) + 1, 2) for i in reversed(range(size))]
-    return F.conv(F.concat(*digits), 16, 10).cast("bigint")
 
+def image_format(header: Column) -> Column:
+    """Format name, null for anything unknown."""
 
-def _starts(header: Column, *magics: str) -> Column:
-    return F.substring(header, 1, len(magics[0])).isin(*magics)
+    def starts(magic: str) -> Column:
+        return header.startswith(magic)
 
+    def variant(magic: str) -> Column:
+        return starts(RIFF_MAGIC) & (F.substring(header, 17, 16) == magic)
 
-def _size(width: Column, height: Column) -> Column:
-    return F.struct(width.cast("bigint").alias("width"), height.cast("bigint").alias("height"))
+    return (
+        F.when(starts(PNG_MAGIC) & (F.substring(header, 25, 8) == PNG_FIRST_CHUNK), "png")
+        .when(starts(JPEG_MAGIC), "jpeg")
+        .when(starts(GIF_MAGICS[0]) | starts(GIF_MAGICS[1]), "gif")
+        .when(starts(BMP_MAGIC) & (_at(header, 14, 15, 16, 17) == "0C000000"), "bmp_os2")
+        .when(starts(BMP_MAGIC), "bmp")
+        .when(variant(WEBP_LOSSY), "webp_lossy")
+        .when(variant(WEBP_LOSSLESS), "webp_lossless")
+        .when(variant(WEBP_EXTENDED), "webp_extended")
+        .when(starts(TIFF_MAGICS[0]) | starts(TIFF_MAGICS[1]), "tiff")
+    )
 
 
-def _bits(value: Column, shift: int) -> Column:
-    return F.shiftright(value, shift).bitwiseAND(F.lit(0x3FFF).cast("bigint"))
+def raw_side(header: Column, form: Column, side: int) -> Column:
+    """Number stored for the width (side 0) or height (side 1), null if the file ends before it."""
+    digits = F.when(F.lit(False), "")
+    for name, places in PLACES.items():
+        held = F.length(header) > 2 * max(places[side])
+        digits = digits.when((form == name) & held, _at(header, *places[side]))
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
-def image_header(content: Column) -> Column:
-    """The first 32 bytes in hex: enough for every fixed-place format."""
-    return F.hex(F.substring(content, 1, 32))
+def fixed_width(form: Column, raw: Column) -> Column:
+    return (
+        F.when(form == "webp_lossy", raw.bitwiseAND(WEBP_BITS))
+        .when(form == "webp_lossless", raw.bitwiseAND(WEBP_BITS) + 1)
+        .when(form == "webp_extended", raw + 1)
+        .otherwise(raw)
+    )
 
 
-def fixed_size(header: Column) -> Column:
-    """Size struct for PNG, GIF, BMP and WebP headers, null for anything else."""
-    os2 = _little(header, 14, 4) == 12
-    rows = _little(header, 22, 4)
-    signed = F.when(rows >= 2**31, 2**32 - rows).otherwise(rows)  # top-down bitmaps count negative
-    packed = _little(header, 21, 4)
-    variant = F.substring(header, 17, 16)
+def fixed_height(form: Column, raw: Column) -> Column:
     return (
-        F.when(
-            _starts(header, PNG_MAGIC) & (F.substring(header, 25, 8) == "49484452"),
-            _size(_big(header, 16, 4), _big(header, 20, 4)),
-        )
-        .when(_starts(header, *GIF_MAGICS), _size(_little(header, 6, 2), _little(header, 8, 2)))
-        .when(
-            _starts(header, BMP_MAGIC),
-            F.when(os2, _size(_little(header, 18, 2), _little(header, 20, 2))).otherwise(
-                _size(_little(header, 18, 4), signed)
-            ),
-        )
-        .when(
-            _starts(header, RIFF_MAGIC) & (variant == WEBP_LOSSY),
-            _size(_bits(_little(header, 26, 2), 0), _bits(_little(header, 28, 2), 0)),
-        )
-        .when(
-            _starts(header, RIFF_MAGIC) & (variant == WEBP_LOSSLESS),
-            _size(_bits(packed, 0) + 1, _bits(packed, 14) + 1),
-        )
-        .when(
-            _starts(header, RIFF_MAGIC) & (variant == WEBP_EXTENDED),
-            _size(_little(header, 24, 3) + 1, _little(header, 27, 3) + 1),
-        )
+        F.when(form == "webp_lossy", raw.bitwiseAND(WEBP_BITS))
+        .when(form == "webp_lossless", F.shiftright(raw, WEBP_HEIGHT_SHIFT).bitwiseAND(WEBP_BITS) + 1)
+        .when(form == "webp_extended", raw + 1)
+        # Bitmaps stored from the top down count their rows below zero.
+        .when((form == "bmp") & (raw >= 2**31), 2**32 - raw)
+        .otherwise(raw)
     )
 
 
-def is_chained(header: Column) -> Column:
-    return _starts(header, JPEG_MAGIC) | _starts(header, *TIFF_MAGICS)
+def is_chained(form: Column) -> Column:
+    return form.isin("jpeg", "tiff")
 
 
 def jpeg_size(data: bytes) -> tuple[int, int] | None:

@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.errors import DuplicateImageError
-from shelfmark.operators.joins import lookup_join
+from shelfmark.operators.joins import lookup_join, measured_bytes
+
+# Size of one hash row: 64 digits and its overhead.
+HASH_ROW_BYTES = 80
 
 
 def against_registry(
-    incoming: DataFrame, registered: DataFrame, max_bytes: int | None = None
+    incoming: DataFrame, registered: DataFrame, registered_rows: int | None = None
 ) -> DataFrame:
-    """Incoming rows whose hash is not registered. Copies inside ``incoming`` all stay."""
-    return lookup_join(incoming, registered.select("hash").distinct(), ["hash"], "left_anti", max_bytes)
+    """Incoming rows whose hash is not registered. Copies inside ``incoming`` all stay.
+
+    ``registered_rows`` is an upper bound of the registry's rows, if the caller knows one.
+    """
+    return _by_hash(incoming, registered, "left_anti", registered_rows)
 
 
-def with_hashes(rows: DataFrame, hashes: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """Rows whose hash is among ``hashes``."""
-    return lookup_join(rows, hashes.select("hash").distinct(), ["hash"], "left_semi", max_bytes)
+    return _by_hash(rows, hashes, "left_semi")
+
+
+def _by_hash(
+    rows: DataFrame, hashes: DataFrame, how: str, hash_rows: int | None = None
+) -> DataFrame:
+    wanted = hashes.select("hash")
+    size = measured_bytes(wanted) if hash_rows is None else hash_rows * HASH_ROW_BYTES
+    return lookup_join(rows, wanted.distinct(), ["hash"], how, size)
 
 
 def keep_first(rows: DataFrame, key: str = "hash", order: str = "file_location") -> DataFrame:

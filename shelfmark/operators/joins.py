@@ -61,10 +61,13 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_bytes: int | None = None,
+    right_bytes: int | None = None,
 ) -> DataFrame:
-    """Join a large left side with a lookup side whose size is not known in advance."""
-    limit = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    if measured_bytes(right) <= limit:
+    """Join a large left side with a lookup side: broadcast if small enough, salted otherwise.
+
+    ``right_bytes`` is an upper bound of its size; the side is measured when the caller has none.
+    """
+    size = measured_bytes(right) if right_bytes is None else right_bytes
+    if size <= MAX_BROADCAST_BYTES:
         return left.join(F.broadcast(right), list(on), how)
     return salted_join(left, right, on, how)

@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import (
     content_hash,
+    evaluated,
     file_extension,
     plain_location,
     valid_location,
     valid_size,
 )
-from shelfmark.functions.images import chained_size, fixed_size, image_header, is_chained
+from shelfmark.functions.images import (
+    chained_size,
+    fixed_height,
+    fixed_width,
+    image_format,
+    image_header,
+    is_chained,
+    raw_side,
+)
 from shelfmark.schema import IMAGES, NEW_IMAGE_COLUMNS
 
 # Largest width or height the images table can hold.
@@ -21,16 +30,21 @@ MAX_SIDE = 2**31 - 1
 
 def probe_dimensions(df: DataFrame, content: str = "content") -> DataFrame:
     """Add (width, height) read from the image header; both null for an unknown format."""
-    header = F.col("_header")
-    chained = F.when(is_chained(header), F.col(content))
-    size = F.coalesce(fixed_size(header), chained_size(chained))
-    return (
-        df.withColumn("_header", image_header(F.col(content)))
-        .withColumn("_size", size)
-        .withColumn("width", F.col("_size.width"))
-        .withColumn("height", F.col("_size.height"))
-        .drop("_header", "_size")
+    header, form = F.col("_header"), F.col("_format")
+    headed = evaluated(df, _header=image_header(F.col(content)))
+    known = evaluated(headed, _format=image_format(header))
+    raw = evaluated(
+        known,
+        _wide=raw_side(header, form, 0),
+        _high=raw_side(header, form, 1),
+        _chained=F.when(is_chained(form), F.col(content)),
     )
+    sized = raw.withColumn("_size", chained_size("_chained"))
+    return evaluated(
+        sized,
+        width=F.coalesce(fixed_width(form, F.col("_wide")), "_size.width"),
+        height=F.coalesce(fixed_height(form, F.col("_high")), "_size.height"),
+    ).drop("_header", "_format", "_wide", "_high", "_chained", "_size")
 
 
 def extraction_status(location: Column, width: Column, height: Column) -> Column:
@@ -50,14 +64,17 @@ def extract_metadata(files: DataFrame) -> DataFrame:
     with a status other than ``ok``, so a run goes on and the skipped files can be listed.
     """
     location = plain_location(F.col("path"))
-    probed = probe_dimensions(files.select("path", "length", "content"))
+    hashed = evaluated(
+        files.select("path", "length", "content"), hash=content_hash(F.col("content"))
+    )
+    probed = probe_dimensions(hashed)
     return probed.select(
         "path",
         location.alias("file_location"),
         F.when(F.col("width") <= MAX_SIDE, F.col("width")).cast("int").alias("width"),
         F.when(F.col("height") <= MAX_SIDE, F.col("height")).cast("int").alias("height"),
         file_extension(location).alias("file_type"),
-        content_hash(F.col("content")).alias("hash"),
+        "hash",
         F.col("length").alias("file_size"),
         extraction_status(location, F.col("width"), F.col("height")).alias("status"),
     )

@@ -28,13 +28,13 @@ def hits_column(scores: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
 
 
 def join_vocab(
-    hits: DataFrame, vocab: DataFrame, keys: Sequence[str], max_bytes: int | None = None
+    hits: DataFrame, vocab: DataFrame, keys: Sequence[str], vocab_bytes: int | None = None
 ) -> DataFrame:
     """Rows (keys, category, tag, score, idx) from rows (keys, idx, score).
 
     Positions outside the vocabulary give no tag; tags without a category become ``unknown``.
     """
-    tags = lookup_join(hits, vocab.select("idx", "tag", "category"), ["idx"], "inner", max_bytes)
+    tags = lookup_join(hits, vocab.select("idx", "tag", "category"), ["idx"], "inner", vocab_bytes)
     return tags.select(
         *keys,
         F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category"),
@@ -49,10 +49,10 @@ def decode_hits(
     vocab: DataFrame,
     keys: Sequence[str],
     hits: str = "hits",
-    max_bytes: int | None = None,
+    vocab_bytes: int | None = None,
 ) -> DataFrame:
     """Tags of rows that carry their hits as an array."""
-    return join_vocab(rows.select(*keys, F.inline(hits)), vocab, keys, max_bytes)
+    return join_vocab(rows.select(*keys, F.inline(hits)), vocab, keys, vocab_bytes)
 
 
 def decode_scores(
@@ -61,14 +61,14 @@ def decode_scores(
     keys: Sequence[str],
     threshold: float = DEFAULT_THRESHOLD,
     scores: str = "scores",
-    max_bytes: int | None = None,
+    vocab_bytes: int | None = None,
 ) -> DataFrame:
     """Tags of rows that carry a score vector. The threshold comes before the vocabulary join."""
     cells = scored.select(*keys, F.posexplode(scores).alias("idx", "_v"))
     hits = cells.where(passes(F.col("_v"), threshold)).select(
         *keys, "idx", F.col("_v").cast("double").alias("score")
     )
-    return join_vocab(hits, vocab, keys, max_bytes)
+    return join_vocab(hits, vocab, keys, vocab_bytes)
 
 
 def rank_tags(tags: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
-from shelfmark.operators.joins import lookup_join
+from shelfmark.operators.joins import lookup_join, measured_bytes
 from shelfmark.operators.metadata import extract_metadata, skipped_files, valid_files
 from shelfmark.operators.outcome import SUCCESS, classify, outcome_counts
 from shelfmark.operators.scoring import ScorerFactory, score_assets
@@ -21,10 +21,13 @@ from shelfmark.sources.files import scan_files
 
 
 def fresh_files(
-    valid: DataFrame, registered: DataFrame, on_duplicate: str = "keep_first"
+    valid: DataFrame,
+    registered: DataFrame,
+    on_duplicate: str = "keep_first",
+    registered_rows: int | None = None,
 ) -> DataFrame:
     """Files to score: not registered yet, one per hash."""
-    return within_batch(against_registry(valid, registered), on_duplicate)
+    return within_batch(against_registry(valid, registered, registered_rows), on_duplicate)
 
 
 def with_hits(scored: DataFrame, threshold: float) -> DataFrame:
@@ -32,9 +35,11 @@ def with_hits(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("hits", hits_column(F.col("scores"), threshold)).drop("scores")
 
 
-def classified_files(scored: DataFrame, vocab: DataFrame) -> DataFrame:
+def classified_files(
+    scored: DataFrame, vocab: DataFrame, vocab_bytes: int | None = None
+) -> DataFrame:
     """Scored files (hash, hits, error, ...) with their outcome."""
-    tags = decode_hits(scored, vocab, ["hash"])
+    tags = decode_hits(scored, vocab, ["hash"], vocab_bytes=vocab_bytes)
     return classify(scored.drop("hits"), tags, ["hash"])
 
 
@@ -42,21 +47,24 @@ def successful(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("outcome") == SUCCESS)
 
 
-def new_tag_rows(scored: DataFrame, ids: DataFrame, vocab: DataFrame) -> DataFrame:
+def new_tag_rows(
+    scored: DataFrame, ids: DataFrame, vocab: DataFrame, vocab_bytes: int | None = None
+) -> DataFrame:
     """Tag rows of the files that got an id.
 
     Ids join the one-row-per-file form; tags are unfolded after that, without another shuffle.
     """
     numbered = scored.select("hash", "hits").join(ids.select("hash", "image_id"), "hash")
-    return to_tag_rows(decode_hits(numbered, vocab, ["image_id"]))
+    return to_tag_rows(decode_hits(numbered, vocab, ["image_id"], vocab_bytes=vocab_bytes))
 
 
 def registration_plan(
     scored: DataFrame, vocab: DataFrame, first_id: int | Column
 ) -> tuple[DataFrame, DataFrame]:
     """Image and tag rows of a registration as one lazy plan, nothing stored."""
-    images = numbered_images(successful(classified_files(scored, vocab)), first_id)
-    return images, new_tag_rows(scored, images, vocab)
+    size = measured_bytes(vocab)
+    images = numbered_images(successful(classified_files(scored, vocab, size)), first_id)
+    return images, new_tag_rows(scored, images, vocab, size)
 
 
 @dataclass(frozen=True)
@@ -107,7 +115,10 @@ def register(
     found = metadata.agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != "ok").alias("skipped")
     ).first()
-    fresh = staged(fresh_files(valid_files(metadata), registry.images(), on_duplicate), "fresh")
+    state = registry.state()
+    known = registry.read("images", state).select("hash")
+    valid = valid_files(metadata)
+    fresh = staged(fresh_files(valid, known, on_duplicate, state.rows("images")), "fresh")
     n_fresh = fresh.count()
     result = Registration(
         files=found.files,
@@ -124,13 +135,14 @@ def register(
         bytes_of = files.select("path", F.col(content).alias("content"))
         scored = score_assets(lookup_join(bytes_of, fresh, ["path"], "inner"), scorer)
     scored = staged(with_hits(scored, threshold), "scored")
-    outcomes = staged(classified_files(scored, vocab), "outcomes")
+    vocab_bytes = measured_bytes(vocab)
+    outcomes = staged(classified_files(scored, vocab, vocab_bytes), "outcomes")
     counts = outcome_counts(outcomes).first()
     if counts.any_success:
         with registry.batch(label) as batch:
             new = successful(outcomes).select(*NEW_IMAGE_COLUMNS)
             ids = batch.add_images(new, checked=True)
-            batch.add_new_tags(new_tag_rows(scored, ids, vocab))
+            batch.add_new_tags(new_tag_rows(scored, ids, vocab, vocab_bytes))
     return replace(
         result,
         success=counts.success,

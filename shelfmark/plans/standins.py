@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import content_hash, file_extension
 from shelfmark.operators.dedup import keep_first
-from shelfmark.operators.ids import assign_ids
 from shelfmark.operators.tags import decode_scores, to_tag_rows
 
 # Score threshold that leaves some files without any tag.
@@ -52,10 +51,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "image_id")
 
 
-def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as the registry: one row per hash, dense ids."""
-    known = assets(spark, sf_dir).join(labels(spark, sf_dir), "image_id", "left_semi")
-    return assign_ids(keep_first(known).drop("image_id"))
+def known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as the files registered before: one row per hash."""
+    return keep_first(assets(spark, sf_dir).join(labels(spark, sf_dir), "image_id", "left_semi"))
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:

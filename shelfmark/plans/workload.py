@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from shelfmark.operators import changes, checks, dedup, ids, lookups, metadata,
 from shelfmark.plans import standins as data
 from shelfmark.plans.register import fresh_files, register, registration_plan, with_hits
 from shelfmark.registry import Registry
-from shelfmark.session import new_workspace
+from shelfmark.session import new_workspace, staged
 from shelfmark.sources.vocab import parse_vocab
 from shelfmark.streaming import register as streaming
 
@@ -102,7 +102,7 @@ def vocab_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedup_against_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = data.assets(spark, sf_dir).select("image_id", "hash")
-    return dedup.against_registry(incoming, data.registered(spark, sf_dir))
+    return dedup.against_registry(incoming, data.known_files(spark, sf_dir))
 
 
 @query
@@ -193,29 +193,34 @@ def orphan_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.keep_first(data.assets(spark, sf_dir).select("hash", "file_location"))
-    return ids.assign_ids(rows)
+    return ids.assign_ids(staged(rows, "ids"))
 
 
-def _fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    known = data.registered(spark, sf_dir)
-    return fresh_files(data.assets(spark, sf_dir), known), known
+def _known_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes of the registered files, and the files to add."""
+    known = staged(data.known_files(spark, sf_dir).select("hash"), "known")
+    return known, fresh_files(data.assets(spark, sf_dir), known)
 
 
-def _next_id(known: DataFrame):
+def _next_id(known: DataFrame) -> Column:
     return known.agg(F.count(F.lit(1)) + 1).scalar()
 
 
 @query
 def insert_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh, known = _fresh(spark, sf_dir)
-    return changes.numbered_images(fresh, _next_id(known)).drop("added_at", "updated_at")
+    known, fresh = _known_and_fresh(spark, sf_dir)
+    rows = changes.numbered_images(staged(fresh, "fresh"), _next_id(known))
+    return rows.drop("added_at", "updated_at")
 
 
 @query
 def register_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag rows of the documents that are new, scored and not empty: the whole flow as one plan."""
-    fresh, known = _fresh(spark, sf_dir)
-    scored = with_hits(data.scored_files(fresh, spark, sf_dir), data.THRESHOLD)
+    """Tag rows of the documents that are new, scored and not empty.
+
+    As in the stored flow, hashing and scoring happen once; what follows reads their result.
+    """
+    known, fresh = _known_and_fresh(spark, sf_dir)
+    scored = staged(with_hits(data.scored_files(fresh, spark, sf_dir), data.THRESHOLD), "scored")
     _, new_tags = registration_plan(scored, data.vocab(spark, sf_dir), _next_id(known))
     return new_tags
 

@@ -95,6 +95,10 @@ class State:
             live.append(part)
         return replace(self, parts=tuple(live))
 
+    def rows(self, table: str) -> int:
+        """Rows written to a table since its base: an upper bound of its current rows."""
+        return sum(part.rows for part in self.parts if part.table == table)
+
 
 class Registry:
     """Reads and writes the catalogue below one root folder."""
@@ -107,8 +111,9 @@ class Registry:
 
     def init(self, overwrite: bool = False) -> Registry:
         """Create the catalogue if it is missing. ``overwrite`` starts an empty one, ids from 1."""
+        self._commit(0, None, 1, True, [], mode="ignore")
         state = self._state_or_none()
-        if state is None:
+        if state is None:  # an earlier call stopped half-way
             self._commit(0, None, 1, True, [])
         elif overwrite:
             self._commit(state.batch_id + 1, None, 1, True, [])
@@ -118,7 +123,13 @@ class Registry:
         return os.path.join(self.root, "commits")
 
     def _commit(
-        self, batch_id: int, label: str | None, next_id: int, reset: bool, parts: Sequence[Part]
+        self,
+        batch_id: int,
+        label: str | None,
+        next_id: int,
+        reset: bool,
+        parts: Sequence[Part],
+        mode: str = "overwrite",
     ) -> None:
         record = (
             label,
@@ -128,7 +139,7 @@ class Registry:
         )
         schema = T.StructType(COMMIT.fields[1:])
         target = os.path.join(self._commits_path(), f"batch_id={batch_id}")
-        self.spark.createDataFrame([record], schema).coalesce(1).write.mode("overwrite").json(target)
+        self.spark.createDataFrame([record], schema).coalesce(1).write.mode(mode).json(target)
 
     def _state_or_none(self) -> State | None:
         try:
