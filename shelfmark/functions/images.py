@@ -1,46 +1,40 @@
 """Width and height from an image header.
 
-Formats that keep the size at a fixed place (PNG, GIF, BMP, WebP) are decoded by native
-expressions. Only JPEG and TIFF, whose headers are chains of segments, go through a Pandas UDF,
-and only their bytes are sent to the Python worker.
+The header is parsed in a Pandas UDF. It gets the first bytes of a file only, except for JPEG and
+TIFF, whose headers are chains of segments that may reach anywhere.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Size = tuple[int, int]
+
 SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
 
-# Leading bytes of each format, in hex; WebP names its variant at byte 8.
-PNG_MAGIC = "89504E470D0A1A0A"
-PNG_FIRST_CHUNK = "49484452"
-GIF_MAGICS = ("474946383761", "474946383961")
-BMP_MAGIC = "424D"
-RIFF_MAGIC = "52494646"
-WEBP_LOSSY = "5745425056503820"
-WEBP_LOSSLESS = "574542505650384C"
-WEBP_EXTENDED = "5745425056503858"
-JPEG_MAGIC = "FFD8FF"
-TIFF_MAGICS = ("49492A00", "4D4D002A")
-
-# Bytes of the header that hold width and height, most significant first.
-PLACES = {
-    "png": ((16, 17, 18, 19), (20, 21, 22, 23)),
-    "gif": ((7, 6), (9, 8)),
-    "bmp": ((21, 20, 19, 18), (25, 24, 23, 22)),
-    "bmp_os2": ((19, 18), (21, 20)),
-    "webp_lossy": ((27, 26), (29, 28)),
-    "webp_lossless": ((22, 21), (24, 23, 22)),
-    "webp_extended": ((26, 25, 24), (29, 28, 27)),
-}
-# WebP sizes have 14 bits; the lossless height starts at bit 6 of its bytes.
-WEBP_BITS = 0x3FFF
-WEBP_HEIGHT_SHIFT = 6
+# Leading bytes of each format; WebP names its variant at byte 8.
+PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
+PNG_FIRST_CHUNK = b"IHDR"
+GIF_MAGICS = (b"GIF87a", b"GIF89a")
+BMP_MAGIC = b"BM"
+RIFF_MAGIC = b"RIFF"
+WEBP_LOSSY = b"WEBPVP8 "
+WEBP_LOSSLESS = b"WEBPVP8L"
+WEBP_EXTENDED = b"WEBPVP8X"
+JPEG_MAGIC = b"\xff\xd8\xff"
+TIFF_MAGICS = (b"II*\x00", b"MM\x00*")
+
+# Bytes that hold the size in all formats without a chain; size of the OS/2 bitmap
+# header; bits of a WebP side.
+HEADER_BYTES = 32
+BMP_OS2_HEADER = 12
+WEBP_SIDE_BITS = 14
 
 # The JPEG frame headers (which carry the size) and the markers without a body.
 JPEG_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
@@ -50,93 +44,54 @@ TIFF_WIDTH, TIFF_LENGTH = 256, 257
 TIFF_SHORT, TIFF_LONG = 3, 4
 
 
-def image_header(content: Column) -> Column:
-    """The first 32 bytes in hex: enough for every fixed-place format."""
-    return F.hex(F.substring(content, 1, 32))
-
-
-def _at(header: Column, *places: int) -> Column:
-    digits = [F.substring(header, 2 * place + 1, 2) for place in places]
-    return F.concat(*digits) if len(digits) > 1 else digits[0]
-
-
-def image_format(header: Column) -> Column:
-    """Format name, null for anything unknown."""
-
-    def starts(magic: str) -> Column:
-        return header.startswith(magic)
-
-    def variant(magic: str) -> Column:
-        return starts(RIFF_MAGIC) & (F.substring(header, 17, 16) == magic)
-
-    return (
-        F.when(starts(PNG_MAGIC) & (F.substring(header, 25, 8) == PNG_FIRST_CHUNK), "png")
-        .when(starts(JPEG_MAGIC), "jpeg")
-        .when(starts(GIF_MAGICS[0]) | starts(GIF_MAGICS[1]), "gif")
-        .when(starts(BMP_MAGIC) & (_at(header, 14, 15, 16, 17) == "0C000000"), "bmp_os2")
-        .when(starts(BMP_MAGIC), "bmp")
-        .when(variant(WEBP_LOSSY), "webp_lossy")
-        .when(variant(WEBP_LOSSLESS), "webp_lossless")
-        .when(variant(WEBP_EXTENDED), "webp_extended")
-        .when(starts(TIFF_MAGICS[0]) | starts(TIFF_MAGICS[1]), "tiff")
-    )
-
+def png_size(data: bytes) -> Size | None:
+    return struct.unpack_from(">II", data, 16) if data[12:16] == PNG_FIRST_CHUNK else None
 
-def raw_side(header: Column, form: Column, side: int) -> Column:
-    """Number stored for the width (side 0) or height (side 1), null if the file ends before it."""
-    digits = F.when(F.lit(False), "")
-    for name, places in PLACES.items():
-        held = F.length(header) > 2 * max(places[side])
-        digits = digits.when((form == name) & held, _at(header, *places[side]))
-    return F.conv(digits, 16, 10).cast("bigint")
 
+def gif_size(data: bytes) -> Size:
+    return struct.unpack_from("<HH", data, 6)
 
-def fixed_width(form: Column, raw: Column) -> Column:
-    return (
-        F.when(form == "webp_lossy", raw.bitwiseAND(WEBP_BITS))
-        .when(form == "webp_lossless", raw.bitwiseAND(WEBP_BITS) + 1)
-        .when(form == "webp_extended", raw + 1)
-        .otherwise(raw)
-    )
 
+def bmp_size(data: bytes) -> Size:
+    (header,) = struct.unpack_from("<I", data, 14)
+    if header == BMP_OS2_HEADER:
+        return struct.unpack_from("<HH", data, 18)
+    width, height = struct.unpack_from("<ii", data, 18)
+    return width, abs(height)  # rows stored from the top down count below zero
 
-def fixed_height(form: Column, raw: Column) -> Column:
-    return (
-        F.when(form == "webp_lossy", raw.bitwiseAND(WEBP_BITS))
-        .when(form == "webp_lossless", F.shiftright(raw, WEBP_HEIGHT_SHIFT).bitwiseAND(WEBP_BITS) + 1)
-        .when(form == "webp_extended", raw + 1)
-        # Bitmaps stored from the top down count their rows below zero.
-        .when((form == "bmp") & (raw >= 2**31), 2**32 - raw)
-        .otherwise(raw)
-    )
 
-
-def is_chained(form: Column) -> Column:
-    return form.isin("jpeg", "tiff")
+def webp_size(data: bytes) -> Size | None:
+    side = (1 << WEBP_SIDE_BITS) - 1
+    variant = data[8:16]
+    if variant == WEBP_LOSSY:
+        width, height = struct.unpack_from("<HH", data, 26)
+        return width & side, height & side
+    if variant == WEBP_LOSSLESS:
+        (packed,) = struct.unpack_from("<I", data, 21)
+        return (packed & side) + 1, ((packed >> WEBP_SIDE_BITS) & side) + 1
+    if variant == WEBP_EXTENDED and len(data) >= 30:
+        return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+    return None
 
 
-def jpeg_size(data: bytes) -> tuple[int, int] | None:
+def jpeg_size(data: bytes) -> Size | None:
     """Follow the marker segments to the first frame header."""
     pos = 2
-    while pos + 4 <= len(data):
-        if data[pos] != 0xFF:
-            return None
+    while data[pos] == 0xFF:
         marker = data[pos + 1]
+        if marker in JPEG_FRAMES:
+            height, width = struct.unpack_from(">HH", data, pos + 5)
+            return width, height
         if marker == 0xFF:  # fill byte
             pos += 1
         elif marker in JPEG_BARE:
             pos += 2
-        elif marker in JPEG_FRAMES:
-            if pos + 9 > len(data):
-                return None
-            height, width = struct.unpack_from(">HH", data, pos + 5)
-            return width, height
         else:
             pos += 2 + struct.unpack_from(">H", data, pos + 2)[0]
     return None
 
 
-def tiff_size(data: bytes) -> tuple[int, int] | None:
+def tiff_size(data: bytes) -> Size | None:
     """Read width and length from the first image directory."""
     order = "<" if data[:2] == b"II" else ">"
     (start,) = struct.unpack_from(order + "I", data, 4)
@@ -147,21 +102,40 @@ def tiff_size(data: bytes) -> tuple[int, int] | None:
         if number in (TIFF_WIDTH, TIFF_LENGTH) and kind in (TIFF_SHORT, TIFF_LONG):
             code = "H" if kind == TIFF_SHORT else "I"
             (found[number],) = struct.unpack_from(order + code, data, entry + 8)
-    if len(found) < 2:
-        return None
-    return found[TIFF_WIDTH], found[TIFF_LENGTH]
+    return (found[TIFF_WIDTH], found[TIFF_LENGTH]) if len(found) == 2 else None
+
+
+READERS: list[tuple[bytes, Callable[[bytes], Size | None]]] = [
+    (PNG_MAGIC, png_size),
+    (JPEG_MAGIC, jpeg_size),
+    *[(magic, gif_size) for magic in GIF_MAGICS],
+    (BMP_MAGIC, bmp_size),
+    (RIFF_MAGIC, webp_size),
+    *[(magic, tiff_size) for magic in TIFF_MAGICS],
+]
 
 
-def _chained_size(data: bytes | None) -> tuple[int | None, int | None]:
-    if data is None:
-        return None, None
-    try:
-        return (jpeg_size(data) if data[:2] == b"\xff\xd8" else tiff_size(data)) or (None, None)
-    except struct.error:  # the file ends inside its header
-        return None, None
+def read_size(data: bytes | None) -> Size | tuple[None, None]:
+    """Width and height, or nothing for an unknown format or a header that is cut short."""
+    for magic, reader in READERS:
+        if data and data.startswith(magic):
+            try:
+                return reader(data) or (None, None)
+            except (struct.error, IndexError):
+                break
+    return None, None
 
 
 @F.pandas_udf(SIZE)
-def chained_size(contents: pd.Series) -> pd.DataFrame:
-    sizes = [_chained_size(data) for data in contents]
-    return pd.DataFrame(sizes, columns=SIZE.names).astype("Int64")
+def image_size(headers: pd.Series) -> pd.DataFrame:
+    """Struct (width, height) from header_bytes."""
+    return pd.DataFrame([read_size(h) for h in headers], columns=SIZE.names, dtype="Int64")
+
+
+def header_bytes(content: Column) -> Column:
+    """The part of a file that may hold its size: the first bytes, or all of a JPEG or TIFF."""
+    start = F.hex(F.substring(content, 1, 4))
+    chained = start.startswith(JPEG_MAGIC.hex().upper())
+    for magic in TIFF_MAGICS:
+        chained = chained | (start == magic.hex().upper())
+    return F.when(chained, content).otherwise(F.substring(content, 1, HEADER_BYTES))

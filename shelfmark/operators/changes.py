@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.ids import assign_ids
+from shelfmark.operators.joins import lookup_join
 from shelfmark.schema import IMAGES, NEW_IMAGE_COLUMNS, UPDATABLE_COLUMNS
 
 
@@ -24,11 +25,9 @@ def numbered_images(new: DataFrame, start: int | Column) -> DataFrame:
 
 def last_per_key(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """One row per key, the one that is greatest in ``order``, combined before the shuffle."""
-    return (
-        rows.groupBy(*key)
-        .agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
-        .select("_row.*")
-    )
+    rest = [c for c in rows.columns if c not in key]
+    last = F.max_by(F.struct(*rest), order)
+    return rows.groupBy(*key).agg(last.alias("_row")).select(*key, "_row.*").select(*rows.columns)
 
 
 def one_per_key(batch: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -56,7 +55,7 @@ def changed_images(current: DataFrame, changes: DataFrame) -> DataFrame:
     kept = current.drop(*UPDATABLE_COLUMNS)
     if "updated_at" in kept.columns:
         kept = kept.withColumn("updated_at", F.localtimestamp())
-    return kept.join(changes, "image_id").select(*current.columns)
+    return lookup_join(kept, changes, ["image_id"], unique=True).select(*current.columns)
 
 
 def update_images(current: DataFrame, changes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.operators.joins import lookup_join, measured_bytes
+
 
 def repeated_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -23,18 +25,18 @@ def null_violations(rows: DataFrame, schema: T.StructType, given: Sequence[str])
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Image ids used by ``children`` that ``parents`` lacks, with their number of rows.
 
-    Children are counted per id before the shuffle.
+    Children are counted per id before the shuffle. Only the used ids are looked up, so that a
+    small batch costs one scan of the parents' ids.
     """
     used = children.groupBy("image_id").agg(F.count(F.lit(1)).alias("children"))
-    return used.join(parents.select("image_id"), "image_id", "left_anti")
-
-
-def orphan_rows(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """The child rows themselves; rows per id are bounded by the vocabulary."""
-    return children.join(parents.select("image_id").distinct(), "image_id", "left_anti")
+    size = measured_bytes(used)
+    found = lookup_join(
+        parents.select("image_id"), used.select("image_id"), ["image_id"], "left_semi", size, unique=True
+    )
+    return lookup_join(used, found, ["image_id"], "left_anti", size, unique=True)
 
 
 def in_use(ids: DataFrame, *children: DataFrame) -> DataFrame:
-    """Ids that some child table still refers to."""
+    """Child rows that refer to one of the (distinct) ids, as ids."""
     used = reduce(DataFrame.unionByName, [c.select("image_id") for c in children])
-    return ids.select("image_id").distinct().join(used, "image_id", "left_semi")
+    return lookup_join(used, ids, ["image_id"], "left_semi", unique=True)

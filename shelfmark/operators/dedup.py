@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.errors import DuplicateImageError
-from shelfmark.operators.joins import lookup_join, measured_bytes
+from shelfmark.operators import joins
 
 # Size of one hash row: 64 digits and its overhead.
 HASH_ROW_BYTES = 80
@@ -17,22 +17,24 @@ def against_registry(
 ) -> DataFrame:
     """Incoming rows whose hash is not registered. Copies inside ``incoming`` all stay.
 
+    A small registry is broadcast. For a large one only the incoming hashes are looked up, which
+    keeps the work of a small batch to one scan of the registry's hashes, without a shuffle.
     ``registered_rows`` is an upper bound of the registry's rows, if the caller knows one.
     """
-    return _by_hash(incoming, registered, "left_anti", registered_rows)
+    hashes = registered.select("hash")
+    rows = hashes.count() if registered_rows is None else registered_rows
+    if rows * HASH_ROW_BYTES <= joins.MAX_BROADCAST_BYTES:
+        return incoming.join(F.broadcast(hashes), "hash", "left_anti")
+    candidates = incoming.select("hash").distinct()
+    size = joins.measured_bytes(candidates)
+    known = joins.lookup_join(hashes, candidates, ["hash"], "left_semi", size, unique=True)
+    # Known hashes are some of the candidates, so they are no larger.
+    return joins.lookup_join(incoming, known, ["hash"], "left_anti", size)
 
 
 def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """Rows whose hash is among ``hashes``."""
-    return _by_hash(rows, hashes, "left_semi")
-
-
-def _by_hash(
-    rows: DataFrame, hashes: DataFrame, how: str, hash_rows: int | None = None
-) -> DataFrame:
-    wanted = hashes.select("hash")
-    size = measured_bytes(wanted) if hash_rows is None else hash_rows * HASH_ROW_BYTES
-    return lookup_join(rows, wanted.distinct(), ["hash"], how, size)
+    return joins.lookup_join(rows, hashes.select("hash").distinct(), ["hash"], "left_semi")
 
 
 def keep_first(rows: DataFrame, key: str = "hash", order: str = "file_location") -> DataFrame:
@@ -40,12 +42,9 @@ def keep_first(rows: DataFrame, key: str = "hash", order: str = "file_location")
 
     An aggregation, so copies are combined before the shuffle however many one hash has.
     """
-    row = F.struct(*rows.columns)
-    return (
-        rows.groupBy(F.col(key).alias("_key"))
-        .agg(F.min_by(row, F.struct(order, F.xxhash64(*rows.columns))).alias("_row"))
-        .select("_row.*")
-    )
+    rest = [c for c in rows.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest)))
+    return rows.groupBy(key).agg(first.alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
 def duplicate_hashes(rows: DataFrame) -> DataFrame:

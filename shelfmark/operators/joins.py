@@ -62,12 +62,14 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     right_bytes: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Join a large left side with a lookup side: broadcast if small enough, salted otherwise.
+    """Join a large left side with a lookup side: broadcast if small enough, shuffled otherwise.
 
     ``right_bytes`` is an upper bound of its size; the side is measured when the caller has none.
+    ``unique`` tells that left keys hardly repeat, so that the shuffle needs no salt.
     """
     size = measured_bytes(right) if right_bytes is None else right_bytes
     if size <= MAX_BROADCAST_BYTES:
         return left.join(F.broadcast(right), list(on), how)
-    return salted_join(left, right, on, how)
+    return left.join(right, list(on), how) if unique else salted_join(left, right, on, how)

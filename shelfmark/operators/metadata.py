@@ -13,15 +13,7 @@ from shelfmark.functions.columns import (
     valid_location,
     valid_size,
 )
-from shelfmark.functions.images import (
-    chained_size,
-    fixed_height,
-    fixed_width,
-    image_format,
-    image_header,
-    is_chained,
-    raw_side,
-)
+from shelfmark.functions.images import header_bytes, image_size
 from shelfmark.schema import IMAGES, NEW_IMAGE_COLUMNS
 
 # Largest width or height the images table can hold.
@@ -30,21 +22,11 @@ MAX_SIDE = 2**31 - 1
 
 def probe_dimensions(df: DataFrame, content: str = "content") -> DataFrame:
     """Add (width, height) read from the image header; both null for an unknown format."""
-    header, form = F.col("_header"), F.col("_format")
-    headed = evaluated(df, _header=image_header(F.col(content)))
-    known = evaluated(headed, _format=image_format(header))
-    raw = evaluated(
-        known,
-        _wide=raw_side(header, form, 0),
-        _high=raw_side(header, form, 1),
-        _chained=F.when(is_chained(form), F.col(content)),
+    started = evaluated(df, _header=header_bytes(F.col(content)))
+    sized = started.withColumn("_size", image_size("_header"))
+    return evaluated(sized, width=F.col("_size.width"), height=F.col("_size.height")).drop(
+        "_header", "_size"
     )
-    sized = raw.withColumn("_size", chained_size("_chained"))
-    return evaluated(
-        sized,
-        width=F.coalesce(fixed_width(form, F.col("_wide")), "_size.width"),
-        height=F.coalesce(fixed_height(form, F.col("_high")), "_size.height"),
-    ).drop("_header", "_format", "_wide", "_high", "_chained", "_size")
 
 
 def extraction_status(location: Column, width: Column, height: Column) -> Column:

@@ -28,13 +28,17 @@ def classify(scored: DataFrame, tags: DataFrame, keys: Sequence[str], error: str
     )
 
 
-def outcome_counts(classified: DataFrame) -> DataFrame:
-    """One row: a count per outcome (zero included), the total, and whether any succeeded."""
+def count_columns() -> list[Column]:
+    """A count per outcome (zero included), the total, and whether any succeeded."""
     outcome = F.col("outcome")
-    return classified.agg(
+    return [
         F.count_if(outcome == SUCCESS).alias("success"),
         F.count_if(outcome == FAILURE).alias("failure"),
         F.count_if(outcome == EMPTY).alias("empty"),
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.bool_or(outcome == SUCCESS), F.lit(False)).alias("any_success"),
-    )
+    ]
+
+
+def outcome_counts(classified: DataFrame) -> DataFrame:
+    return classified.agg(*count_columns())

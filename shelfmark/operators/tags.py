@@ -110,11 +110,25 @@ def nest_tags(tags: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame
 
 
 def tag_results(tags: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """One row per image with a map from category to its ordered list of (tag, score)."""
+    """One row per image with a map from category to its ordered list of (tag, score).
+
+    One shuffle: tags are sorted per image and split by category in place.
+    """
+    cells = F.collect_list(
+        F.struct((-F.col("score")).alias("_order"), "idx", "category", "tag", "score")
+    )
+    categories = F.array_distinct("_tags.category")
+
+    def of_category(category: Column) -> Column:
+        members = F.filter("_tags", lambda t: t["category"] == category)
+        return F.transform(members, lambda t: F.struct(t["tag"].alias("tag"), t["score"].alias("score")))
+
     return (
-        nest_tags(tags, keys)
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("category", "tags"))).alias("tags"))
+        tags.groupBy(*keys)
+        .agg(F.array_sort(cells).alias("_tags"))
+        .select(
+            *keys, F.map_from_arrays(categories, F.transform(categories, of_category)).alias("tags")
+        )
     )
 
 

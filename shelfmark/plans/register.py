@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,18 @@ from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
 from shelfmark.operators.joins import lookup_join, measured_bytes
 from shelfmark.operators.metadata import extract_metadata, skipped_files, valid_files
-from shelfmark.operators.outcome import SUCCESS, classify, outcome_counts
+from shelfmark.operators.outcome import SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
 from shelfmark.operators.tags import decode_hits, hits_column, to_tag_rows
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD, NEW_IMAGE_COLUMNS
-from shelfmark.session import staged
+from shelfmark.session import staged, staged_with_counts
 from shelfmark.sources.files import scan_files
 
+# Most files and bytes one scoring task is planned for.
+FILES_PER_TASK = 2000
+BYTES_PER_TASK = 512 * 1024 * 1024
+
 
 def fresh_files(
     valid: DataFrame,
@@ -88,6 +93,12 @@ class Registration:
         return None if self.metadata is None else skipped_files(self.metadata)
 
 
+def scoring_tasks(registry: Registry, files: int, size: int) -> int:
+    """Tasks for the scorer by files and bytes to read; rows of metadata say little about it."""
+    wanted = max(ceil(files / FILES_PER_TASK), ceil(size / BYTES_PER_TASK))
+    return max(wanted, min(files, registry.spark.sparkContext.defaultParallelism))
+
+
 def register(
     registry: Registry,
     files: DataFrame | str,
@@ -111,33 +122,35 @@ def register(
         return Registration()
     if isinstance(files, str):
         files = scan_files(registry.spark, files, recursive)
-    metadata = staged(extract_metadata(files), "metadata")
-    found = metadata.agg(
-        F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != "ok").alias("skipped")
-    ).first()
+    rows = F.count(F.lit(1)).alias("rows")
+    skipped = F.count_if(F.col("status") != "ok").alias("skipped")
+    metadata, found = staged_with_counts(extract_metadata(files), "metadata", rows, skipped)
     state = registry.state()
     known = registry.read("images", state).select("hash")
     valid = valid_files(metadata)
-    fresh = staged(fresh_files(valid, known, on_duplicate, state.rows("images")), "fresh")
-    n_fresh = fresh.count()
+    fresh = fresh_files(valid, known, on_duplicate, state.rows("images"))
+    size = F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")
+    fresh, kept = staged_with_counts(fresh, "fresh", rows, size)
     result = Registration(
-        files=found.files,
+        files=found.rows,
         skipped=found.skipped,
-        known=found.files - found.skipped - n_fresh,
+        known=found.rows - found.skipped - kept.rows,
         metadata=metadata,
     )
-    if n_fresh == 0:
+    if kept.rows == 0:
         return result
 
     if content is None:
-        scored = score_assets(fresh, scorer, content=None)
+        spread = fresh.repartition(scoring_tasks(registry, kept.rows, kept.bytes), "hash")
+        scored = score_assets(spread, scorer, content=None)
     else:
         bytes_of = files.select("path", F.col(content).alias("content"))
         scored = score_assets(lookup_join(bytes_of, fresh, ["path"], "inner"), scorer)
     scored = staged(with_hits(scored, threshold), "scored")
     vocab_bytes = measured_bytes(vocab)
-    outcomes = staged(classified_files(scored, vocab, vocab_bytes), "outcomes")
-    counts = outcome_counts(outcomes).first()
+    outcomes, counts = staged_with_counts(
+        classified_files(scored, vocab, vocab_bytes), "outcomes", *count_columns()
+    )
     if counts.any_success:
         with registry.batch(label) as batch:
             new = successful(outcomes).select(*NEW_IMAGE_COLUMNS)

@@ -17,10 +17,12 @@ There is one writer at a time; readers are free.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ from shelfmark.errors import (
 )
 from shelfmark.operators import changes, checks
 from shelfmark.operators.dedup import duplicate_hashes
+from shelfmark.operators.joins import lookup_join
 from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES
-from shelfmark.session import staged
+from shelfmark.session import empty_table, staged
 
 INSERT, CHANGE, BASE = "insert", "change", "base"
 PUT, DELETE = "U", "D"
@@ -131,15 +134,15 @@ class Registry:
         parts: Sequence[Part],
         mode: str = "overwrite",
     ) -> None:
-        record = (
-            label,
-            next_id,
-            reset,
-            [(p.table, p.kind, p.path, p.rows) for p in parts],
-        )
-        schema = T.StructType(COMMIT.fields[1:])
+        record = {
+            "label": label,
+            "next_image_id": next_id,
+            "reset": reset,
+            "parts": [asdict(part) for part in parts],
+        }
+        line = self.spark.range(1).select(F.lit(json.dumps(record)).alias("value"))
         target = os.path.join(self._commits_path(), f"batch_id={batch_id}")
-        self.spark.createDataFrame([record], schema).coalesce(1).write.mode(mode).json(target)
+        line.coalesce(1).write.mode(mode).text(target)
 
     def _state_or_none(self) -> State | None:
         try:
@@ -191,7 +194,7 @@ class Registry:
 
     def _scan(self, paths: Sequence[str], schema: T.StructType) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*[os.path.join(self.root, p) for p in paths])
 
     def images(self) -> DataFrame:
@@ -314,7 +317,10 @@ class Batch:
             self._refuse_nulls("images", new)
             if not duplicate_hashes(new).isEmpty():
                 raise DuplicateImageError("the batch holds the same hash more than once")
-            if not new.join(self.read("images").select("hash"), "hash", "left_semi").isEmpty():
+            registered = self.read("images").select("hash")
+            if not lookup_join(
+                registered, new.select("hash"), ["hash"], "left_semi", unique=True
+            ).isEmpty():
                 raise DuplicateImageError("a hash is registered already")
         written = self.write("images", INSERT, changes.numbered_images(new, self.next_image_id))
         self.next_image_id += self.parts[-1].rows
@@ -350,26 +356,30 @@ class Batch:
             raise ValueError("nothing to remove")
         if not checks.in_use(wanted, *[self.read(t) for t in CHILD_TABLES]).isEmpty():
             raise ImageInUseError("an image to remove still has tags or a note")
-        gone = self.read("images").join(wanted, "image_id", "left_semi")
+        gone = self._of(self.read("images"), wanted)
         self.write_changes("images", gone, DELETE)
 
     def remove_tags(self, ids: DataFrame | Sequence[int] | int, table: str = "model_tags") -> int:
         """Delete all tags of the given images and return their number."""
-        gone = self.read(table).join(self._ids(ids), "image_id", "left_semi")
+        gone = self._of(self.read(table), self._ids(ids))
         self.write_changes(table, gone, DELETE)
         return self.parts[-1].rows
 
     def archive_tags(self, keys: DataFrame, archived: bool = True) -> None:
         """Set the archive mark of the tags named by (image_id, category, tag)."""
         key = list(TABLES["model_tags"].key)
-        marked = self.read("model_tags").join(keys.select(*key).distinct(), key, "left_semi")
+        wanted = keys.select(*key).distinct()
+        marked = lookup_join(self.read("model_tags"), wanted, key, "left_semi", unique=True)
         self.write_changes("model_tags", marked.withColumn("archived", F.lit(archived)), PUT)
 
     def _ids(self, ids: DataFrame | Sequence[int] | int) -> DataFrame:
         if isinstance(ids, DataFrame):
             return ids.select("image_id").distinct()
         listed = ([ids] if ids else []) if isinstance(ids, int) else list(dict.fromkeys(ids))
-        return self.registry.spark.createDataFrame([(i,) for i in listed], "image_id bigint")
+        return self.registry.spark.createDataFrame(pa.table({"image_id": pa.array(listed, pa.int64())}))
+
+    def _of(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return lookup_join(rows, ids, ["image_id"], "left_semi", unique=True)
 
     def _refuse_nulls(self, table: str, rows: DataFrame) -> None:
         if not checks.null_violations(rows, TABLES[table].schema, rows.columns).isEmpty():

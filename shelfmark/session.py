@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -43,6 +45,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with_counts(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, Row]:
+    """The same, with aggregates over the rows taken while they are written."""
+    seen = Observation()
+    rows = staged(df.observe(seen, *counts), name)
+    return rows, Row(**seen.get)
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form the optimizer recognises as such."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).select(*columns).where(F.lit(False))
+
+
 def local_session(cores: str = "8", memory: str = "8g", app: str = "shelfmark") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")

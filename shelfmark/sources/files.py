@@ -69,6 +69,8 @@ def read_by_path() -> Callable[[str], bytes]:
     filesystems: dict[str, fs.FileSystem] = {}
 
     def read(path: str) -> bytes:
+        if path.startswith("file:"):
+            path = "/" + path.removeprefix("file:").lstrip("/")
         if "://" not in path:
             with open(path, "rb") as stream:
                 return stream.read()
