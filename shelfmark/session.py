@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,6 +59,18 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(1).select(*columns).where(F.lit(False))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, for sessions started without --py-files."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    source = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="shelfmark-"), "shelfmark")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(source), os.path.basename(source))
+    context.addPyFile(archive)
+    context._shelfmark_shipped = True
+
+
 def local_session(cores: str = "8", memory: str = "8g", app: str = "shelfmark") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")

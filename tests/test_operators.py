@@ -1,0 +1,359 @@
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from conftest import rows
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfmark.errors import DuplicateImageError
+from shelfmark.operators import changes, checks, dedup, ids, joins, lookups, outcome, scoring, tags
+
+
+@pytest.fixture
+def skewed(spark):
+    """A third of the rows share the key 0."""
+    keys = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    lookup = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    return keys, lookup
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(skewed, how):
+    left, right = skewed
+    salted = joins.salted_join(left, right, ["k"], how)
+    plain = left.join(right, "k", how)
+    assert salted.columns == plain.columns
+    assert rows(salted) == rows(plain)
+
+
+def test_salt_spreads_the_hot_key(skewed):
+    left, right = skewed
+    hot = joins.hot_keys(left, ["k"])
+    assert rows(hot) == [(0,)]
+    salted = joins.salted_join(left, right, ["k"], "inner")
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_are_few_by_definition(spark):
+    even = spark.range(256 * 4).select((F.col("id") % 256).alias("k"))
+    assert joins.hot_keys(even, ["k"]).count() == 0
+
+
+def test_lookup_side_is_broadcast_only_when_small(skewed, monkeypatch):
+    left, right = skewed
+    small = joins.lookup_join(left, right, ["k"], "left_anti")
+    assert "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 100)
+    large = joins.lookup_join(left, right, ["k"], "left_anti")
+    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(small) == rows(large)
+
+
+def test_measured_bytes_count_text_and_nested_values(spark):
+    df = spark.createDataFrame([("x" * 1000, [1] * 100), (None, None)], "s string, a array<int>")
+    assert 1200 < joins.measured_bytes(df) < 2000
+    assert joins.measured_bytes(df.where(F.lit(False))) == 0
+
+
+@pytest.mark.parametrize("limit", [joins.MAX_BROADCAST_BYTES, 3000, 10])
+def test_copies_pass_the_registry_check(spark, monkeypatch, limit):
+    """At every size limit: broadcast registry, broadcast candidates, and neither."""
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", limit)
+    registry = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    incoming = spark.createDataFrame(
+        [("5", "p"), ("x", "q"), ("x", "r"), ("x", "s"), ("7", "t")], "text string, file_location string"
+    ).withColumn("hash", F.sha2("text", 256))
+    kept = dedup.against_registry(incoming, registry)
+    assert rows(kept, "file_location") == [("q",), ("r",), ("s",)]
+
+
+def test_keep_first_takes_the_smallest_location(spark):
+    df = spark.createDataFrame(
+        [("h1", "b", 1), ("h1", "a", 2), ("h2", "c", 3)], "hash string, file_location string, n int"
+    )
+    assert rows(dedup.keep_first(df)) == [("h1", "a", 2), ("h2", "c", 3)]
+    assert dedup.keep_first(df).columns == df.columns
+
+
+def test_strict_batches_refuse_copies(spark):
+    df = spark.createDataFrame([("h1", "a"), ("h1", "b")], "hash string, file_location string")
+    assert rows(dedup.duplicate_hashes(df)) == [("h1", 2)]
+    with pytest.raises(DuplicateImageError):
+        dedup.within_batch(df, "error")
+    with pytest.raises(ValueError):
+        dedup.within_batch(df, "other")
+    assert dedup.within_batch(df.limit(1), "error").count() == 1
+
+
+@pytest.fixture
+def vocab(spark):
+    data = [(0, "g0", "general"), (1, "c1", "character"), (2, "g2", "general"), (3, "m3", "meta"), (4, "n4", None)]
+    return spark.createDataFrame(data, "idx int, tag string, category string")
+
+
+def _scored(spark, *vectors):
+    data = list(enumerate(vectors, 1))
+    return spark.createDataFrame(data, "image_id bigint, scores array<float>")
+
+
+def test_threshold_is_inclusive_in_32_bit_and_nan_fails(spark, vocab):
+    scored = _scored(spark, [0.2, math.nan, None, 0.1999, 0.3, 9.0])
+    found = tags.decode_scores(scored, vocab, ["image_id"], 0.2)
+    # Position 5 is outside the vocabulary; a missing category becomes unknown.
+    assert rows(found, "idx", "category", "tag") == [(0, "general", "g0"), (4, "unknown", "n4")]
+    nested = scored.withColumn("hits", tags.hits_column(F.col("scores"), 0.2))
+    assert rows(tags.decode_hits(nested, vocab, ["image_id"])) == rows(found)
+
+
+def test_scores_keep_their_32_bit_value(spark, vocab):
+    found = tags.decode_scores(_scored(spark, [0.1]), vocab, ["image_id"], 0.0)
+    assert found.first().score == 0.10000000149011612
+    assert dict(found.dtypes)["score"] == "double"
+
+
+def test_decode_does_not_depend_on_the_broadcast(spark, vocab):
+    rng = random.Random(1)
+    scored = _scored(spark, *[[rng.uniform(-1, 1) for _ in range(5)] for _ in range(50)])
+    small = tags.decode_scores(scored, vocab, ["image_id"], 0.0)
+    large = tags.decode_scores(scored, vocab, ["image_id"], 0.0, vocab_bytes=2**60)
+    assert rows(small) == rows(large)
+
+
+def test_rank_ties_keep_vocabulary_order(spark, vocab):
+    found = tags.decode_scores(_scored(spark, [0.5, 0.7, 0.5, 0.9]), vocab, ["image_id"], 0.0)
+    ranked = tags.rank_tags(found)
+    assert rows(ranked, "category", "rank", "tag") == [
+        ("character", 1, "c1"),
+        ("general", 1, "g0"),
+        ("general", 2, "g2"),
+        ("meta", 1, "m3"),
+    ]
+    assert rows(tags.top_tags(found), "category", "tag") == [
+        ("character", "c1"),
+        ("general", "g0"),
+        ("meta", "m3"),
+    ]
+    assert rows(tags.allowed_tags(found), "tag") == [("c1",), ("g0",), ("g2",)]
+
+
+def test_nested_and_long_forms_agree(spark, vocab):
+    rng = random.Random(2)
+    scored = _scored(spark, *[[rng.choice([-1.0, 0.25, 0.5, 0.75]) for _ in range(5)] for _ in range(40)])
+    found = tags.decode_scores(scored, vocab, ["image_id"], 0.0)
+    results = tags.tag_results(found)
+    long = found.select("image_id", "category", "tag", "score")
+    assert rows(tags.explode_results(results)) == rows(long)
+    unfolded = results.select("image_id", F.explode("tags").alias("category", "tags"))
+    assert rows(unfolded) == rows(tags.nest_tags(found))
+    head = tags.nest_tags(found).select(
+        "image_id", "category", tags.head_tag(F.col("tags"))["tag"].alias("tag")
+    )
+    assert rows(head) == rows(tags.top_tags(found), "image_id", "category", "tag")
+
+
+def test_head_of_an_empty_list_is_null(spark):
+    df = spark.range(1).select(tags.head_tag(F.array().cast(tags.TAG_SCORES)).alias("t"))
+    assert df.first().t is None
+
+
+def test_outcomes(spark, vocab):
+    scored = _scored(spark, [1.0, 1.0], [-1.0], None, [0.0, 0.0, 0.0, 1.0])
+    scored = scored.withColumn("error", F.when(F.col("scores").isNull(), "boom"))
+    found = tags.decode_scores(scored, vocab, ["image_id"], 0.5)
+    classified = outcome.classify(scored, found, ["image_id"])
+    # A file with tags outside the five named categories only is still a success.
+    assert rows(classified, "image_id", "n_tags", "outcome") == [
+        (1, 2, "success"),
+        (2, 0, "empty"),
+        (3, 0, "failure"),
+        (4, 1, "success"),
+    ]
+    assert tuple(outcome.outcome_counts(classified).first()) == (2, 1, 1, 4, True)
+    nothing = outcome.outcome_counts(classified.where(F.lit(False))).first()
+    assert tuple(nothing) == (0, 0, 0, 0, False)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_ids_are_dense_in_hash_order(spark, partitions):
+    df = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    numbered = ids.assign_ids(df.repartition(partitions), 11)
+    found = [r.image_id for r in numbered.orderBy("hash").collect()]
+    assert found == list(range(11, 511))
+
+
+def _half(batch):
+    return [[float(len(b))] for b in batch]
+
+
+def _picky():
+    def score(batch):
+        if b"bad" in batch:
+            raise RuntimeError("cannot read")
+        return [None if b == b"none" else [float(len(b)), 1.0] for b in batch]
+
+    return score
+
+
+def test_a_failing_file_does_not_take_its_batch_along(spark):
+    df = spark.createDataFrame(
+        [(1, b"x"), (2, b"bad"), (3, b"xyz"), (4, b"none"), (5, None)], "id int, content binary"
+    ).coalesce(1)
+    found = scoring.score_assets(df, _picky)
+    assert found.columns == ["id", "scores", "error"]
+    assert rows(found) == [
+        (1, [1.0, 1.0], None),
+        (2, None, "RuntimeError: cannot read"),
+        (3, [3.0, 1.0], None),
+        (4, None, "no result"),
+        (5, None, "no result"),
+    ]
+
+
+def test_files_are_read_by_path(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    df = spark.createDataFrame([(str(tmp_path / "a"),), (str(tmp_path / "b"),)], "path string")
+    found = {r.path[-1]: r for r in scoring.score_assets(df, lambda: _half, content=None).collect()}
+    assert found["a"].scores == [3.0] and found["a"].error is None
+    assert found["b"].scores is None and found["b"].error.startswith("FileNotFoundError")
+
+
+def test_the_scorer_is_set_up_once_per_worker(spark, tmp_path):
+    log = tmp_path / "setups"
+
+    def factory():
+        import os
+
+        with open(log, "a") as stream:
+            stream.write(f"{os.getpid()}\n")
+        return _half
+
+    df = spark.range(64).select(F.col("id").cast("string").cast("binary").alias("content"))
+    scoring.score_assets(df.repartition(16), factory).collect()
+    processes = log.read_text().split()
+    assert len(processes) == len(set(processes))
+
+
+def _add(a, b, c=0):
+    return a + b + c
+
+
+def test_parallel_map_by_position_and_name(spark):
+    df = spark.createDataFrame([(1, 2, 10), (3, 4, 20), (5, 6, 0)], "a long, b long, c long")
+    found = scoring.parallel_map(df, _add, T.LongType(), args=["a", "b"], kwargs=["c"])
+    assert rows(found, "a", "value") == [(1, 13), (3, 27), (5, 11)]
+    named = scoring.parallel_map(df.select("a", "b"), _add, T.LongType(), kwargs=["a", "b"])
+    assert rows(named, "value") == [(11,), (3,), (7,)]
+
+
+def _fail_thirds(n):
+    if n % 3 == 0:
+        raise ValueError(f"bad {n}")
+    return n * 2
+
+
+def test_parallel_map_keeps_errors_or_fails(spark):
+    df = spark.range(10).withColumnRenamed("id", "n")
+    found = scoring.parallel_map(df, _fail_thirds, T.LongType(), args=["n"]).orderBy("n").collect()
+    assert [r.value for r in found] == [None if n % 3 == 0 else n * 2 for n in range(10)]
+    assert [r.n for r in found if r.error] == [0, 3, 6, 9]
+    assert found[3].error == "ValueError: bad 3"
+    with pytest.raises(PythonException):
+        scoring.parallel_map(df, _fail_thirds, T.LongType(), args=["n"], on_error="raise").collect()
+    with pytest.raises(ValueError):
+        scoring.parallel_map(df, _fail_thirds, T.LongType())
+    with pytest.raises(ValueError):
+        scoring.parallel_map(df, _fail_thirds, T.LongType(), args=["n"], on_error="maybe")
+
+
+def test_parallel_map_of_nothing(spark):
+    df = spark.range(0)
+    assert scoring.parallel_map(df, _fail_thirds, T.LongType(), args=["id"]).count() == 0
+
+
+TAG_ROWS = "image_id long, category string, tag string, score double, archived boolean"
+
+
+def test_upsert_replaces_whole_rows(spark):
+    old = spark.createDataFrame([(1, "g", "a", 0.1, True), (1, "g", "b", 0.2, True)], TAG_ROWS)
+    new = spark.createDataFrame(
+        [(1, "g", "a", 0.5, False), (2, "g", "c", 0.3, False), (2, "g", "c", 0.4, False)], TAG_ROWS
+    )
+    key = ["image_id", "category", "tag"]
+    after = changes.upsert(old, new, key)
+    assert rows(after) == [
+        (1, "g", "a", 0.5, False),
+        (1, "g", "b", 0.2, True),
+        (2, "g", "c", 0.4, False),
+    ]
+    assert rows(changes.upsert(after, new, key)) == rows(after)
+
+
+def test_upsert_of_keys_without_further_columns(spark):
+    old = spark.createDataFrame([(1, "g", "a")], "image_id long, category string, tag string")
+    assert changes.upsert(old, old.union(old), old.columns).count() == 1
+
+
+def test_update_writes_nulls_and_ignores_unknown_ids(spark):
+    layout = "image_id long, file_location string, width int, height int, file_type string, hash string, file_size long"
+    old = spark.createDataFrame([(1, "a", 1, 1, "png", "h1", 5), (2, "b", 2, 2, "png", "h2", 6)], layout)
+    new = spark.createDataFrame([(2, "c", None, 9, "gif", "zz", 7), (999, "d", 1, 1, "x", "yy", 1)], layout)
+    wanted = [(1, "a", 1, 1, "png", "h1", 5), (2, "c", None, 9, "gif", "h2", 7)]
+    assert rows(changes.update_images(old, new)) == wanted
+    assert rows(changes.changed_images(old, new)) == wanted[1:]
+
+
+def test_removed_counts_include_zero(spark):
+    found = spark.createDataFrame([(1, "g", "a", 0.1, True), (1, "g", "b", 0.2, True)], TAG_ROWS)
+    wanted = spark.createDataFrame([(1,), (3,), (1,)], "image_id long")
+    assert rows(changes.removed_counts(found, wanted)) == [(1, 2), (3, 0)]
+
+
+@pytest.mark.parametrize("limit", [joins.MAX_BROADCAST_BYTES, 10])
+def test_orphans_and_references(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", limit)
+    children = spark.createDataFrame([(1,), (2,), (2,), (5,)], "image_id long")
+    parents = spark.createDataFrame([(1,), (3,)], "image_id long")
+    assert rows(checks.orphans(children, parents)) == [(2, 2), (5, 1)]
+    assert rows(checks.in_use(parents, children, children)) == [(1,), (1,)]
+    assert rows(checks.repeated_keys(children, ["image_id"])) == [(2, 2)]
+
+
+def test_null_rule(spark):
+    layout = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType())])
+    df = spark.createDataFrame([(1, None), (None, 1)], "a long, b long")
+    assert rows(checks.null_violations(df, layout, df.columns)) == [(None, 1)]
+    assert checks.null_violations(df, layout, ["b"]).count() == 0
+
+
+def test_lookups(spark):
+    images = spark.createDataFrame([(i, f"{i}" * 64) for i in (3, 1, 2)], "image_id long, hash string")
+    assert rows(lookups.by_id(images, 2), "image_id") == [(2,)]
+    assert rows(lookups.contains(images, 2)) == [(True,)]
+    assert rows(lookups.contains(images, 9)) == [(False,)]
+    assert rows(lookups.by_hashes(images, "1" * 64), "image_id") == [(1,)]
+    assert rows(lookups.by_hashes(images, ["1" * 64, "2" * 64, "9" * 64]), "image_id") == [(1,), (2,)]
+    assert lookups.by_hashes(images, []).count() == 0
+    assert rows(lookups.by_hashes(images, images.limit(0)), "image_id") == []
+    assert [r.image_id for r in lookups.listing(images, "image_id", limit=2).collect()] == [1, 2]
+    assert lookups.count_rows(images).first().n == 3
+
+
+def test_tag_lookups(spark):
+    found = spark.createDataFrame(
+        [(1, "g", "a", 0.1, True), (2, "g", "a", 0.2, None), (2, "c", "b", 0.3, False)], TAG_ROWS
+    )
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
+    assert rows(lookups.images_by_tag(images, found, "a", "g")) == [(1,), (2,)]
+    assert rows(lookups.images_by_tag(images, found, "a", "c")) == []
+    wanted = spark.createDataFrame([("b", "c"), ("z", "z")], "tag string, category string")
+    assert rows(lookups.images_by_tags(images, found, wanted)) == [(2,)]
+    assert lookups.active_tags(found).count() == 2
+    manual = spark.createDataFrame([(3, "x", "y")], "image_id long, category string, tag string")
+    union = lookups.all_tags(found, manual)
+    assert rows(union.where("source = 'manual'")) == [(3, "x", "y", None, None, "manual")]
