@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -17,10 +18,9 @@ from shelfmark.sources.files import read_by_path
 Scorer = Callable[[Sequence[bytes]], Sequence[Any]]
 ScorerFactory = Callable[[], Scorer]
 
-SCORE_FIELDS = [
-    T.StructField("scores", T.ArrayType(T.FloatType())),
-    T.StructField("error", T.StringType()),
-]
+POSITIONS = T.StructField("positions", T.ArrayType(T.IntegerType()))
+SCORES = T.StructField("scores", T.ArrayType(T.FloatType()))
+ERROR = T.StructField("error", T.StringType())
 
 _loaded: dict[str, Scorer] = {}
 
@@ -49,6 +49,15 @@ def _score_batch(scorer: Scorer, contents: Sequence[bytes]) -> list[Any]:
         return [result for content in contents for result in _score_batch(scorer, [content])]
 
 
+def _passing(vector: Any, threshold: float) -> tuple[Any, Any]:
+    """Positions and values at or above the threshold, compared as 32-bit floats."""
+    if vector is None:
+        return None, None
+    values = np.asarray(vector, dtype=np.float32)
+    positions = np.flatnonzero(values >= np.float32(threshold)).astype(np.int32)
+    return positions, values[positions]
+
+
 def _read_all(read: Callable[[str], bytes], paths: Sequence[str]) -> list[Any]:
     contents: list[Any] = []
     for path in paths:
@@ -64,6 +73,7 @@ def score_assets(
     factory: ScorerFactory,
     content: str | None = "content",
     path: str = "path",
+    threshold: float | None = None,
     batch_rows: int = 32,
     reader: Callable[[], Callable[[str], bytes]] = read_by_path,
 ) -> DataFrame:
@@ -71,6 +81,9 @@ def score_assets(
 
     With ``content=None`` the tasks read each file by its ``path``, ``batch_rows`` at a time: the
     bytes then never pass through a shuffle or an Arrow batch. Errors are kept per file.
+
+    With a ``threshold`` only the scores that reach it leave the worker, with their positions in
+    ``positions``: a vector over a large vocabulary shrinks to the few tags it gives.
     """
     kept = [f for f in df.schema.fields if f.name != content]
     names = [f.name for f in kept]
@@ -91,14 +104,21 @@ def score_assets(
                         results[i] = result
                 failed = [r is None or isinstance(r, Exception) for r in results]
                 out = rows[names].copy()
-                out["scores"] = [None if f else r for r, f in zip(results, failed, strict=True)]
+                vectors = [None if f else r for r, f in zip(results, failed, strict=True)]
+                if threshold is None:
+                    out["scores"] = vectors
+                else:
+                    passing = [_passing(v, threshold) for v in vectors]
+                    out["positions"] = [p for p, _ in passing]
+                    out["scores"] = [s for _, s in passing]
                 out["error"] = [
                     (_error_text(r) if r is not None else "no result") if f else None
                     for r, f in zip(results, failed, strict=True)
                 ]
                 yield out
 
-    return df.mapInPandas(run, T.StructType([*kept, *SCORE_FIELDS]))
+    vector = [SCORES] if threshold is None else [POSITIONS, SCORES]
+    return df.mapInPandas(run, T.StructType([*kept, *vector, ERROR]))
 
 
 def parallel_map(

@@ -18,15 +18,6 @@ def passes(score: Column, threshold: float) -> Column:
     return (score >= F.lit(threshold).cast("float")) & ~F.isnan(score)
 
 
-def hits_column(scores: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
-    """Positions of a score vector that pass the threshold, as an array of (idx, score)."""
-    cells = F.transform(scores, lambda v, i: F.struct(i.alias("idx"), v.alias("v")))
-    return F.transform(
-        F.filter(cells, lambda c: passes(c["v"], threshold)),
-        lambda c: F.struct(c["idx"].alias("idx"), c["v"].cast("double").alias("score")),
-    )
-
-
 def join_vocab(
     hits: DataFrame, vocab: DataFrame, keys: Sequence[str], vocab_bytes: int | None = None
 ) -> DataFrame:
@@ -45,14 +36,12 @@ def join_vocab(
 
 
 def decode_hits(
-    rows: DataFrame,
-    vocab: DataFrame,
-    keys: Sequence[str],
-    hits: str = "hits",
-    vocab_bytes: int | None = None,
+    rows: DataFrame, vocab: DataFrame, keys: Sequence[str], vocab_bytes: int | None = None
 ) -> DataFrame:
-    """Tags of rows that carry their hits as an array."""
-    return join_vocab(rows.select(*keys, F.inline(hits)), vocab, keys, vocab_bytes)
+    """Tags of rows that carry only the passing scores, with their ``positions``."""
+    cells = F.arrays_zip(F.col("positions").alias("idx"), F.col("scores").alias("score"))
+    hits = rows.select(*keys, F.inline(cells)).withColumn("score", F.col("score").cast("double"))
+    return join_vocab(hits, vocab, keys, vocab_bytes)
 
 
 def decode_scores(

@@ -14,7 +14,7 @@ from shelfmark.operators.joins import lookup_join, measured_bytes
 from shelfmark.operators.metadata import extract_metadata, skipped_files, valid_files
 from shelfmark.operators.outcome import SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
-from shelfmark.operators.tags import decode_hits, hits_column, to_tag_rows
+from shelfmark.operators.tags import decode_hits, to_tag_rows
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD, NEW_IMAGE_COLUMNS
 from shelfmark.session import staged, staged_with_counts
@@ -35,41 +35,30 @@ def fresh_files(
     return within_batch(against_registry(valid, registered, registered_rows), on_duplicate)
 
 
-def with_hits(scored: DataFrame, threshold: float) -> DataFrame:
-    """Shrink each score vector to the few positions that pass, inside the scoring stage."""
-    return scored.withColumn("hits", hits_column(F.col("scores"), threshold)).drop("scores")
-
+def successful(classified: DataFrame) -> DataFrame:
+    return classified.where(F.col("outcome") == SUCCESS)
 
-def classified_files(
-    scored: DataFrame, vocab: DataFrame, vocab_bytes: int | None = None
-) -> DataFrame:
-    """Scored files (hash, hits, error, ...) with their outcome."""
-    tags = decode_hits(scored, vocab, ["hash"], vocab_bytes=vocab_bytes)
-    return classify(scored.drop("hits"), tags, ["hash"])
 
+def registration_plan(
+    files: DataFrame, tags: DataFrame, first_id: int | Column
+) -> tuple[DataFrame, DataFrame]:
+    """Image and tag rows of a registration as one lazy plan, nothing stored.
 
-def successful(classified: DataFrame) -> DataFrame:
-    return classified.where(F.col("outcome") == SUCCESS)
+    ``files`` have been scored (hash, error, ...); ``tags`` are theirs (hash, category, tag, score).
+    """
+    images = numbered_images(successful(classify(files, tags, ["hash"])), first_id)
+    return images, to_tag_rows(tags.join(images.select("hash", "image_id"), "hash"))
 
 
 def new_tag_rows(
     scored: DataFrame, ids: DataFrame, vocab: DataFrame, vocab_bytes: int | None = None
 ) -> DataFrame:
-    """Tag rows of the files that got an id.
+    """Tag rows of the scored files that got an id.
 
     Ids join the one-row-per-file form; tags are unfolded after that, without another shuffle.
     """
-    numbered = scored.select("hash", "hits").join(ids.select("hash", "image_id"), "hash")
-    return to_tag_rows(decode_hits(numbered, vocab, ["image_id"], vocab_bytes=vocab_bytes))
-
-
-def registration_plan(
-    scored: DataFrame, vocab: DataFrame, first_id: int | Column
-) -> tuple[DataFrame, DataFrame]:
-    """Image and tag rows of a registration as one lazy plan, nothing stored."""
-    size = measured_bytes(vocab)
-    images = numbered_images(successful(classified_files(scored, vocab, size)), first_id)
-    return images, new_tag_rows(scored, images, vocab, size)
+    numbered = scored.select("hash", "positions", "scores").join(ids, "hash")
+    return to_tag_rows(decode_hits(numbered, vocab, ["image_id"], vocab_bytes))
 
 
 @dataclass(frozen=True)
@@ -115,8 +104,9 @@ def register(
 
     ``files`` is a folder or a DataFrame (path, length, content). By default the scoring tasks
     read the files that remain by path; ``content="content"`` takes the bytes from the DataFrame
-    instead, for files that exist only there. Nothing is written when no file is valid, all are
-    known, or none succeeds. A ``label`` makes the batch a no-op when it was committed before.
+    instead, for files that exist only there: they then go through a shuffle when the files that
+    remain are too many to broadcast. Nothing is written when no file is valid, all are known, or
+    none succeeds. A ``label`` makes the batch a no-op when it was committed before.
     """
     if label and registry.has_batch(label):
         return Registration()
@@ -142,19 +132,21 @@ def register(
 
     if content is None:
         spread = fresh.repartition(scoring_tasks(registry, kept.rows, kept.bytes), "hash")
-        scored = score_assets(spread, scorer, content=None)
+        scored = score_assets(spread, scorer, content=None, threshold=threshold)
     else:
         bytes_of = files.select("path", F.col(content).alias("content"))
-        scored = score_assets(lookup_join(bytes_of, fresh, ["path"], "inner"), scorer)
-    scored = staged(with_hits(scored, threshold), "scored")
+        with_bytes = lookup_join(bytes_of, fresh, ["path"], "inner", unique=True)
+        scored = score_assets(with_bytes, scorer, threshold=threshold)
+    scored = staged(scored, "scored")
     vocab_bytes = measured_bytes(vocab)
-    outcomes, counts = staged_with_counts(
-        classified_files(scored, vocab, vocab_bytes), "outcomes", *count_columns()
-    )
+    tags = decode_hits(scored, vocab, ["hash"], vocab_bytes)
+    classified = classify(scored.drop("positions", "scores"), tags, ["hash"])
+    outcomes, counts = staged_with_counts(classified, "outcomes", *count_columns())
     if counts.any_success:
         with registry.batch(label) as batch:
             new = successful(outcomes).select(*NEW_IMAGE_COLUMNS)
-            ids = batch.add_images(new, checked=True)
+            # A table of files may list one twice; a folder cannot.
+            ids = batch.add_images(new, checked=content is None)
             batch.add_new_tags(new_tag_rows(scored, ids, vocab, vocab_bytes))
     return replace(
         result,

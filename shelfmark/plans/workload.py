@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from shelfmark.functions.columns import aspect_ratio, total_pixels, validity
 from shelfmark.operators import changes, checks, dedup, ids, lookups, metadata, outcome, scoring, tags
 from shelfmark.plans import standins as data
-from shelfmark.plans.register import fresh_files, register, registration_plan, with_hits
+from shelfmark.plans.register import fresh_files, register, registration_plan
 from shelfmark.registry import Registry
 from shelfmark.session import new_workspace, staged
 from shelfmark.sources.vocab import parse_vocab
@@ -220,8 +220,10 @@ def register_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     As in the stored flow, hashing and scoring happen once; what follows reads their result.
     """
     known, fresh = _known_and_fresh(spark, sf_dir)
-    scored = staged(with_hits(data.scored_files(fresh, spark, sf_dir), data.THRESHOLD), "scored")
-    _, new_tags = registration_plan(scored, data.vocab(spark, sf_dir), _next_id(known))
+    scored = data.scored_files(staged(fresh, "fresh"), spark, sf_dir)
+    found = tags.decode_scores(scored, data.vocab(spark, sf_dir), ["hash"], data.THRESHOLD)
+    files = scored.drop("scores")
+    _, new_tags = registration_plan(files, staged(found, "tags"), _next_id(known))
     return new_tags
 
 

@@ -107,8 +107,18 @@ def test_threshold_is_inclusive_in_32_bit_and_nan_fails(spark, vocab):
     found = tags.decode_scores(scored, vocab, ["image_id"], 0.2)
     # Position 5 is outside the vocabulary; a missing category becomes unknown.
     assert rows(found, "idx", "category", "tag") == [(0, "general", "g0"), (4, "unknown", "n4")]
-    nested = scored.withColumn("hits", tags.hits_column(F.col("scores"), 0.2))
-    assert rows(tags.decode_hits(nested, vocab, ["image_id"])) == rows(found)
+
+
+def test_passing_scores_from_the_scorer_give_the_same_tags(spark, vocab):
+    vectors = [[0.2, math.nan, -1.0, 0.1999, 0.3, 9.0], [0.1, 0.1, 0.1], [0.5] * 5]
+    df = spark.range(1, 4).withColumnRenamed("id", "image_id")
+    files = df.withColumn("content", F.col("image_id").cast("string").cast("binary"))
+    sparse = scoring.score_assets(
+        files, lambda: lambda batch: [vectors[int(b) - 1] for b in batch], threshold=0.2
+    )
+    dense = tags.decode_scores(_scored(spark, *vectors), vocab, ["image_id"], 0.2)
+    assert rows(tags.decode_hits(sparse, vocab, ["image_id"])) == rows(dense)
+    assert rows(sparse, "image_id", "positions") == [(1, [0, 4, 5]), (2, []), (3, [0, 1, 2, 3, 4])]
 
 
 def test_scores_keep_their_32_bit_value(spark, vocab):
