@@ -17,19 +17,20 @@ def against_registry(
 ) -> DataFrame:
     """Incoming rows whose hash is not registered. Copies inside ``incoming`` all stay.
 
-    A small registry is broadcast. For a large one only the incoming hashes are looked up, which
-    keeps the work of a small batch to one scan of the registry's hashes, without a shuffle.
+    A small registry is broadcast. With a large one a small batch looks up its own hashes: one
+    scan of the registry's hashes, without a shuffle. Only two large sides are shuffled.
     ``registered_rows`` is an upper bound of the registry's rows, if the caller knows one.
     """
     hashes = registered.select("hash")
     rows = hashes.count() if registered_rows is None else registered_rows
     if rows * HASH_ROW_BYTES <= joins.MAX_BROADCAST_BYTES:
         return incoming.join(F.broadcast(hashes), "hash", "left_anti")
-    candidates = incoming.select("hash").distinct()
-    size = joins.measured_bytes(candidates)
-    known = joins.lookup_join(hashes, candidates, ["hash"], "left_semi", size, unique=True)
-    # Known hashes are some of the candidates, so they are no larger.
-    return joins.lookup_join(incoming, known, ["hash"], "left_anti", size)
+    if incoming.count() * HASH_ROW_BYTES <= joins.MAX_BROADCAST_BYTES:
+        candidates = incoming.select("hash").distinct()
+        known = hashes.join(F.broadcast(candidates), "hash", "left_semi")
+        # Known hashes are some of the candidates, so they are no larger.
+        return incoming.join(F.broadcast(known), "hash", "left_anti")
+    return joins.salted_join(incoming, hashes, ["hash"], "left_anti")
 
 
 def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 # Upper size of a side that may be copied to every executor.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# A key is hot when it holds more than this share of the rows, so there are fewer than 256 of them.
+# A key is hot when it holds more than this share of the rows seen, so there are at most 256.
 HOT_SHARE = 1 / 256
-HOT_PARTS = 64
+# Rows looked at to find hot keys.
+HOT_SAMPLE_ROWS = 1_000_000
 
 _SALT = "_salt"
 _HOT = "_hot"
@@ -31,22 +32,31 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more than HOT_SHARE of the rows: always fewer than 1 / HOT_SHARE rows."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)))
-    return counts.where(F.col("_n") > total.scalar() * HOT_SHARE).select(*on)
+    """Keys that hold more than HOT_SHARE of the rows; by that share they are few.
+
+    A large table is judged by a repeatable sample. It decides only where rows are processed: a
+    key that is missed, or found in vain, changes no result.
+    """
+    keys = df.select(*on)
+    total = df.count()
+    if total > HOT_SAMPLE_ROWS:
+        keys = keys.sample(HOT_SAMPLE_ROWS / total, seed=total)
+    seen = min(total, HOT_SAMPLE_ROWS)
+    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > seen * HOT_SHARE).select(*on)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Shuffle join in which the rows of a hot left key go to many tasks.
 
-    Left rows of a hot key are spread by a hash of the whole row, so that a retried task repeats
-    its choice; matching right rows are repeated once per part. Exact for every join type that
-    keeps left rows (inner, left, left_semi, left_anti).
+    Left rows of a hot key are spread over as many parts as a shuffle has, by a hash of the whole
+    row, so that a retried task repeats its choice; matching right rows are repeated once per
+    part. Exact for every join type that keeps left rows (inner, left, left_semi, left_anti).
     """
+    n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(left, on).withColumn(_HOT, F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(HOT_PARTS)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(n_parts)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(n_parts - 1))
     salted_left = left.join(hot, list(on), "left").withColumn(
         _SALT, F.when(F.col(_HOT), spread).otherwise(0)
     )

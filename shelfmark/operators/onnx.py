@@ -1,0 +1,49 @@
+"""Scorer that runs an ONNX model, for use with score_assets and the register flows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from typing import Any
+
+import numpy as np
+
+from shelfmark.operators.scoring import Scorer, ScorerFactory
+
+# Execution providers in order of preference.
+PROVIDERS = ("CUDAExecutionProvider", "CPUExecutionProvider")
+
+
+def onnx_scorer(
+    model_file: str, preprocess: Callable[[bytes], np.ndarray], output: int = 1
+) -> ScorerFactory:
+    """Factory of a scorer over the model at a path that every executor can read.
+
+    ``preprocess`` turns the bytes of one file into the model's input for it, without the batch
+    axis; ``output`` is the position of the scores among the model's outputs. A file that
+    ``preprocess`` refuses fails alone.
+    """
+
+    def factory() -> Scorer:
+        import onnxruntime
+
+        usable = [p for p in PROVIDERS if p in onnxruntime.get_available_providers()]
+        session = onnxruntime.InferenceSession(model_file, providers=usable)
+        name = session.get_inputs()[0].name
+
+        def score(contents: Sequence[bytes]) -> list[Any]:
+            results: list[Any] = []
+            for content in contents:
+                try:
+                    results.append(preprocess(content).astype(np.float32))
+                except Exception as error:
+                    results.append(error)
+            ready = [i for i, r in enumerate(results) if isinstance(r, np.ndarray)]
+            if ready:
+                scores = session.run(None, {name: np.stack([results[i] for i in ready])})[output]
+                for i, vector in zip(ready, scores, strict=True):
+                    results[i] = vector
+            return results
+
+        return score
+
+    return factory

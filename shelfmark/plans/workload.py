@@ -398,10 +398,11 @@ def stream_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream of document files."""
     registry = _registry(spark, "stream")
     schema = data.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+    # A pattern, since a stream takes folders and patterns but not the name of one file.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     streaming.stream_register(
         registry,
-        data.as_image(stream.parquet(sf_dir)),
+        data.as_image(stream),
         data.letter_scorer,
         data.vocab(spark, sf_dir),
         new_workspace(spark, "stream-state"),

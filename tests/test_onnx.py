@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from conftest import rows
+
+from shelfmark.operators.onnx import onnx_scorer
+from shelfmark.operators.scoring import score_assets
+
+pytest.importorskip("onnxruntime")
+
+
+def _field(number: int, value: bytes | int) -> bytes:
+    """One protobuf field; everything here is shorter than 128 bytes or numbers."""
+    if isinstance(value, int):
+        return bytes([number << 3, value])
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def _tensor(name: bytes, *sides: int | bytes) -> bytes:
+    dims = b"".join(
+        _field(1, _field(2, s) if isinstance(s, bytes) else _field(1, s)) for s in sides
+    )
+    return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, dims)))
+
+
+@pytest.fixture
+def model_file(tmp_path):
+    """Two outputs: the input itself and its negative."""
+    nodes = [
+        _field(1, _field(1, b"x") + _field(2, b"same") + _field(4, b"Identity")),
+        _field(1, _field(1, b"x") + _field(2, b"minus") + _field(4, b"Neg")),
+    ]
+    graph = (
+        b"".join(nodes)
+        + _field(2, b"g")
+        + _field(11, _tensor(b"x", b"n", 3))
+        + _field(12, _tensor(b"same", b"n", 3))
+        + _field(12, _tensor(b"minus", b"n", 3))
+    )
+    model = _field(1, 8)
+    opset = _field(8, _field(1, b"") + _field(2, 13))
+    long_graph = bytes([7 << 3 | 2, len(graph) & 0x7F | 0x80, len(graph) >> 7]) + graph
+    path = tmp_path / "model.onnx"
+    path.write_bytes(model + long_graph + opset)
+    return str(path)
+
+
+def _three_bytes(content: bytes) -> np.ndarray:
+    if len(content) < 3:
+        raise ValueError("short")
+    return np.frombuffer(content[:3], dtype=np.uint8)
+
+
+def test_onnx_scores(spark, model_file):
+    df = spark.createDataFrame([(1, b"\x01\x02\x03"), (2, b"x"), (3, b"\x04\x05\x06")], "id int, content binary")
+    found = score_assets(df.coalesce(1), onnx_scorer(model_file, _three_bytes))
+    assert rows(found) == [
+        (1, [-1.0, -2.0, -3.0], None),
+        (2, None, "ValueError: short"),
+        (3, [-4.0, -5.0, -6.0], None),
+    ]
+    passing = score_assets(df, onnx_scorer(model_file, _three_bytes, output=0), threshold=2.0)
+    assert rows(passing, "id", "positions") == [(1, [1, 2]), (2, None), (3, [0, 1, 2])]

@@ -45,6 +45,13 @@ def test_hot_keys_are_few_by_definition(spark):
     assert joins.hot_keys(even, ["k"]).count() == 0
 
 
+def test_hot_keys_of_a_large_table_come_from_a_sample(skewed, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_SAMPLE_ROWS", 500)
+    left, right = skewed
+    assert (0,) in rows(joins.hot_keys(left, ["k"]))
+    assert rows(joins.salted_join(left, right, ["k"], "left")) == rows(left.join(right, "k", "left"))
+
+
 def test_lookup_side_is_broadcast_only_when_small(skewed, monkeypatch):
     left, right = skewed
     small = joins.lookup_join(left, right, ["k"], "left_anti")
