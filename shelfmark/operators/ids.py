@@ -18,6 +18,9 @@ def assign_ids(
     before it end. Bucket and order depend on the data alone, so a task that is run again gives
     the same ids, whatever the partitions are. The table of bucket starts is bounded by the
     number of prefixes, so it may be summed in one task and broadcast.
+
+    The input is read twice. Buckets are shuffled by range, so each partition of the result, and
+    each file written from it, holds one range of hashes and of ids.
     """
     bucketed = df.withColumn("_bucket", F.substring(key, 1, BUCKET_DIGITS))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -29,7 +32,8 @@ def assign_ids(
     first = start if isinstance(start, Column) else F.lit(start)
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
-        bucketed.withColumn("_rank", rank)
+        bucketed.repartitionByRange("_bucket")
+        .withColumn("_rank", rank)
         .join(F.broadcast(starts), "_bucket")
         .withColumn(id_column, (first + F.col("_before") + F.col("_rank") - 1).cast("bigint"))
         .drop("_bucket", "_rank", "_before")

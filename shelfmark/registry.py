@@ -261,7 +261,7 @@ class Registry:
             return
         with self.batch() as batch:
             rows = self.read(table, state).repartitionByRange(*TABLES[table].sort)
-            batch.write(table, BASE, rows)
+            batch.write(table, BASE, rows, rebalance=False)
 
 
 @dataclass
@@ -288,12 +288,17 @@ class Batch:
         """Current rows, with the pending writes of this batch."""
         return self.registry.read(table, self.before.with_parts(self.parts))
 
-    def write(self, table: str, kind: str, rows: DataFrame) -> DataFrame:
-        """Write one part, sorted inside its files, and count it on the way."""
+    def write(
+        self, table: str, kind: str, rows: DataFrame, rebalance: bool = True
+    ) -> DataFrame:
+        """Write one part, sorted inside its files, and count it on the way.
+
+        ``rebalance`` evens out the files; rows that are partitioned by range already go without.
+        """
         name = f"batch={self.batch_id}-{len(self.parts)}"
         path = os.path.join(table, name)
         seen = Observation()
-        sized = rows if kind == BASE else rows.hint("rebalance")
+        sized = rows.hint("rebalance") if rebalance else rows
         (
             sized.sortWithinPartitions(*TABLES[table].sort)
             .observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -322,7 +327,8 @@ class Batch:
                 registered, new.select("hash"), ["hash"], "left_semi", unique=True
             ).isEmpty():
                 raise DuplicateImageError("a hash is registered already")
-        written = self.write("images", INSERT, changes.numbered_images(new, self.next_image_id))
+        numbered = changes.numbered_images(new, self.next_image_id)
+        written = self.write("images", INSERT, numbered, rebalance=False)
         self.next_image_id += self.parts[-1].rows
         return written.select("hash", "image_id")
 

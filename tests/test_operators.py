@@ -204,6 +204,25 @@ def test_ids_are_dense_in_hash_order(spark, partitions):
     assert found == list(range(11, 511))
 
 
+def test_partitions_hold_disjoint_ranges_of_ids_and_hashes(spark):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        df = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+        parts = (
+            ids.assign_ids(df)
+            .groupBy(F.spark_partition_id().alias("part"))
+            .agg(F.min("image_id"), F.max("image_id"), F.min("hash"), F.max("hash"))
+            .orderBy("part")
+            .collect()
+        )
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert len(parts) == 4
+    for left, right in zip(parts, parts[1:], strict=False):
+        assert left[2] < right[1] and left[4] < right[3]
+
+
 def _half(batch):
     return [[float(len(b))] for b in batch]
 
