@@ -416,7 +416,7 @@ def stream_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit of work that fails leaves no image; the one after it stores images and tags."""
     registry = _registry(spark, "commit")
-    images = dedup.keep_first(data.assets(spark, sf_dir))
+    images = staged(dedup.keep_first(data.assets(spark, sf_dir)), "images")
 
     def store(then_fail: bool) -> None:
         with registry.batch() as batch:
@@ -441,7 +441,7 @@ def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, update, delete, insert again and compact, through stored batches."""
     registry = _registry(spark, "changes")
-    files = dedup.keep_first(data.assets(spark, sf_dir).drop("image_id"))
+    files = staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files")
     registry.add_images(files)
     large = registry.images().where("height >= 40")
     registry.update_images(

@@ -38,7 +38,7 @@ from shelfmark.operators import changes, checks
 from shelfmark.operators.dedup import duplicate_hashes
 from shelfmark.operators.joins import lookup_join
 from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES
-from shelfmark.session import empty_table, staged
+from shelfmark.session import empty_table, staged_with_counts
 
 INSERT, CHANGE, BASE = "insert", "change", "base"
 PUT, DELETE = "U", "D"
@@ -318,8 +318,9 @@ class Batch:
     def add_images(self, new: DataFrame, checked: bool = False) -> DataFrame:
         """Insert images and give (hash, image_id). ``checked`` skips the null and hash rules."""
         if not checked:
-            new = staged(new.select(*NEW_IMAGE_COLUMNS), "new-images")
-            self._refuse_nulls("images", new)
+            nulls = checks.null_count(TABLES["images"].schema, NEW_IMAGE_COLUMNS).alias("nulls")
+            new, seen = staged_with_counts(new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls)
+            self._refuse_nulls("images", seen.nulls)
             if not duplicate_hashes(new).isEmpty():
                 raise DuplicateImageError("the batch holds the same hash more than once")
             registered = self.read("images").select("hash")
@@ -341,10 +342,15 @@ class Batch:
         layout = TABLES[table]
         if "archived" in layout.columns and "archived" not in rows.columns:
             rows = rows.withColumn("archived", F.lit(False))
-        rows = staged(rows.select([F.col(f.name).cast(f.dataType) for f in layout.schema]), table)
-        if rows.isEmpty():
+        rows, seen = staged_with_counts(
+            rows.select([F.col(f.name).cast(f.dataType) for f in layout.schema]),
+            table,
+            F.count(F.lit(1)).alias("rows"),
+            checks.null_count(layout.schema, layout.columns).alias("nulls"),
+        )
+        if seen.rows == 0:
             return
-        self._refuse_nulls(table, rows)
+        self._refuse_nulls(table, seen.nulls)
         if not checks.orphans(rows, self.read("images")).isEmpty():
             raise ImageNotFoundError(f"{table}: a row refers to an image that is not registered")
         self.write_changes(table, changes.one_per_key(rows, layout.key), PUT)
@@ -387,6 +393,6 @@ class Batch:
     def _of(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
         return lookup_join(rows, ids, ["image_id"], "left_semi", unique=True)
 
-    def _refuse_nulls(self, table: str, rows: DataFrame) -> None:
-        if not checks.null_violations(rows, TABLES[table].schema, rows.columns).isEmpty():
-            raise InvalidRowError(f"{table}: a required column is null")
+    def _refuse_nulls(self, table: str, nulls: int) -> None:
+        if nulls:
+            raise InvalidRowError(f"{table}: a required column is null in {nulls} rows")
