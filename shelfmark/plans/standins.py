@@ -30,7 +30,7 @@ def location(extension: str = ".TXT") -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:

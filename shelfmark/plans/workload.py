@@ -99,10 +99,15 @@ def vocab_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- copies -----------------------------------------------------------------------------------
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the registered files, as a stored table."""
+    return staged(data.known_files(spark, sf_dir).select("hash"), "known")
+
+
 @query
 def dedup_against_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = data.assets(spark, sf_dir).select("image_id", "hash")
-    return dedup.against_registry(incoming, data.known_files(spark, sf_dir))
+    return dedup.against_registry(incoming, _known(spark, sf_dir))
 
 
 @query
@@ -121,7 +126,8 @@ def find_by_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose hash is among those of the toxic documents, their copies included."""
     rows = data.assets(spark, sf_dir).select("image_id", "file_location", "hash")
     toxic = data.labels(spark, sf_dir).where("toxic = 1")
-    return lookups.by_hashes(rows, rows.join(toxic, "image_id", "left_semi"))
+    wanted = rows.join(toxic, "image_id", "left_semi").select("hash").distinct()
+    return lookups.by_hashes(rows, staged(wanted, "wanted"))
 
 
 # ---- tags -------------------------------------------------------------------------------------
@@ -198,7 +204,7 @@ def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _known_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Hashes of the registered files, and the files to add."""
-    known = staged(data.known_files(spark, sf_dir).select("hash"), "known")
+    known = _known(spark, sf_dir)
     return known, fresh_files(data.assets(spark, sf_dir), known)
 
 
