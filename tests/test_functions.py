@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from shelfmark import functions as fn
 from shelfmark.functions.images import read_size
-from shelfmark.operators.metadata import extract_metadata, probe_dimensions, skipped_files, valid_files
+from shelfmark.operators.metadata import (
+    extract_metadata,
+    probe_dimensions,
+    skipped_files,
+    to_image_rows,
+    valid_files,
+)
+from shelfmark.schema import IMAGES
 
 SIDE = st.integers(1, 16000)
 
@@ -126,6 +133,15 @@ def test_metadata_of_files(spark):
     ]
 
 
+def test_metadata_becomes_rows_of_the_images_table(spark):
+    found = to_image_rows(valid_files(extract_metadata(_files(spark, ("file:/x/a.PNG", png(3, 4))))))
+    assert found.columns == IMAGES.names
+    assert [f.dataType for f in found.schema] == [f.dataType for f in IMAGES]
+    row = found.first()
+    assert (row.image_id, row.added_at, row.file_location, row.width) == (None, None, "/x/a.PNG", 3)
+    assert row.hash == hashlib.sha256(png(3, 4)).hexdigest()
+
+
 def test_sizes_beyond_the_table_are_skipped(spark):
     found = extract_metadata(_files(spark, ("file:/x/a.png", png(2**31, 1)))).first()
     assert (found.status, found.width, found.height) == ("size", None, 1)
