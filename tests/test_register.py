@@ -62,6 +62,8 @@ def test_the_flow(registry, vocab, tree):
     result = register(registry, str(tree), last_byte_scorer, vocab)
     assert (result.files, result.skipped, result.known) == (6, 1, 1)
     assert (result.success, result.failure, result.empty) == (2, 1, 1)
+    scored = result.success + result.failure + result.empty
+    assert scored == result.files - result.skipped - result.known
     assert rows(result.skipped_files, "status") == [("unsupported",)]
     assert rows(result.outcomes, "file_type", "outcome", "error") == [
         ("gif", "empty", None),

@@ -45,6 +45,18 @@ def test_adding_nothing_changes_nothing(spark, registry, three_images):
     assert registry.model_tags().count() == 0
 
 
+def test_writes_of_tables_known_to_be_empty(registry):
+    assert registry.remove_tags(99) == 0
+    registry.upsert_tags(registry.model_tags())
+    registry.add_images(registry.images())
+    registry.archive_tags(registry.model_tags())
+    registry.remove_images(99)
+    registry.compact("images")
+    with pytest.raises(ValueError):
+        registry.update_images(registry.images())
+    assert registry.images().count() == registry.model_tags().count() == 0
+
+
 def test_duplicates_are_refused_in_the_batch_and_against_the_registry(spark, registry, three_images):
     with pytest.raises(DuplicateImageError):
         registry.add_images(three_images.union(images(spark, "a")))
