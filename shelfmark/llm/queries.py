@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bloom_cascade, kd_shards, line_runs, poisson_mix
+from shelfmark.llm import (
+    bloom_cascade,
+    doubling,
+    isolation_rules,
+    kd_shards,
+    line_runs,
+    neighbours,
+    pieces,
+    poisson_mix,
+    rff_quality,
+    simhash_ring,
+)
 from shelfmark.llm.common import UPPER, table
 
+TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 SHARDS = 8
 MIN_DOCS = 10
 MIX_SEED = 17
@@ -17,11 +33,29 @@ ALLOW_RULES = [("com", "/"), ("www.example.com", "/en/")]
 BLOCK_RULES = [("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/")]
 
 
+@functools.cache
+def tokenizer_model(path: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model") -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def _code(column: str) -> Column:
     """A place in [0, 1) for a name."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_bytes: where the span of the last piece ends, which is the length of the text."""
+    model = tokenizer_model()
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model).select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("ids_packed", 256).alias("ids_sha256"), F.element_at("ends", -1).alias("source_bytes"),
+    )
+    return pieces.decode(encoded, model).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "source_bytes"
+    )
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions are facts that equal texts share, so that copies part only at a cut."""
     docs = table(spark, sf_dir, "documents")
@@ -37,27 +71,53 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_DOCS)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op5_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_ring.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash_ring.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = poisson_mix.mix(docs, MIX_WEIGHTS, seed=MIX_SEED)
     return mixed.select("doc_id", "source", "copy", "n_copies", "mix_key", F.md5("text").alias("text_md5"))
 
 
+def op7_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = doubling.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isolation_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = bloom_cascade.filter_urls(pages, ALLOW_RULES, BLOCK_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_kd_shards, op4_line_runs, op6_poisson_mix, op9_bloom_cascade)
-}
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_kd_shards, op3_rff_quality, op4_line_runs, op5_simhash_ring,
+        op6_poisson_mix, op7_doubling, op8_isolation_rules, op9_bloom_cascade, op10_minhash,
+    )
+}
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _RULES = ", ".join(
