@@ -177,13 +177,15 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[Fo
 
 def judge(stats: DataFrame, forest: Forest | None, threshold: float) -> DataFrame:
     """Adds odd, the score of the forest (0 without one), and kept: neither failed nor odder than allowed."""
+    columns = stats.columns
+
     def run(batch: pa.RecordBatch) -> dict:
         rows = np.column_stack([batch.column(c).to_numpy() for c in COUNTS])
         odd = forest.odd(ratios(rows)) if forest else np.zeros(len(rows))
-        return {c: batch.column(c) for c in stats.columns} | {"odd": pa.array(odd)}
+        return {c: batch.column(c) for c in columns} | {"odd": pa.array(odd)}
 
     schema = ", ".join(f"{c} {kind}" for c, kind in [*stats.dtypes, ("odd", "double")])
-    judged = arrow_map(stats, stats.columns, schema, run)
+    judged = arrow_map(stats, columns, schema, run)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("odd") < threshold))
 
 
