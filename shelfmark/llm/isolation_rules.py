@@ -19,14 +19,14 @@ from shelfmark.llm.common import arrow_map, texts_of
 from shelfmark.session import staged
 
 MIN_WORDS = 50
-# Labelled rows of good quality, those of least id hash, from which the forest draws: a documented bound.
+# Labelled rows, those of least id hash, from which the forest is made: a documented bound.
 SAMPLE_ROWS = 16_384
 TREES = 128
-TREE_ROWS = 256
+TREE_ROWS = 1024
 DEPTH = 10
 # Cells of odd scores, and the share of good rows that the threshold has to keep.
 CELLS = 1000
-KEEP_GOOD = 0.995
+KEEP_GOOD = 0.999
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = bytes(b"#*$%&|<>")
 
@@ -77,11 +77,10 @@ def rule_counts(docs: DataFrame) -> DataFrame:
 
 
 def ratios(rows: np.ndarray) -> np.ndarray:
-    """What the forest splits on, from rows of COUNTS."""
+    """What the forest splits on, from rows of COUNTS; length itself is left to the base rule."""
     words = np.maximum(rows[:, 0], 1).astype(float)
     return np.column_stack([
-        np.log1p(rows[:, 0]), rows[:, 1] / words, np.sqrt(rows[:, 2] / words),
-        np.sqrt(rows[:, 3]), np.sqrt(rows[:, 4] / words),
+        rows[:, 1] / words, np.sqrt(rows[:, 2] / words), np.sqrt(rows[:, 3]), np.sqrt(rows[:, 4] / words),
     ])
 
 
@@ -91,34 +90,38 @@ def _path_of(n: float) -> float:
 
 
 class Forest:
-    """Trees as arrays: node i has children 2i + 1 and 2i + 2; leaves hold their path length."""
+    """Trees as arrays: node i has children 2i + 1 and 2i + 2; leaves hold their path length.
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 11):
+    The rows of ``sample`` are set apart by splits anywhere between ``low`` and ``high``, also
+    outside the sample's own range: rows out there are then alone after few splits.
+    """
+
+    def __init__(
+        self, sample: np.ndarray, low: np.ndarray, high: np.ndarray,
+        trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 11,
+    ):
         rng = np.random.default_rng(seed)
         size = 2 ** (depth + 1) - 1
         self.depth, self.scale = depth, max(_path_of(min(rows, len(sample))), 1.0)
         self.dim = np.zeros((trees, size), np.int64)
         self.cut = np.full((trees, size), np.inf)
         self.path = np.zeros((trees, size))
-        # splits reach a little beyond the sample, so that rows outside its range are set apart early
-        spread = sample.max(axis=0) - sample.min(axis=0)
         for tree in range(trees):
             chosen = sample[rng.choice(len(sample), min(rows, len(sample)), replace=False)]
-            low, high = chosen.min(axis=0) - 0.1 * spread, chosen.max(axis=0) + 0.1 * spread
             stack = [(0, chosen, 0, low, high)]
             while stack:
-                node, part, level, low, high = stack.pop()
+                node, part, level, begin, end = stack.pop()
                 self.path[tree, node] = level + _path_of(len(part))
-                if level == depth or len(part) < 2 or not (high > low).any():
+                if level == depth or len(part) < 2 or not (end > begin).any():
                     continue
-                dim = rng.choice(np.flatnonzero(high > low))
-                cut = rng.uniform(low[dim], high[dim])
+                dim = rng.choice(np.flatnonzero(end > begin))
+                cut = rng.uniform(begin[dim], end[dim])
                 self.dim[tree, node], self.cut[tree, node] = dim, cut
                 left = part[:, dim] < cut
-                left_high, right_low = high.copy(), low.copy()
-                left_high[dim] = right_low[dim] = cut
-                stack.append((2 * node + 1, part[left], level + 1, low, left_high))
-                stack.append((2 * node + 2, part[~left], level + 1, right_low, high))
+                left_end, right_begin = end.copy(), begin.copy()
+                left_end[dim] = right_begin[dim] = cut
+                stack.append((2 * node + 1, part[left], level + 1, begin, left_end))
+                stack.append((2 * node + 2, part[~left], level + 1, right_begin, end))
 
     def odd(self, rows: np.ndarray) -> np.ndarray:
         """Between 0 and 1; the shorter the mean path, the higher."""
@@ -141,7 +144,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[Fo
     """Forest and threshold; stats: rows of ``rule_counts``, labels: (doc_id, label).
 
     The threshold is the one that sets apart most bad rows beyond good ones, among those that keep
-    at least KEEP_GOOD of the good. Without good rows that pass the base rules there is no forest,
+    at least KEEP_GOOD of the good. Trees hold good rows; bad ones only widen the range of splits.
+    Without good rows that pass the base rules there is no forest,
     and without bad ones the threshold keeps all labelled rows.
     """
     known = staged(
@@ -149,11 +153,11 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[Fo
         .where("label IS NOT NULL").select("doc_id", "label", *COUNTS),
         "rules-known",
     )
-    good = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = good.select(*COUNTS).toPandas().to_numpy(np.int64)
-    if not len(sample):
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).toPandas()
+    rows, good = ratios(sample[COUNTS].to_numpy(np.int64)), (sample["label"] == 1).to_numpy(bool)
+    if not good.any():
         return None, 1.0
-    forest = Forest(ratios(sample))
+    forest = Forest(rows[good], rows.min(axis=0), rows.max(axis=0))
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
