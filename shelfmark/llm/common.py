@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many bytes or elements of a column, or of one row."""
+    values = batch.column(column)
+    count = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    start, total = 0, 0
+    for i, size in enumerate(pc.fill_null(count(values), 0).to_pylist()):
+        if i > start and total + size > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def arrow_map(
     df: DataFrame, columns: Sequence[str], schema: str, rows: Callable[[pa.RecordBatch], dict]
 ) -> DataFrame:

@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from shelfmark.llm.common import texts_of
+from shelfmark.llm.common import slices, texts_of
 
 SPACE = "▁".encode()
+# Text and ids handled at a time: lists of ids take many times the memory of their text.
+SLICE_BYTES = 1024 * 1024
+SLICE_IDS = 512 * 1024
 _BYTE, _CONTROL, _USER = 6, 3, 4
 
 
@@ -174,7 +177,7 @@ def encode(docs: DataFrame, model: bytes, begin: bool = True, end: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _model(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             texts = texts_of(batch)
             found = loaded.processor.encode(
                 [t.decode() for t in texts], num_threads=1, add_bos=begin, add_eos=end
@@ -207,7 +210,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _model(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ids, SLICE_IDS)):
             lists = batch.column(ids).to_pylist()
             texts = loaded.processor.decode([x or [] for x in lists], num_threads=1) if lists else []
             texts = [None if x is None else t for x, t in zip(lists, texts, strict=True)]
