@@ -19,3 +19,7 @@ class ImageInUseError(CatalogueError):
 
 class InvalidRowError(CatalogueError):
     """A row breaks a NOT NULL or key rule."""
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another writer committed first; the batch left nothing that readers see."""

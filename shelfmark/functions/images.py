@@ -1,13 +1,13 @@
 """Width and height from an image header.
 
-The header is parsed in a Pandas UDF. It gets the first bytes of a file only, except for JPEG and
-TIFF, whose headers are chains of segments that may reach anywhere.
+For bytes in a table, formats with the size at a fixed offset are column expressions; a Pandas UDF
+follows the segments of JPEG and TIFF, on the first bytes and only where these end too early on the
+whole file. Tasks that read files themselves follow those segments as they read.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,34 +44,12 @@ TIFF_WIDTH, TIFF_LENGTH = 256, 257
 TIFF_SHORT, TIFF_LONG = 3, 4
 
 
-def png_size(data: bytes) -> Size | None:
-    return struct.unpack_from(">II", data, 16) if data[12:16] == PNG_FIRST_CHUNK else None
+# Bytes of a JPEG or TIFF that are looked at first; the whole file follows if they do not tell.
+CHAIN_PREFIX = 64 * 1024
 
 
-def gif_size(data: bytes) -> Size:
-    return struct.unpack_from("<HH", data, 6)
-
-
-def bmp_size(data: bytes) -> Size:
-    (header,) = struct.unpack_from("<I", data, 14)
-    if header == BMP_OS2_HEADER:
-        return struct.unpack_from("<HH", data, 18)
-    width, height = struct.unpack_from("<ii", data, 18)
-    return width, abs(height)  # rows stored from the top down count below zero
-
-
-def webp_size(data: bytes) -> Size | None:
-    side = (1 << WEBP_SIDE_BITS) - 1
-    variant = data[8:16]
-    if variant == WEBP_LOSSY:
-        width, height = struct.unpack_from("<HH", data, 26)
-        return width & side, height & side
-    if variant == WEBP_LOSSLESS:
-        (packed,) = struct.unpack_from("<I", data, 21)
-        return (packed & side) + 1, ((packed >> WEBP_SIDE_BITS) & side) + 1
-    if variant == WEBP_EXTENDED and len(data) >= 30:
-        return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
-    return None
+class CutShort(Exception):
+    """The bytes end before the size is told."""
 
 
 def jpeg_size(data: bytes) -> Size | None:
@@ -105,37 +83,91 @@ def tiff_size(data: bytes) -> Size | None:
     return (found[TIFF_WIDTH], found[TIFF_LENGTH]) if len(found) == 2 else None
 
 
-READERS: list[tuple[bytes, Callable[[bytes], Size | None]]] = [
-    (PNG_MAGIC, png_size),
-    (JPEG_MAGIC, jpeg_size),
-    *[(magic, gif_size) for magic in GIF_MAGICS],
-    (BMP_MAGIC, bmp_size),
-    (RIFF_MAGIC, webp_size),
-    *[(magic, tiff_size) for magic in TIFF_MAGICS],
-]
+def chained_size(data: bytes) -> Size | None:
+    """Size of a JPEG or TIFF, None for anything else; CutShort if more bytes could tell."""
+    if not data.startswith((JPEG_MAGIC, *TIFF_MAGICS)):
+        return None
+    reader = jpeg_size if data.startswith(JPEG_MAGIC) else tiff_size
+    try:
+        return reader(data)
+    except (struct.error, IndexError) as error:
+        raise CutShort from error
+
+
+CHAINED = T.StructType([*SIZE.fields, T.StructField("cut", T.BooleanType())])
+
 
+@F.pandas_udf(CHAINED)
+def chained_sizes(contents: pd.Series) -> pd.DataFrame:
+    """Struct (width, height, cut) of JPEG and TIFF bytes; cut: more bytes could tell."""
+    rows = []
+    for data in contents:
+        try:
+            width, height = (chained_size(data) if data is not None else None) or (None, None)
+            rows.append((width, height, False))
+        except CutShort:
+            rows.append((None, None, True))
+    frame = pd.DataFrame(rows, columns=CHAINED.names)
+    return frame.astype({"width": "Int64", "height": "Int64", "cut": bool})
 
-def read_size(data: bytes | None) -> Size | tuple[None, None]:
-    """Width and height, or nothing for an unknown format or a header that is cut short."""
-    for magic, reader in READERS:
-        if data and data.startswith(magic):
-            try:
-                return reader(data) or (None, None)
-            except (struct.error, IndexError):
-                break
-    return None, None
 
+def starts_with(content: Column, magic: bytes) -> Column:
+    return F.substring(content, 1, len(magic)) == F.lit(bytearray(magic))
 
-@F.pandas_udf(SIZE)
-def image_size(headers: pd.Series) -> pd.DataFrame:
-    """Struct (width, height) from header_bytes."""
-    return pd.DataFrame([read_size(h) for h in headers], columns=SIZE.names, dtype="Int64")
 
+def _unsigned(content: Column, start: int, size: int, little: bool) -> Column:
+    """An unsigned number at a byte offset; null where the bytes end before it."""
+    places = range(start, start + size)
+    digits = [F.hex(F.substring(content, p + 1, 1)) for p in (reversed(places) if little else places)]
+    whole = F.length(content) >= start + size
+    return F.when(whole, F.conv(F.concat(*digits), 16, 10).cast("bigint"))
 
-def header_bytes(content: Column) -> Column:
-    """The part of a file that may hold its size: the first bytes, or all of a JPEG or TIFF."""
-    start = F.hex(F.substring(content, 1, 4))
-    chained = start.startswith(JPEG_MAGIC.hex().upper())
+
+def _signed(number: Column) -> Column:
+    return F.when(number >= 2**31, number - 2**32).otherwise(number)
+
+
+def fixed_size(content: Column) -> Column:
+    """Struct (width, height) of a PNG, GIF, BMP or WebP file; null for all others."""
+
+    def number(start: int, size: int, little: bool = True) -> Column:
+        return _unsigned(content, start, size, little)
+
+    def size(width: Column, height: Column) -> Column:
+        both = F.struct(width.alias("width"), height.alias("height"))
+        return F.when(width.isNotNull() & height.isNotNull(), both)
+
+    def is_at(start: int, mark: bytes) -> Column:
+        return F.substring(content, start + 1, len(mark)) == F.lit(bytearray(mark))
+
+    side = (1 << WEBP_SIDE_BITS) - 1
+    packed = number(21, 4)
+    webp = (
+        F.when(is_at(8, WEBP_LOSSY), size(number(26, 2).bitwiseAND(F.lit(side)), number(28, 2).bitwiseAND(F.lit(side))))
+        .when(
+            is_at(8, WEBP_LOSSLESS),
+            size(
+                packed.bitwiseAND(F.lit(side)) + 1,
+                F.shiftright(packed, WEBP_SIDE_BITS).bitwiseAND(F.lit(side)) + 1,
+            ),
+        )
+        .when(is_at(8, WEBP_EXTENDED), size(number(24, 3) + 1, number(27, 3) + 1))
+    )
+    bmp = F.when(number(14, 4) == BMP_OS2_HEADER, size(number(18, 2), number(20, 2))).otherwise(
+        size(_signed(number(18, 4)), F.abs(_signed(number(22, 4))))
+    )
+    gif = starts_with(content, GIF_MAGICS[0]) | starts_with(content, GIF_MAGICS[1])
+    return (
+        F.when(starts_with(content, PNG_MAGIC), F.when(is_at(12, PNG_FIRST_CHUNK), size(number(16, 4, False), number(20, 4, False))))
+        .when(gif, size(number(6, 2), number(8, 2)))
+        .when(starts_with(content, BMP_MAGIC), bmp)
+        .when(starts_with(content, RIFF_MAGIC), webp)
+    )
+
+
+def is_chained(content: Column) -> Column:
+    """JPEG and TIFF keep their size in chains of segments that may reach anywhere."""
+    found = starts_with(content, JPEG_MAGIC)
     for magic in TIFF_MAGICS:
-        chained = chained | (start == magic.hex().upper())
-    return F.when(chained, content).otherwise(F.substring(content, 1, HEADER_BYTES))
+        found = found | starts_with(content, magic)
+    return found

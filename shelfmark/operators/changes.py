@@ -39,11 +39,15 @@ def one_per_key(batch: DataFrame, key: Sequence[str]) -> DataFrame:
     return last_per_key(batch, key, F.struct(*ranked))
 
 
+def replaced(current: DataFrame, touched: DataFrame, live: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The table after changes: rows of touched keys give way to the live ones, all others stay."""
+    return current.join(touched, list(key), "left_anti").unionByName(live)
+
+
 def upsert(current: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the batch replace whole rows of the same key; all others stay."""
     settled = one_per_key(batch.select(*current.columns), key)
-    kept = current.join(settled.select(*key), list(key), "left_anti")
-    return kept.unionByName(settled)
+    return replaced(current, settled.select(*key), settled, key)
 
 
 def changed_images(current: DataFrame, changes: DataFrame) -> DataFrame:
@@ -60,24 +64,14 @@ def changed_images(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 def update_images(current: DataFrame, changes: DataFrame) -> DataFrame:
     """The images table after a bulk update."""
-    source = one_per_key(changes.select("image_id", *UPDATABLE_COLUMNS), ["image_id"])
-    source = source.select("image_id", F.struct(*UPDATABLE_COLUMNS).alias("_new"))
-    matched = F.col("_new").isNotNull()
-    joined = current.join(source, "image_id", "left")
-
-    def column(name: str) -> Column:
-        if name in UPDATABLE_COLUMNS:
-            return F.when(matched, F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
-        if name == "updated_at":
-            return F.when(matched, F.localtimestamp()).otherwise(F.col(name)).alias(name)
-        return F.col(name)
-
-    return joined.select(*[column(c) for c in current.columns])
+    changed = changed_images(current, changes)
+    return replaced(current, changed.select("image_id"), changed, ["image_id"])
 
 
 def remove_rows(current: DataFrame, ids: DataFrame, key: str = "image_id") -> DataFrame:
     """Rows whose id is not in ``ids``; ids that do not occur are ignored."""
-    return current.join(ids.select(key).distinct(), key, "left_anti")
+    gone = ids.select(key).distinct()
+    return replaced(current, gone, current.limit(0), [key])
 
 
 def removed_counts(tags: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,10 +15,6 @@ from shelfmark.operators import joins
 ID_ROW_BYTES = 16
 
 
-def repeated_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-
-
 def breaks_null_rule(schema: T.StructType, given: Sequence[str]) -> Column:
     """Whether a row has a null in a NOT NULL column, among the columns the caller gives."""
     required = [F.col(f.name).isNull() for f in schema.fields if not f.nullable and f.name in given]
@@ -29,10 +25,6 @@ def null_count(schema: T.StructType, given: Sequence[str]) -> Column:
     return F.count_if(breaks_null_rule(schema, given))
 
 
-def null_violations(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    return rows.where(breaks_null_rule(schema, rows.columns))
-
-
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Image ids used by ``children`` that ``parents`` lacks, with their number of rows.
 

@@ -53,8 +53,12 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str)
     row, so that a retried task repeats its choice; matching right rows are repeated once per
     part. Exact for every join type that keeps left rows (inner, left, left_semi, left_anti).
     """
-    n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(left, on).withColumn(_HOT, F.lit(True)))
+    spark = left.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = hot_keys(left, on)
+    # fetched once (at most 256 rows): both sides must agree on them, whatever a sample gives
+    keys = spark.createDataFrame(found.collect(), found.schema)
+    hot = F.broadcast(keys.withColumn(_HOT, F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(n_parts)).cast("int")
     parts = F.sequence(F.lit(0), F.lit(n_parts - 1))
     salted_left = left.join(hot, list(on), "left").withColumn(

@@ -13,8 +13,8 @@ from shelfmark.functions.columns import (
     valid_location,
     valid_size,
 )
-from shelfmark.functions.images import header_bytes, image_size
-from shelfmark.schema import IMAGES, NEW_IMAGE_COLUMNS
+from shelfmark.functions.images import CHAIN_PREFIX, chained_sizes, fixed_size, is_chained
+from shelfmark.sources.files import TOO_LARGE, probe_files
 
 # Largest width or height the images table can hold.
 MAX_SIDE = 2**31 - 1
@@ -22,17 +22,29 @@ MAX_SIDE = 2**31 - 1
 
 def probe_dimensions(df: DataFrame, content: str = "content") -> DataFrame:
     """Add (width, height) read from the image header; both null for an unknown format."""
-    started = evaluated(df, _header=header_bytes(F.col(content)))
-    sized = started.withColumn("_size", image_size("_header"))
-    return evaluated(sized, width=F.col("_size.width"), height=F.col("_size.height")).drop(
-        "_header", "_size"
-    )
-
-
-def extraction_status(location: Column, width: Column, height: Column) -> Column:
-    """``ok``, or why a file is skipped: ``unsupported``, ``size`` or ``location``."""
+    bytes_ = F.col(content)
+    chained = F.when(is_chained(bytes_), bytes_)
+    first = df.withColumn("_first", chained_sizes(F.substring(chained, 1, CHAIN_PREFIX)))
+    longer = F.col("_first.cut") & (F.length(bytes_) > CHAIN_PREFIX)
+    whole = first.withColumn("_whole", chained_sizes(F.when(longer, bytes_)))
+    fixed = evaluated(whole, _fixed=fixed_size(bytes_))
+    return fixed.withColumns(
+        {side: F.coalesce(f"_fixed.{side}", f"_first.{side}", f"_whole.{side}") for side in ("width", "height")}
+    ).drop("_first", "_whole", "_fixed")
+
+
+def extraction_status(
+    location: Column, width: Column, height: Column, error: Column | None = None, length: Column | None = None
+) -> Column:
+    """``ok``, or why a file is skipped: ``too_large``, ``unreadable``, ``empty``, ``unsupported``,
+    ``size`` or ``location``."""
+    error = F.lit(None) if error is None else error
+    length = F.lit(None) if length is None else length
     return (
-        F.when(width.isNull() | height.isNull(), "unsupported")
+        F.when(error == TOO_LARGE, "too_large")
+        .when(error.isNotNull(), "unreadable")
+        .when(length == 0, "empty")
+        .when(width.isNull() | height.isNull(), "unsupported")
         .when(~valid_size(width, height) | (F.greatest(width, height) > MAX_SIDE), "size")
         .when(~valid_location(location), "location")
         .otherwise("ok")
@@ -40,16 +52,29 @@ def extraction_status(location: Column, width: Column, height: Column) -> Column
 
 
 def extract_metadata(files: DataFrame) -> DataFrame:
-    """One pass over scanned files: (path, location, size, type, hash, file size, status).
+    """One pass over files with their bytes: (path, location, size, type, hash, file size, status).
 
     ``content`` does not leave this stage. A file that cannot be read as an image keeps its row
-    with a status other than ``ok``, so a run goes on and the skipped files can be listed.
+    with a status other than ``ok``, so a run goes on and the skipped files can be listed; where the
+    scan tells an ``error``, the row has it too.
     """
-    location = plain_location(F.col("path"))
+    told = ["error"] if "error" in files.columns else []
     hashed = evaluated(
-        files.select("path", "length", "content"), hash=content_hash(F.col("content"))
+        files.select("path", "length", "content", *told), hash=content_hash(F.col("content"))
     )
-    probed = probe_dimensions(hashed)
+    return _metadata(probe_dimensions(hashed))
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """The same, with ``error``, of listed files (path): each is read once, in its task, whatever
+    its size."""
+    probed = evaluated(probe_files(files), _fixed=fixed_size(F.col("header")))
+    return _metadata(probed.withColumns({s: F.coalesce(f"_fixed.{s}", s) for s in ("width", "height")}))
+
+
+def _metadata(probed: DataFrame) -> DataFrame:
+    location = plain_location(F.col("path"))
+    told = [F.col("error")] if "error" in probed.columns else []
     return probed.select(
         "path",
         location.alias("file_location"),
@@ -58,24 +83,17 @@ def extract_metadata(files: DataFrame) -> DataFrame:
         file_extension(location).alias("file_type"),
         "hash",
         F.col("length").alias("file_size"),
-        extraction_status(location, F.col("width"), F.col("height")).alias("status"),
+        extraction_status(
+            location, F.col("width"), F.col("height"), told[0] if told else None, F.col("length") if told else None
+        ).alias("status"),
+        *told,
     )
 
 
 def valid_files(metadata: DataFrame) -> DataFrame:
-    return metadata.where(F.col("status") == "ok").drop("status")
+    return metadata.where(F.col("status") == "ok").drop("status", "error")
 
 
 def skipped_files(metadata: DataFrame) -> DataFrame:
     return metadata.where(F.col("status") != "ok")
 
-
-def to_image_rows(metadata: DataFrame) -> DataFrame:
-    """Rows shaped like the images table, id and timestamps still null."""
-    filled = set(NEW_IMAGE_COLUMNS)
-    return metadata.select(
-        *[
-            (F.col(f.name) if f.name in filled else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in IMAGES.fields
-        ]
-    )

@@ -1,20 +1,27 @@
-"""User-supplied Python over partitions: the batch scorer and a plain parallel map."""
+"""User-supplied Python over partitions: the batch scorer and a plain parallel map.
+
+Columns pass through as Arrow, untouched by Python, so no type changes on the way.
+"""
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.sources.files import read_by_path
 
 # A scorer takes the bytes of a few files and gives, for each, its score vector; None or an
-# exception instead of a vector marks that file as failed.
+# exception instead of a vector marks that file as failed. One with a method ``close`` is closed
+# when another takes its place.
 Scorer = Callable[[Sequence[bytes]], Sequence[Any]]
 ScorerFactory = Callable[[], Scorer]
 
@@ -25,11 +32,19 @@ ERROR = T.StructField("error", T.StringType())
 _loaded: dict[str, Scorer] = {}
 
 
-def _load_once(token: str, factory: ScorerFactory) -> Scorer:
-    """The scorer of this Python worker: set up once, then shared by all its tasks."""
-    if token not in _loaded:
-        _loaded[token] = factory()
-    return _loaded[token]
+def scorer_key(factory: ScorerFactory) -> str:
+    """The same for every call with the same factory, so that workers keep what they have loaded."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _load_once(key: str, factory: ScorerFactory) -> Scorer:
+    """The one scorer of this Python worker: set up once, then shared by all tasks and calls."""
+    if key not in _loaded:
+        for old in _loaded.values():
+            getattr(old, "close", lambda: None)()
+        _loaded.clear()
+        _loaded[key] = factory()
+    return _loaded[key]
 
 
 def _error_text(error: BaseException) -> str:
@@ -68,6 +83,23 @@ def _read_all(read: Callable[[str], bytes], paths: Sequence[str]) -> list[Any]:
     return contents
 
 
+def _chunks(
+    batches: Iterator[pa.RecordBatch], rows: int, given: Callable[[pa.RecordBatch], list[Any]]
+) -> Iterator[tuple[pa.RecordBatch, list[Any]]]:
+    """Pieces of the batches with their contents; the next contents are read while one is in use."""
+    with ThreadPoolExecutor(1) as ahead:
+        waiting = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                piece = batch.slice(start, rows)
+                following = piece, ahead.submit(given, piece)
+                if waiting:
+                    yield waiting[0], waiting[1].result()
+                waiting = following
+        if waiting:
+            yield waiting[0], waiting[1].result()
+
+
 def score_assets(
     df: DataFrame,
     factory: ScorerFactory,
@@ -79,46 +111,52 @@ def score_assets(
 ) -> DataFrame:
     """Replace the bytes by (scores, error).
 
-    With ``content=None`` the tasks read each file by its ``path``, ``batch_rows`` at a time: the
-    bytes then never pass through a shuffle or an Arrow batch. Errors are kept per file.
+    With ``content=None`` the tasks read each file by its ``path``, ``batch_rows`` at a time and one
+    such piece ahead of the scorer: the bytes then never pass through a shuffle or an Arrow batch.
+    Errors are kept per file.
 
     With a ``threshold`` only the scores that reach it leave the worker, with their positions in
     ``positions``: a vector over a large vocabulary shrinks to the few tags it gives.
     """
     kept = [f for f in df.schema.fields if f.name != content]
     names = [f.name for f in kept]
-    token = uuid.uuid4().hex
+    key = scorer_key(factory)
+    floats, places = pa.list_(pa.float32()), pa.list_(pa.int32())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _load_once(token, factory)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _load_once(key, factory)
         read = reader() if content is None else None
-        for batch in batches:
-            for start in range(0, len(batch), batch_rows):
-                rows = batch.iloc[start : start + batch_rows]
-                given = list(rows[content]) if read is None else _read_all(read, list(rows[path]))
-                readable = [i for i, c in enumerate(given) if isinstance(c, bytes | bytearray)]
-                results = [c if isinstance(c, Exception) else None for c in given]
-                if readable:
-                    scored = _score_batch(scorer, [given[i] for i in readable])
-                    for i, result in zip(readable, scored, strict=True):
-                        results[i] = result
-                failed = [r is None or isinstance(r, Exception) for r in results]
-                out = rows[names].copy()
-                vectors = [None if f else r for r, f in zip(results, failed, strict=True)]
-                if threshold is None:
-                    out["scores"] = vectors
-                else:
-                    passing = [_passing(v, threshold) for v in vectors]
-                    out["positions"] = [p for p, _ in passing]
-                    out["scores"] = [s for _, s in passing]
-                out["error"] = [
-                    (_error_text(r) if r is not None else "no result") if f else None
-                    for r, f in zip(results, failed, strict=True)
-                ]
-                yield out
+
+        def given(piece: pa.RecordBatch) -> list[Any]:
+            if read is None:
+                return piece.column(content).to_pylist()
+            return _read_all(read, piece.column(path).to_pylist())
+
+        for piece, contents in _chunks(batches, batch_rows, given):
+            readable = [i for i, c in enumerate(contents) if isinstance(c, bytes | bytearray)]
+            results = [c if isinstance(c, Exception) else None for c in contents]
+            if readable:
+                scored = _score_batch(scorer, [contents[i] for i in readable])
+                for i, result in zip(readable, scored, strict=True):
+                    results[i] = result
+            failed = [r is None or isinstance(r, Exception) for r in results]
+            vectors = [None if f else np.asarray(r, np.float32) for r, f in zip(results, failed, strict=True)]
+            if threshold is None:
+                added = [pa.array(vectors, floats)]
+            else:
+                passing = [_passing(v, threshold) for v in vectors]
+                added = [pa.array([p for p, _ in passing], places), pa.array([s for _, s in passing], floats)]
+            errors = [
+                (_error_text(r) if r is not None else "no result") if f else None
+                for r, f in zip(results, failed, strict=True)
+            ]
+            columns = [*(piece.column(n) for n in names), *added, pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, out)
 
     vector = [SCORES] if threshold is None else [POSITIONS, SCORES]
-    return df.mapInPandas(run, T.StructType([*kept, *vector, ERROR]))
+    schema = T.StructType([*kept, *vector, ERROR])
+    out = schema.names
+    return df.mapInArrow(run, schema)
 
 
 def parallel_map(
@@ -131,8 +169,9 @@ def parallel_map(
 ) -> DataFrame:
     """Call ``func`` once per row and add (value, error).
 
-    ``args`` and ``kwargs`` name the columns passed by position and by name. ``capture`` keeps an
-    exception in ``error`` and goes on; ``raise`` fails the job on the first one.
+    ``args`` and ``kwargs`` name the columns passed by position and by name, as plain Python values
+    with None for null. ``capture`` keeps an exception in ``error`` and goes on; ``raise`` fails the
+    job on the first one.
     """
     if not args and not kwargs:
         raise ValueError("args or kwargs must name at least one column")
@@ -148,18 +187,22 @@ def parallel_map(
                 raise
             return None, _error_text(error)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    added = [T.StructField("value", result_type), T.StructField("error", T.StringType())]
+    schema = T.StructType([*df.schema.fields, *added])
+    names, value_type = schema.names, to_arrow_type(result_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            positional = zip(*[batch[c] for c in args], strict=True) if args else [()] * len(batch)
-            named = zip(*[batch[c] for c in kwargs], strict=True) if kwargs else [()] * len(batch)
+            values = {c: batch.column(c).to_pylist(maps_as_pydicts="strict") for c in {*args, *kwargs}}
             results = [
-                call(tuple(p), dict(zip(kwargs, n, strict=True)))
-                for p, n in zip(positional, named, strict=True)
+                call(tuple(values[a][i] for a in args), {k: values[k][i] for k in kwargs})
+                for i in range(batch.num_rows)
+            ]
+            columns = [
+                *batch.columns,
+                pa.array([v for v, _ in results], value_type),
+                pa.array([e for _, e in results], pa.string()),
             ]
-            yield batch.assign(
-                value=pd.Series([v for v, _ in results], index=batch.index, dtype=object),
-                error=pd.Series([e for _, e in results], index=batch.index, dtype=object),
-            )
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    added = [T.StructField("value", result_type), T.StructField("error", T.StringType())]
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(run, schema)

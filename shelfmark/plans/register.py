@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from dataclasses import dataclass, replace
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark import storage
+from shelfmark.errors import InvalidRowError
 from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
 from shelfmark.operators.joins import lookup_join, measured_bytes
-from shelfmark.operators.metadata import extract_metadata, skipped_files, valid_files
+from shelfmark.operators.metadata import extract_metadata, file_metadata, skipped_files, valid_files
 from shelfmark.operators.outcome import SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
 from shelfmark.operators.tags import decode_hits, to_tag_rows
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD, NEW_IMAGE_COLUMNS
-from shelfmark.session import staged, staged_with_counts
-from shelfmark.sources.files import scan_files
+from shelfmark.session import new_workspace, shared_dir, staged, staged_with_counts
+from shelfmark.sources.files import list_files
 
 # Most files and bytes one scoring task is planned for.
 FILES_PER_TASK = 2000
 BYTES_PER_TASK = 512 * 1024 * 1024
+# Marks the intermediate tables of a run that came to its end.
+DONE = "_DONE"
 
 
 def fresh_files(
@@ -76,6 +83,12 @@ class Registration:
     empty: int = 0
     metadata: DataFrame | None = None
     outcomes: DataFrame | None = None
+    workspace: str | None = None
+
+    def release(self) -> None:
+        """Remove the intermediate tables of the run, and with them metadata and outcomes."""
+        if self.workspace and self.metadata is not None:
+            storage.delete(self.metadata.sparkSession, self.workspace)
 
     @property
     def skipped_files(self) -> DataFrame | None:
@@ -102,52 +115,80 @@ def register(
 ) -> Registration:
     """Register new files and their tags as one batch.
 
-    ``files`` is a folder or a DataFrame (path, length, content). By default the scoring tasks
-    read the files that remain by path; ``content="content"`` takes the bytes from the DataFrame
-    instead, for files that exist only there: they then go through a shuffle when the files that
-    remain are too many to broadcast. Nothing is written when no file is valid, all are known, or
-    none succeeds. A ``label`` makes the batch a no-op when it was committed before.
+    ``files`` is a folder, all of whose files are listed, or a DataFrame (path, length, content). By
+    default the tasks read the files by path, once for metadata and, those that remain, once for the
+    scorer; a file that cannot be read is skipped with the reason. ``content="content"`` takes the
+    bytes from the DataFrame instead, for files that exist only there: they then go through a shuffle
+    when the files that remain are too many to broadcast. Nothing is written when no file is valid,
+    all are known, or none succeeds.
+
+    A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
+    off, its metadata and scores are found and used again.
     """
-    if label and registry.has_batch(label):
+    spark = registry.spark
+    state = registry.state()
+    if label and label in state.labels:
         return Registration()
+    vocab_bytes = _checked_vocabulary(vocab)
+    folder = _workspace(registry, label)
+    if storage.exists(spark, os.path.join(folder, DONE)):  # that run came to its end, without a batch
+        storage.delete(spark, folder)
     if isinstance(files, str):
-        files = scan_files(registry.spark, files, recursive)
+        files = list_files(spark, files, recursive)
+    facts = file_metadata(files) if content is None else extract_metadata(files)
     rows = F.count(F.lit(1)).alias("rows")
     skipped = F.count_if(F.col("status") != "ok").alias("skipped")
-    metadata, found = staged_with_counts(extract_metadata(files), "metadata", rows, skipped)
-    state = registry.state()
+    metadata = _found(registry, folder, "metadata", facts.schema)
+    if metadata is None:
+        metadata, found = staged_with_counts(facts, "metadata", rows, skipped, folder=folder)
+    else:
+        found = metadata.agg(rows, skipped).first()
     known = registry.read("images", state).select("hash")
     valid = valid_files(metadata)
     fresh = fresh_files(valid, known, on_duplicate, state.rows("images"))
     size = F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")
-    fresh, kept = staged_with_counts(fresh, "fresh", rows, size)
+    fresh, kept = staged_with_counts(fresh, "fresh", rows, size, folder=folder)
     result = Registration(
         files=found.rows,
         skipped=found.skipped,
         known=found.rows - found.skipped - kept.rows,
         metadata=metadata,
+        workspace=folder,
     )
     if kept.rows == 0:
+        storage.create(spark, os.path.join(folder, DONE), "")
         return result
 
-    if content is None:
-        spread = fresh.repartition(scoring_tasks(registry, kept.rows, kept.bytes), "hash")
-        scored = score_assets(spread, scorer, content=None, threshold=threshold)
-    else:
+    def scores(of: DataFrame, n: int, size: int) -> DataFrame:
+        if content is None:
+            spread = of.repartition(scoring_tasks(registry, n, size), "hash")
+            return score_assets(spread, scorer, content=None, threshold=threshold)
         bytes_of = files.select("path", F.col(content).alias("content"))
-        with_bytes = lookup_join(bytes_of, fresh, ["path"], "inner", unique=True)
-        scored = score_assets(with_bytes, scorer, threshold=threshold)
-    scored = staged(scored, "scored")
-    vocab_bytes = measured_bytes(vocab)
+        with_bytes = lookup_join(bytes_of, of, ["path"], "inner", unique=True)
+        return score_assets(with_bytes, scorer, threshold=threshold)
+
+    plan = scores(fresh, kept.rows, kept.bytes)
+    before = _found(registry, folder, "scored", plan.schema)
+    if before is None:
+        scored = staged(plan, "scored", folder)
+    else:
+        usable = lookup_join(before, fresh.select("hash"), ["hash"], "left_semi", unique=True)
+        missing = lookup_join(fresh, before.select("hash"), ["hash"], "left_anti", unique=True)
+        lacking = missing.agg(rows, size).first()
+        more = [staged(scores(missing, lacking.rows, lacking.bytes), "scored-more", folder)] if lacking.rows else []
+        scored = usable if not more else usable.unionByName(more[0])
     tags = decode_hits(scored, vocab, ["hash"], vocab_bytes)
     classified = classify(scored.drop("positions", "scores"), tags, ["hash"])
-    outcomes, counts = staged_with_counts(classified, "outcomes", *count_columns())
+    outcomes, counts = staged_with_counts(classified, "outcomes", *count_columns(), folder=folder)
     if counts.any_success:
-        with registry.batch(label) as batch:
+        with registry.batch(label, state) as batch:
             new = successful(outcomes).select(*NEW_IMAGE_COLUMNS)
             # A table of files may list one twice; a folder cannot.
             ids = batch.add_images(new, checked=content is None)
             batch.add_new_tags(new_tag_rows(scored, ids, vocab, vocab_bytes))
+    storage.create(spark, os.path.join(folder, DONE), "")
+    for name in ("fresh", "scored", "scored-more"):
+        storage.delete(spark, os.path.join(folder, name))
     return replace(
         result,
         success=counts.success,
@@ -155,3 +196,26 @@ def register(
         empty=counts.empty,
         outcomes=outcomes,
     )
+
+
+def _checked_vocabulary(vocab: DataFrame) -> int:
+    """Its size in bytes; refused if it names a tag twice, for such tags would share a key."""
+    if not vocab.groupBy("category", "tag").count().where("count > 1").isEmpty():
+        raise InvalidRowError("the vocabulary names a tag of a category more than once")
+    return measured_bytes(vocab)
+
+
+def _workspace(registry: Registry, label: str | None) -> str:
+    """Folder of a run's intermediate tables; a label always has the same one."""
+    if label is None:
+        return new_workspace(registry.spark, "register")
+    name = hashlib.sha256(f"{registry.root}\0{label}".encode()).hexdigest()
+    return os.path.join(shared_dir(registry.spark), f"register-{name}")
+
+
+def _found(registry: Registry, folder: str, name: str, schema: T.StructType) -> DataFrame | None:
+    """A table that an earlier run of this label wrote in full."""
+    path = os.path.join(folder, name)
+    if not storage.exists(registry.spark, os.path.join(path, "_SUCCESS")):
+        return None
+    return registry.spark.read.schema(schema).parquet(path)

@@ -2,74 +2,62 @@
 
 Layout below ``root``:
 
-* ``<table>/batch=<id>-<part>`` holds the rows of one write. An ``insert`` part has new keys only;
+* ``<table>/batch=<id>-<part>-<unique>`` holds the rows of one write. An ``insert`` part has new keys only;
   a ``change`` part has whole new versions of rows, or deletions; a ``base`` part replaces all
   that came before it.
-* ``commits/batch_id=<id>`` holds one record, written last. A batch without it does not exist for
-  readers, so all tables of a batch appear together or not at all. An attempt that failed is
-  overwritten by the next batch of the same id.
+* ``commits/<id>`` is one small file, created last and never replaced. A batch without it does not
+  exist for readers, so all tables of a batch appear together or not at all. Parts have unique
+  names, and of two writers of the same id the second is refused.
+* ``snapshots/<id>`` sums up the commits up to that one, so that readers take one snapshot and the
+  few commits after it.
 
 Reading a table without change parts is a plain scan. Otherwise only the change parts are reduced
 to their last version; the rest is scanned once and anti-joined with the changed keys.
 
-There is one writer at a time; readers are free.
+One writer at a time succeeds; readers are free.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark import storage
 from shelfmark.errors import (
+    ConcurrentWriteError,
     DuplicateImageError,
     ImageInUseError,
     ImageNotFoundError,
     InvalidRowError,
 )
+from shelfmark.functions.columns import valid_location, valid_size, validity
 from shelfmark.operators import changes, checks
 from shelfmark.operators.dedup import duplicate_hashes
 from shelfmark.operators.joins import lookup_join
-from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES
+from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES, UPDATABLE_COLUMNS
 from shelfmark.session import empty_table, staged_with_counts
 
 INSERT, CHANGE, BASE = "insert", "change", "base"
 PUT, DELETE = "U", "D"
 CHILD_TABLES = ("model_tags", "manual_tags", "notes")
-# Parts of one batch are ordered below this step.
-PARTS_PER_BATCH = 1000
-
-CHANGE_FIELDS = [T.StructField("_op", T.StringType()), T.StructField("_version", T.LongType())]
-
-COMMIT = T.StructType(
-    [
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("next_image_id", T.LongType()),
-        T.StructField("reset", T.BooleanType()),
-        T.StructField(
-            "parts",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("table", T.StringType()),
-                        T.StructField("kind", T.StringType()),
-                        T.StructField("path", T.StringType()),
-                        T.StructField("rows", T.LongType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+# Commits between two snapshots; at most twice as many records are read for a state.
+COMMITS_PER_SNAPSHOT = 50
+# Columns with a Bloom filter in each row group, so that look-ups of single keys skip files.
+LOOKUP_COLUMNS = ("hash", "image_id", "tag")
 
+CHANGE_FIELDS = [
+    T.StructField("_op", T.StringType()),
+    T.StructField("_batch", T.LongType()),
+    T.StructField("_part", T.IntegerType()),
+]
 
 @dataclass(frozen=True)
 class Part:
@@ -90,6 +78,19 @@ class State:
     parts: tuple[Part, ...] = ()
     labels: frozenset[str] = frozenset()
 
+    @staticmethod
+    def from_record(record: dict) -> State:
+        parts = tuple(Part(**part) for part in record["parts"])
+        return State(record["batch_id"], record["next_image_id"], parts, frozenset(record["labels"]))
+
+    def record(self) -> dict:
+        return {
+            "batch_id": self.batch_id,
+            "next_image_id": self.next_image_id,
+            "parts": [asdict(part) for part in self.parts],
+            "labels": sorted(self.labels),
+        }
+
     def with_parts(self, parts: Sequence[Part]) -> State:
         live = list(self.parts)
         for part in parts:
@@ -114,58 +115,62 @@ class Registry:
 
     def init(self, overwrite: bool = False) -> Registry:
         """Create the catalogue if it is missing. ``overwrite`` starts an empty one, ids from 1."""
-        self._commit(0, None, 1, True, [], mode="ignore")
         state = self._state_or_none()
-        if state is None:  # an earlier call stopped half-way
-            self._commit(0, None, 1, True, [])
+        if state is None:
+            if not self._commit(0, None, 1, True, []) and self._state_or_none() is None:
+                self._commit(1, None, 1, True, [])  # an earlier call stopped half-way
         elif overwrite:
-            self._commit(state.batch_id + 1, None, 1, True, [])
+            self._commit(self._last_commit() + 1, None, 1, True, [])
         return self
 
-    def _commits_path(self) -> str:
-        return os.path.join(self.root, "commits")
-
     def _commit(
-        self,
-        batch_id: int,
-        label: str | None,
-        next_id: int,
-        reset: bool,
-        parts: Sequence[Part],
-        mode: str = "overwrite",
-    ) -> None:
+        self, batch_id: int, label: str | None, next_id: int, reset: bool, parts: Sequence[Part]
+    ) -> bool:
+        """Create the marker of a batch; False if that batch exists."""
         record = {
             "label": label,
             "next_image_id": next_id,
             "reset": reset,
             "parts": [asdict(part) for part in parts],
         }
-        line = self.spark.range(1).select(F.lit(json.dumps(record)).alias("value"))
-        target = os.path.join(self._commits_path(), f"batch_id={batch_id}")
-        line.coalesce(1).write.mode(mode).text(target)
+        path = os.path.join(self.root, "commits", str(batch_id))
+        done = storage.create(self.spark, path, json.dumps(record))
+        if done and batch_id and batch_id % COMMITS_PER_SNAPSHOT == 0:
+            snapshot = os.path.join(self.root, "snapshots", str(batch_id))
+            storage.create(self.spark, snapshot, json.dumps(self.state().record()))
+        return done
+
+    def _records(self, folder: str) -> list[int]:
+        return sorted(int(n) for n in storage.names(self.spark, os.path.join(self.root, folder)) or [] if n.isdigit())
+
+    def _last_commit(self) -> int:
+        return max(self._records("commits"), default=-1)
 
     def _state_or_none(self) -> State | None:
-        try:
-            records = self.spark.read.schema(COMMIT).json(self._commits_path()).collect()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        if not records:
-            return None
-        records.sort(key=lambda r: r.batch_id)
-        start = max((i for i, r in enumerate(records) if r.reset), default=0)
-        state = State()
-        for record in records[start:]:
-            parts = [Part(p.table, p.kind, p.path, p.rows) for p in record.parts]
-            labels = state.labels | ({record.label} if record.label else set())
+        commits = self._records("commits")
+        state, found = State(), False
+        for number in reversed(self._records("snapshots")):
+            text = storage.read(self.spark, os.path.join(self.root, "snapshots", str(number)))
+            if text.endswith("}"):  # whole, not left by a writer that was lost
+                state, found = State.from_record(json.loads(text)), True
+                break
+        for number in commits:
+            if number <= state.batch_id:
+                continue
+            text = storage.read(self.spark, os.path.join(self.root, "commits", str(number)))
+            if not text.endswith("}"):  # its writer was lost: no batch, and its number is not used again
+                continue
+            record = json.loads(text)
+            found = True
+            state = State() if record["reset"] else state
+            labels = state.labels | ({record["label"]} if record["label"] else set())
             state = replace(
-                state.with_parts(parts),
-                batch_id=record.batch_id,
-                next_image_id=record.next_image_id,
+                state.with_parts([Part(**part) for part in record["parts"]]),
+                batch_id=number,
+                next_image_id=record["next_image_id"],
                 labels=frozenset(labels),
             )
-        return state
+        return state if found else None
 
     def state(self) -> State:
         state = self._state_or_none()
@@ -187,10 +192,10 @@ class Registry:
         if not changed:
             return plain
         versions = self._scan(changed, T.StructType([*layout.schema.fields, *CHANGE_FIELDS]))
-        latest = changes.last_per_key(versions, layout.key, F.col("_version"))
-        untouched = plain.join(versions.select(*layout.key).distinct(), list(layout.key), "left_anti")
-        live = latest.where(F.col("_op") == PUT)
-        return untouched.select(*layout.columns).unionByName(live.select(*layout.columns))
+        latest = changes.last_per_key(versions, layout.key, F.struct("_batch", "_part"))
+        live = latest.where(F.col("_op") == PUT).select(*layout.columns)
+        touched = versions.select(*layout.key).distinct()
+        return changes.replaced(plain.select(*layout.columns), touched, live, layout.key)
 
     def _scan(self, paths: Sequence[str], schema: T.StructType) -> DataFrame:
         if not paths:
@@ -221,9 +226,12 @@ class Registry:
 
     # ---- writes -------------------------------------------------------------------------------
 
-    def batch(self, label: str | None = None) -> Batch:
-        """A unit of work over all tables; leaving the ``with`` block commits it."""
-        return Batch(self, self.state(), label)
+    def batch(self, label: str | None = None, state: State | None = None) -> Batch:
+        """A unit of work over all tables; leaving the ``with`` block commits it.
+
+        With the ``state`` it was planned on, a commit that came in between is refused as well.
+        """
+        return Batch(self, state or self.state(), label)
 
     def add_images(self, new: DataFrame) -> DataFrame:
         with self.batch() as batch:
@@ -275,14 +283,19 @@ class Batch:
 
     def __post_init__(self) -> None:
         self.batch_id = self.before.batch_id + 1
+        taken = self.registry._records("commits")
+        if taken and taken[-1] >= self.batch_id and self.registry.state() == self.before:
+            self.batch_id = taken[-1] + 1  # numbers left by lost writers
         self.next_image_id = self.before.next_image_id
 
     def __enter__(self) -> Batch:
         return self
 
     def __exit__(self, kind: type | None, value: object, trace: object) -> None:
-        if kind is None and self.parts:
-            self.registry._commit(self.batch_id, self.label, self.next_image_id, False, self.parts)
+        if kind is None and self.parts and not self.registry._commit(
+            self.batch_id, self.label, self.next_image_id, False, self.parts
+        ):
+            raise ConcurrentWriteError(f"batch {self.batch_id} was committed by another writer")
 
     def read(self, table: str) -> DataFrame:
         """Current rows, with the pending writes of this batch."""
@@ -295,32 +308,36 @@ class Batch:
 
         ``rebalance`` evens out the files; rows that are partitioned by range already go without.
         """
-        name = f"batch={self.batch_id}-{len(self.parts)}"
+        name = f"batch={self.batch_id}-{len(self.parts)}-{uuid.uuid4().hex}"
         path = os.path.join(table, name)
         seen = Observation()
         sized = rows.hint("rebalance") if rebalance else rows
-        (
+        writer = (
             sized.sortWithinPartitions(*TABLES[table].sort)
             .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .option("parquet.bloom.filter.enabled#hash", "true")
-            .parquet(os.path.join(self.registry.root, path))
+            .write
         )
+        for column in LOOKUP_COLUMNS:
+            if column in TABLES[table].columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(os.path.join(self.registry.root, path))
         self.parts.append(Part(table, kind, path, seen.get["rows"]))
         return self.registry._scan([path], rows.schema)
 
     def write_changes(self, table: str, rows: DataFrame, op: str) -> DataFrame:
-        version = self.batch_id * PARTS_PER_BATCH + len(self.parts)
-        columns = TABLES[table].columns
-        marked = rows.select(*columns, F.lit(op).alias("_op"), F.lit(version).cast("bigint").alias("_version"))
-        return self.write(table, CHANGE, marked)
+        marks = (op, self.batch_id, len(self.parts))
+        added = [F.lit(m).cast(f.dataType).alias(f.name) for m, f in zip(marks, CHANGE_FIELDS, strict=True)]
+        return self.write(table, CHANGE, rows.select(*TABLES[table].columns, *added))
 
     def add_images(self, new: DataFrame, checked: bool = False) -> DataFrame:
         """Insert images and give (hash, image_id). ``checked`` skips the null and hash rules."""
         if not checked:
             nulls = checks.null_count(TABLES["images"].schema, NEW_IMAGE_COLUMNS).alias("nulls")
-            new, seen = staged_with_counts(new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls)
-            self._refuse_nulls("images", seen.nulls)
+            rule = validity(*[F.col(c) for c in ("file_location", "hash", "width", "height")])
+            new, seen = staged_with_counts(
+                new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls, F.count_if(rule != "ok").alias("invalid")
+            )
+            self._refuse("images", seen.nulls, seen.invalid)
             if not duplicate_hashes(new).isEmpty():
                 raise DuplicateImageError("the batch holds the same hash more than once")
             registered = self.read("images").select("hash")
@@ -350,15 +367,25 @@ class Batch:
         )
         if seen.rows == 0:
             return
-        self._refuse_nulls(table, seen.nulls)
+        self._refuse(table, seen.nulls)
         if not checks.orphans(rows, self.read("images")).isEmpty():
             raise ImageNotFoundError(f"{table}: a row refers to an image that is not registered")
         self.write_changes(table, changes.one_per_key(rows, layout.key), PUT)
 
     def update_images(self, rows: DataFrame) -> None:
         """Bulk update by image_id; unknown ids are ignored."""
-        if rows.isEmpty():
+        schema = TABLES["images"].schema
+        given = ["image_id", *UPDATABLE_COLUMNS]
+        one = F.lit(1)  # sides may be unknown, but not zero or below
+        sides = [F.coalesce(side, one) for side in ("width", "height")]
+        valid = valid_location(F.col("file_location")) & valid_size(*sides)
+        rows, seen = staged_with_counts(
+            rows.select(*given), "image-updates", F.count(F.lit(1)).alias("rows"),
+            checks.null_count(schema, given).alias("nulls"), F.count_if(~valid).alias("invalid"),
+        )
+        if seen.rows == 0:
             raise ValueError("nothing to update")
+        self._refuse("images", seen.nulls, seen.invalid)
         self.write_changes("images", changes.changed_images(self.read("images"), rows), PUT)
 
     def remove_images(self, ids: DataFrame | Sequence[int] | int) -> None:
@@ -393,6 +420,8 @@ class Batch:
     def _of(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
         return lookup_join(rows, ids, ["image_id"], "left_semi", unique=True)
 
-    def _refuse_nulls(self, table: str, nulls: int) -> None:
+    def _refuse(self, table: str, nulls: int, invalid: int = 0) -> None:
         if nulls:
             raise InvalidRowError(f"{table}: a required column is null in {nulls} rows")
+        if invalid:
+            raise InvalidRowError(f"{table}: location, hash or size is not valid in {invalid} rows")

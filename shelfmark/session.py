@@ -39,21 +39,23 @@ def new_workspace(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back.
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write the rows to the shared folder, or a given one below it, and read them back.
 
     Ends the lineage: later jobs, and tasks that are run again, read the table and do not repeat
     the work behind it.
     """
-    path = new_workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    path = os.path.join(folder, name) if folder else new_workspace(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged_with_counts(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, Row]:
+def staged_with_counts(
+    df: DataFrame, name: str, *counts: Column, folder: str | None = None
+) -> tuple[DataFrame, Row]:
     """The same, with aggregates over the rows taken while they are written."""
     seen = Observation()
-    rows = staged(df.observe(seen, *counts), name)
+    rows = staged(df.observe(seen, *counts), name, folder)
     return rows, Row(**seen.get)
 
 

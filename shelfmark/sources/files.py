@@ -1,14 +1,28 @@
-"""File trees as DataFrames: listing, bytes, and the same as a stream."""
+"""File trees as DataFrames: listing, bytes, header facts, and the same as a stream.
+
+Listing and reading go on inside tasks, file by file: what is wrong with one file is told in its
+own row and does not end the run.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import os
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from fnmatch import fnmatchcase
+from typing import Any, BinaryIO
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.images import CHAIN_PREFIX, HEADER_BYTES, CutShort, chained_size
 from shelfmark.schema import FILES_PER_BATCH
+from shelfmark.session import staged
 
 # Columns of Spark's binaryFile source, needed up front by a stream.
 FILE_SCHEMA = T.StructType(
@@ -19,26 +33,106 @@ FILE_SCHEMA = T.StructType(
         T.StructField("content", T.BinaryType()),
     ]
 )
+# The largest content that fits into one value of a column.
+MAX_CONTENT = 2**31 - 2**16
+TOO_LARGE = "too large for a column"
+# Bytes read at a time to hash a file.
+CHUNK = 1024 * 1024
 
+_FILE, _FOLDER, _MISSING = "file", "folder", "missing"
+_ENTRIES = "path string, modificationTime timestamp, length bigint, kind string"
 
-def scan_files(
+
+def list_files(
     spark: SparkSession, path: str, recursive: bool = False, name_pattern: str | None = None
 ) -> DataFrame:
-    """Files below ``path`` as (path, modificationTime, length, content).
+    """Every file below ``path`` as (path, modificationTime, length), whatever its name or size.
 
-    ``content`` is read only by plans that use it. A path to one file gives that file; a missing
-    path raises FileNotFoundError. Names starting with a dot or an underscore, and files of
-    length zero, are outside the scan.
+    Links are listed as files and never entered, so a link to a folder or to nothing is a file that
+    cannot be read; what cannot be asked for its size has a null length. A path to one file gives
+    that file; a missing path raises FileNotFoundError. Folders of one level are listed by as many
+    tasks as a shuffle has, level by level.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    path = _plain(path)
+    start = spark.createDataFrame([(path,)], "path string")
+    found = _entries(start, root=True)
+    kinds = {r.kind for r in found.where(F.col("path") == path).select("kind").collect()}
+    if _MISSING in kinds:
+        raise FileNotFoundError(path)
+    if _FILE in kinds:
+        levels = [found]
+    else:
+        levels, frontier = [], start
+        while True:
+            level = _entries(frontier)
+            levels.append(level)
+            folders = level.where(F.col("kind") == _FOLDER).select("path")
+            if not recursive or folders.isEmpty():
+                break
+            frontier = folders.repartition("path")
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    files = files.where(F.col("kind") == _FILE).drop("kind")
     if name_pattern:
-        reader = reader.option("pathGlobFilter", name_pattern)
-    try:
-        return reader.load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(path) from error
-        raise
+        matches = F.udf(lambda name: fnmatchcase(name.rsplit("/", 1)[-1], name_pattern), "boolean")
+        files = files.where(matches("path"))
+    return files
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """Adds (content, error) to listed files: one of the two is null. A file that is too large for a
+    column has an error as well."""
+    names = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = opener()
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                content, error = None, None
+                try:
+                    with open_(path) as stream:
+                        content = stream.read(MAX_CONTENT + 1)
+                    if len(content) > MAX_CONTENT:
+                        content, error = None, TOO_LARGE
+                except Exception as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                columns = [*batch.slice(i, 1).columns, pa.array([content], pa.binary()), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "content", "error"])
+
+    added = [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, *added]))
+
+
+def scan_files(
+    spark: SparkSession, path: str, recursive: bool = False, name_pattern: str | None = None
+) -> DataFrame:
+    """Listed files with their bytes: (path, modificationTime, length, content, error)."""
+    return read_files(list_files(spark, path, recursive, name_pattern))
+
+
+def probe_files(files: DataFrame) -> DataFrame:
+    """(path, length, hash, header, width, height, error) of listed files, of any size.
+
+    Each file is read once, in pieces, and hashed as it passes; only its first bytes leave the task,
+    as header. width and height are those of JPEG and TIFF files. length is what was read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = opener()
+        for batch in batches:
+            rows = [_probed(open_, path) for path in batch.column("path").to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                ["path", "length", "hash", "header", "width", "height", "error"],
+            )
+
+    return files.select("path").mapInArrow(
+        run,
+        "path string, length bigint, hash string, header binary, width bigint, height bigint, error string",
+    )
 
 
 def file_stream(
@@ -48,7 +142,11 @@ def file_stream(
     files_per_batch: int = FILES_PER_BATCH,
     name_pattern: str | None = None,
 ) -> DataFrame:
-    """The same scan as a stream that takes at most ``files_per_batch`` files at a time."""
+    """The files of a growing folder as a stream that takes at most ``files_per_batch`` at a time.
+
+    Spark's own file source lists them, which leaves out names that start with a dot or an
+    underscore; a batch run over the same folder takes those.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -60,26 +158,122 @@ def file_stream(
     return reader.load(path)
 
 
-def read_by_path() -> Callable[[str], bytes]:
-    """Reader of one file by path or URI (local, HDFS, S3, GCS), for use inside tasks."""
-    from urllib.parse import quote
+def opener() -> Callable[[str], BinaryIO]:
+    """Opens one file by path or URI (local, HDFS, S3, GCS) for reading, inside tasks."""
+    filesystems: dict[str, fs.FileSystem] = {}
 
-    from pyarrow import fs
+    def open_(path: str) -> Any:
+        path = _plain(path)
+        if "://" not in path:
+            return open(path, "rb")
+        system, inner = _remote(path, filesystems)
+        return system.open_input_stream(inner)
 
-    filesystems: dict[str, fs.FileSystem] = {}
+    return open_
+
+
+def read_by_path() -> Callable[[str], bytes]:
+    """Reader of one whole file by path or URI."""
+    open_ = opener()
 
     def read(path: str) -> bytes:
-        if path.startswith("file:"):
-            path = "/" + path.removeprefix("file:").lstrip("/")
-        if "://" not in path:
-            with open(path, "rb") as stream:
-                return stream.read()
-        scheme, rest = path.split("://", 1)
-        root = f"{scheme}://{rest.split('/', 1)[0]}"
-        if root not in filesystems:
-            filesystems[root], _ = fs.FileSystem.from_uri(f"{root}/")
-        _, inner = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
-        with filesystems[root].open_input_stream(inner) as stream:
+        with open_(path) as stream:
             return stream.read()
 
     return read
+
+
+def _plain(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def _remote(path: str, filesystems: dict[str, fs.FileSystem]) -> tuple[fs.FileSystem, str]:
+    scheme, rest = path.split("://", 1)
+    root = f"{scheme}://{rest.split('/', 1)[0]}"
+    if root not in filesystems:
+        filesystems[root], _ = fs.FileSystem.from_uri(f"{root}/")
+    _, inner = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return filesystems[root], inner
+
+
+def _entries(folders: DataFrame, root: bool = False) -> DataFrame:
+    """What the folders hold, stored; with ``root`` what the paths themselves are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                rows = [_itself(path)] if root else list(_inside(path))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                    ["path", "modificationTime", "length", "kind"],
+                )
+
+    return staged(folders.mapInArrow(run, _ENTRIES), "listing")
+
+
+def _itself(path: str) -> tuple:
+    if "://" in path:
+        system, inner = _remote(path, {})
+        info = system.get_file_info(inner)
+        kind = {fs.FileType.File: _FILE, fs.FileType.Directory: _FOLDER}.get(info.type, _MISSING)
+        return path, info.mtime, info.size, kind
+    if not os.path.exists(path):
+        return path, None, None, _MISSING
+    kind = _FILE if os.path.isfile(path) else _FOLDER
+    return path, *_facts(path), kind
+
+
+def _facts(path: str) -> tuple:
+    try:
+        found = os.stat(path)
+        return datetime.fromtimestamp(found.st_mtime, UTC), found.st_size
+    except OSError:
+        return None, None
+
+
+def _inside(path: str) -> Iterator[tuple]:
+    if "://" not in path:
+        with os.scandir(path) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.path, None, None, _FOLDER
+                elif entry.is_file(follow_symlinks=False) or entry.is_symlink():
+                    yield entry.path, *_facts(entry.path), _FILE
+        return
+    system, inner = _remote(path, {})
+    for info in system.get_file_info(fs.FileSelector(inner)):
+        inside = f"{path.rstrip('/')}/{info.base_name}"
+        kind = _FOLDER if info.type == fs.FileType.Directory else _FILE
+        yield inside, info.mtime, info.size, kind
+
+
+def _probed(open_: Callable[[str], BinaryIO], path: str) -> tuple:
+    digest, length, start, header = hashlib.sha256(), 0, bytearray(), b""
+    size, wanted = None, CHAIN_PREFIX  # bytes to have before the header is tried (again)
+    try:
+        with open_(path) as stream:
+            while piece := bytes(stream.read(CHUNK)):
+                digest.update(piece)
+                length += len(piece)
+                header = (header + piece[:HEADER_BYTES])[:HEADER_BYTES]
+                if wanted is not None:
+                    start += piece
+                    if len(start) >= wanted:
+                        size, wanted = _tried(start, wanted)
+        if wanted is not None:
+            size, _ = _tried(start, wanted)
+    except Exception as problem:
+        return None, None, None, None, None, f"{type(problem).__name__}: {problem}"
+    width, height = size or (None, None)
+    return length, digest.hexdigest(), header, width, height, None
+
+
+def _tried(start: bytearray, wanted: int) -> tuple[tuple[int, int] | None, int | None]:
+    """The size if the bytes tell it; else the number of bytes to try with next, unless no more help."""
+    try:
+        return chained_size(bytes(start)), None
+    except CutShort:
+        return None, 8 * wanted
+

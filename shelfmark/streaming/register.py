@@ -31,7 +31,7 @@ def stream_register(
 
     A micro-batch sees what earlier ones stored. Its commit carries ``name`` and its number, so
     one that runs again after a failure changes nothing. ``on_batch`` is told the number and the
-    result of each.
+    result of each; its tables of metadata and outcomes are removed after that.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -47,6 +47,7 @@ def stream_register(
         )
         if on_batch:
             on_batch(batch_id, result)
+        result.release()
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:

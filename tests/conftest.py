@@ -79,8 +79,8 @@ def tiff(width: int, height: int, order: str = "<") -> bytes:
     return head + struct.pack(order + "H", 2) + first + second + bytes(4)
 
 
-def image_row(name: str, digit: str, width: int = 1920, height: int = 1080):
-    return (f"tests/{name}", width, height, "jpg", digit * 64, 1048576)
+def image_row(name: str, digit: str, width: int = 640, height: int = 360):
+    return (f"shelf/{name}", width, height, "webp", digit * 64, 70001)
 
 
 IMAGE_COLUMNS = (
@@ -91,5 +91,5 @@ IMAGE_COLUMNS = (
 @pytest.fixture
 def three_images(spark):
     """Three images whose hashes are 64 times a, b and c."""
-    data = [image_row(f"test{i}.jpg", digit) for i, digit in enumerate("abc", 1)]
+    data = [image_row(f"item-{i}.webp", digit) for i, digit in enumerate("abc", 1)]
     return spark.createDataFrame(data, IMAGE_COLUMNS)

@@ -6,7 +6,7 @@ import os
 import pytest
 from conftest import gif, jpeg, png, rows
 
-from shelfmark.errors import DuplicateImageError
+from shelfmark.errors import DuplicateImageError, InvalidRowError
 from shelfmark.operators import joins
 from shelfmark.plans.register import register
 from shelfmark.registry import Registry
@@ -57,7 +57,7 @@ def test_the_flow(registry, vocab, tree):
     put(
         tree,
         a_png=png(3, 4, b"A"), b_png=png(3, 4, b"A"), c_jpg=jpeg(5, 6) + b"C",
-        fails_png=png(7, 8, b"F"), empty_gif=gif(9, 9) + b"E", broken_png=b"invalid_image_data",
+        fails_png=png(7, 8, b"F"), empty_gif=gif(9, 9) + b"E", broken_png=b"no picture",
     )
     result = register(registry, str(tree), last_byte_scorer, vocab)
     assert (result.files, result.skipped, result.known) == (6, 1, 1)
@@ -137,6 +137,50 @@ def test_a_labelled_batch_runs_once(registry, vocab, tree):
     assert registry.images().count() == 1
 
 
+def test_bad_files_are_told_and_end_nothing(registry, vocab, tree):
+    put(tree, a_png=png(3, 4, b"A"), z_png=b"")
+    (tree / "_DSC1.png").write_bytes(png(3, 4, b"B"))
+    (tree / ".h.png").write_bytes(png(3, 4, b"C"))
+    (tree / "gone.png").symlink_to(tree / "nowhere")
+    result = register(registry, str(tree), last_byte_scorer, vocab)
+    assert (result.files, result.skipped, result.known, result.success) == (5, 2, 0, 3)
+    assert rows(result.skipped_files, "status") == [("empty",), ("unreadable",)]
+
+
+def test_a_run_that_broke_off_scores_nothing_again(registry, vocab, tree, tmp_path, monkeypatch):
+    log = tmp_path / "scored"
+
+    def factory():
+        inner = last_byte_scorer()
+
+        def score(contents):
+            with open(log, "a") as stream:
+                stream.write("x" * len(contents))
+            return inner(contents)
+
+        return score
+
+    put(tree, a_png=png(3, 4, b"A"), b_png=png(5, 6, b"B"))
+    with monkeypatch.context() as broken:
+        broken.setattr(Registry, "_commit", lambda *args: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            register(registry, str(tree), factory, vocab, label="night")
+    assert log.read_text() == "xx" and registry.images().count() == 0
+    put(tree, c_png=png(7, 8, b"C"))  # comes too late for this batch
+    again = register(registry, str(tree), factory, vocab, label="night")
+    assert log.read_text() == "xx" and again.success == 2
+    assert os.path.exists(again.workspace)
+    again.release()
+    assert not os.path.exists(again.workspace)
+
+
+def test_a_vocabulary_with_a_tag_twice_is_refused(registry, vocab, tree):
+    put(tree, a_png=png(3, 4, b"A"))
+    twice = vocab.unionByName(vocab.selectExpr("idx + 3 AS idx", "tag", "category"))
+    with pytest.raises(InvalidRowError):
+        register(registry, str(tree), last_byte_scorer, twice)
+
+
 def many(root, start, stop):
     for i in range(start, stop):
         # Every third file is a copy of another one.

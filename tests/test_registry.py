@@ -2,25 +2,28 @@ from __future__ import annotations
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import IMAGE_COLUMNS, image_row, rows
 from pyspark.sql import functions as F
 
+from shelfmark import storage
 from shelfmark.errors import (
+    ConcurrentWriteError,
     DuplicateImageError,
     ImageInUseError,
     ImageNotFoundError,
     InvalidRowError,
 )
 from shelfmark.operators import lookups
-from shelfmark.registry import Registry
+from shelfmark.registry import COMMITS_PER_SNAPSHOT, Part, Registry
 from shelfmark.schema import TABLES
 
 TAG_COLUMNS = "image_id long, category string, tag string, score double"
 
 
 def images(spark, *digits):
-    return spark.createDataFrame([image_row(f"{d}.jpg", d) for d in digits], IMAGE_COLUMNS)
+    return spark.createDataFrame([image_row(f"{d}.webp", d) for d in digits], IMAGE_COLUMNS)
 
 
 def tag_rows(spark, *data):
@@ -34,7 +37,7 @@ def test_ids_count_up_from_one_over_batches(spark, registry, three_images):
     stored = registry.images()
     assert stored.columns == TABLES["images"].columns
     first = lookups.by_id(stored, 1).first()
-    assert (first.file_location, first.width, first.file_type) == ("tests/test1.jpg", 1920, "jpg")
+    assert (first.file_location, first.width, first.file_type) == ("shelf/item-1.webp", 640, "webp")
     assert first.added_at == first.updated_at is not None
 
 
@@ -63,10 +66,10 @@ def test_duplicates_are_refused_in_the_batch_and_against_the_registry(spark, reg
     assert registry.images().count() == 0
     registry.add_images(three_images)
     with pytest.raises(DuplicateImageError):
-        registry.add_images(images(spark, "z", "a"))
+        registry.add_images(images(spark, "e", "a"))
     assert registry.images().count() == 3
     # Numbers of refused rows are not used up.
-    assert rows(registry.add_images(images(spark, "z")), "image_id") == [(4,)]
+    assert rows(registry.add_images(images(spark, "e")), "image_id") == [(4,)]
 
 
 def test_required_columns(spark, registry, three_images):
@@ -188,7 +191,7 @@ def test_a_failed_unit_of_work_leaves_no_trace(spark, registry, three_images):
             batch.add_images(three_images)
             batch.upsert("model_tags", tag_rows(spark, (99, "g", "x", 0.5)))
     assert registry.images().count() == 0
-    # The files of the attempt are still there; the next batch of the same number replaces them.
+    # The files of the attempt are still there; no record names them.
     assert os.listdir(os.path.join(registry.root, "images"))
     with registry.batch() as batch:
         batch.add_images(three_images.where(f"hash = '{'c' * 64}'"))
@@ -199,13 +202,84 @@ def test_a_failed_unit_of_work_leaves_no_trace(spark, registry, three_images):
 
 def test_a_record_without_its_file_is_no_commit(spark, registry, three_images):
     registry.add_images(three_images)
-    # A writer that stopped before its record was in place.
-    os.makedirs(os.path.join(registry.root, "commits", "batch_id=2", "_temporary", "0"))
+    # A writer that stopped before its record was whole.
+    with open(os.path.join(registry.root, "commits", "2"), "w") as record:
+        record.write('{"label": ')
     assert registry.images().count() == 3
     registry.add_images(images(spark, "d"))
     assert rows(registry.images(), "image_id") == [(1,), (2,), (3,), (4,)]
 
 
+def test_of_two_writers_the_second_is_refused(spark, registry, three_images):
+    first, second = registry.batch(), registry.batch()
+    with first as batch:
+        batch.add_images(three_images)
+    with pytest.raises(ConcurrentWriteError), second as batch:
+        batch.add_images(images(spark, "d"))
+    assert rows(registry.images(), "hash") == [(d * 64,) for d in "abc"]
+    registry.add_images(images(spark, "d"))
+    assert registry.images().count() == 4
+
+
+def test_many_commits_read_few_records(spark, registry, monkeypatch):
+    for number in range(1, 1001):
+        registry._commit(number, f"l:{number}", 1, False, [])
+    monkeypatch.setattr(storage, "read", counted := Counted(storage.read))
+    state = registry.state()
+    assert state.batch_id == 1000 and len(state.labels) == 1000
+    assert counted.calls <= COMMITS_PER_SNAPSHOT
+    registry.init(overwrite=True)
+    assert registry.state().labels == frozenset() and registry.state().batch_id == 1001
+
+
+class Counted:
+    def __init__(self, function):
+        self.function, self.calls = function, 0
+
+    def __call__(self, *args):
+        self.calls += 1
+        return self.function(*args)
+
+
+@pytest.mark.parametrize("column, value", [("file_location", "  "), ("width", -1), ("hash", "XYZ"), ("height", None)])
+def test_images_that_break_a_rule_are_refused(registry, three_images, column, value):
+    kind = dict(three_images.dtypes)[column]
+    with pytest.raises(InvalidRowError):
+        registry.add_images(three_images.withColumn(column, F.lit(value).cast(kind)))
+    assert registry.images().count() == 0
+
+
+@pytest.mark.parametrize("column, value", [("file_location", None), ("file_location", ""), ("height", 0)])
+def test_updates_that_break_a_rule_are_refused(registry, three_images, column, value):
+    registry.add_images(three_images)
+    before = rows(registry.images())
+    kind = dict(three_images.dtypes)[column]
+    with pytest.raises(InvalidRowError):
+        registry.update_images(registry.images().withColumn(column, F.lit(value).cast(kind)))
+    assert rows(registry.images()) == before
+
+
+def test_a_thousand_and_more_parts_keep_their_order(spark, registry, three_images):
+    registry.add_images(three_images)
+    with registry.batch() as batch:
+        batch.parts += [Part("notes", "insert", "notes/none", 0)] * 1500
+        batch.upsert("notes", spark.createDataFrame([(1, "early")], "image_id long, content string"))
+    registry.upsert_notes(spark.createDataFrame([(1, "late")], "image_id long, content string"))
+    assert rows(registry.notes()) == [(1, "late")]
+
+
+def test_tags_of_one_image_skip_row_groups(spark, registry, three_images, tmp_path):
+    """The files of a tag table have a Bloom filter for the image."""
+    registry.add_images(three_images)
+    registry.upsert_tags(tag_rows(spark, (1, "g", "x", 0.5), (3, "h", "y", 0.5)))
+    (part,) = [p for p in registry.state().parts if p.table == "model_tags"]
+    folder = os.path.join(registry.root, part.path)
+    found = [pq.ParquetFile(os.path.join(folder, f)) for f in os.listdir(folder) if f.endswith(".parquet")]
+    sizes = sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.endswith(".parquet"))
+    assert sum(f.metadata.num_rows for f in found) == 2
+    assert sizes > 2 * 1024  # filters take more room than two rows
+
+
 def test_init_is_idempotent_and_overwrite_starts_anew(spark, registry, three_images):
     registry.add_images(three_images)
     registry.init()

@@ -5,8 +5,11 @@ import json
 import pytest
 from conftest import png, rows
 
-from shelfmark.operators.metadata import extract_metadata
-from shelfmark.sources import read_by_path, read_vocab, scan_files
+from pyspark.sql import functions as F
+
+from shelfmark.operators.metadata import extract_metadata, extraction_status, file_metadata
+from shelfmark.session import staged
+from shelfmark.sources import list_files, read_by_path, read_files, read_vocab, scan_files
 
 
 @pytest.fixture
@@ -21,22 +24,62 @@ def tree(tmp_path):
     (root / "_under.png").write_bytes(png(9, 10))
     (root / "sub" / "d.png").write_bytes(png(11, 12))
     (root / "link.png").symlink_to(root / "sub" / "d.png")
+    (root / "linked").symlink_to(root / "sub")
+    (root / "dangling.png").symlink_to(root / "nothing")
     return root
 
 
-def _names(df, root):
-    return sorted(r.file_location.removeprefix(f"{root}/") for r in df.collect())
+ODD = [".hidden.png", "_under.png", "a.png", "b c%20.PNG", "dangling.png", "empty.png", "link.png", "linked", "noext"]
+
+
+def _statuses(found, root):
+    return {r.file_location.removeprefix(f"{root}/"): r.status for r in found.collect()}
+
+
+@pytest.mark.parametrize("content", [True, False])
+@pytest.mark.parametrize("recursive", [True, False])
+def test_every_file_is_listed_with_its_status(spark, tree, content, recursive):
+    listed = list_files(spark, str(tree), recursive)
+    found = _statuses(extract_metadata(read_files(listed)) if content else file_metadata(listed), tree)
+    assert sorted(found) == ODD + ["sub/d.png"] * recursive
+    wrong = {"dangling.png": "unreadable", "linked": "unreadable", "empty.png": "empty"}
+    assert found == {name: wrong.get(name, "ok") for name in found}
+
+
+def test_files_that_vanish_or_are_closed_to_us(spark, tree):
+    listed = staged(list_files(spark, str(tree)), "listed")
+    (tree / "a.png").unlink()
+    (tree / "noext").unlink()
+    (tree / "noext").mkdir()
+    found = file_metadata(listed)
+    bad = {r.file_location.rsplit("/", 1)[-1]: r.error for r in found.where("status = 'unreadable'").collect()}
+    assert set(bad) == {"a.png", "noext", "linked", "dangling.png"}
+    assert bad["a.png"].startswith("FileNotFoundError") and bad["noext"].startswith("IsADirectoryError")
 
 
-def test_flat_scan_takes_files_and_links_of_one_folder(spark, tree):
-    found = extract_metadata(scan_files(spark, str(tree)))
-    assert _names(found, tree) == ["a.png", "b c%20.PNG", "link.png", "noext"]
-    assert {r.status for r in found.collect()} == {"ok"}
+def test_a_file_beyond_a_columns_size(spark, tree, monkeypatch):
+    """Bytes in a column are limited and told so; metadata of files is not."""
+    import shelfmark.sources.files as files
 
+    monkeypatch.setattr(files, "MAX_CONTENT", 5)
+    probed = list(files._probed(files.opener(), str(tree / "a.png")))
+    assert probed[0] == len(png(1, 2)) and probed[-1] is None
+    assert extraction_status_of(spark, files.TOO_LARGE) == "too_large"
 
-def test_recursive_scan_takes_subfolders(spark, tree):
-    found = extract_metadata(scan_files(spark, str(tree), recursive=True))
-    assert _names(found, tree) == ["a.png", "b c%20.PNG", "link.png", "noext", "sub/d.png"]
+
+def extraction_status_of(spark, error):
+    one = F.lit(1)
+    return spark.range(1).select(extraction_status(F.lit("/x"), one, one, F.lit(error), one)).first()[0]
+
+
+def test_bytes_and_files_give_the_same_metadata(spark, tree):
+    from conftest import jpeg
+
+    (tree / "long.jpg").write_bytes(b"\xff\xd8" + (b"\xff\xe1\xff\xff" + bytes(65533)) * 40 + jpeg(64, 48)[2:])
+    listed = list_files(spark, str(tree), recursive=True)
+    columns = ["path", "file_location", "width", "height", "file_type", "hash", "status"]
+    assert rows(file_metadata(listed), *columns) == rows(extract_metadata(read_files(listed)), *columns)
+    assert rows(file_metadata(listed).where("file_type = 'jpg'"), "width", "height", "status") == [(64, 48, "ok")]
 
 
 def test_a_file_gives_itself_and_a_missing_path_raises(spark, tree):
@@ -50,16 +93,9 @@ def test_name_pattern(spark, tree):
     assert scan_files(spark, str(tree), name_pattern="a*").count() == 1
 
 
-def test_listing_does_not_read_contents(spark, tree):
-    plan = scan_files(spark, str(tree)).select("path", "length").where("length > 100")
-    text = plan._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<path:string,length:bigint>" in text
-    assert "GreaterThan(length,100)" in text
-
-
 def test_locations_lead_back_to_the_bytes(spark, tree):
     read = read_by_path()
-    for row in extract_metadata(scan_files(spark, str(tree))).collect():
+    for row in extract_metadata(scan_files(spark, str(tree))).where("status = 'ok'").collect():
         assert len(read(row.file_location)) == len(read(row.path)) == row.file_size
 
 

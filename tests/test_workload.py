@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from shelfmark.plans.workload import QUERIES
 from tools import compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -18,7 +19,7 @@ def duck():
     return compare.open_tables(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -33,4 +34,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert QUERIES.keys() <= contract.oracle_sql().keys()
