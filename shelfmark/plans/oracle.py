@@ -231,8 +231,8 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT doc_id, NULL, NULL, 'ValueError: too short' FROM sized WHERE size < {SHORTEST}""",
     "parallel_map": """
-        SELECT doc_id, lang,
-               CASE WHEN lang <> 'es' THEN len(string_split(text, ' ')) END AS value,
+        SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN doc_id + 9007199254740993 END AS large,
+               CASE WHEN lang <> 'es' THEN len(string_split(text, ' ')) + coalesce(large % 1000, 0) END AS value,
                CASE WHEN lang = 'es' THEN 'LookupError: es' END AS error FROM documents""",
     "register_files": REGISTERED_FILES,
     "stream_register": REGISTERED_FILES,
@@ -250,4 +250,19 @@ ORACLE: dict[str, str] = {
         SELECT (SELECT count(*) FROM numbered) + row_number() OVER (ORDER BY hash),
                file_location, width, height, file_type, hash, file_size
         FROM numbered WHERE height = 1""",
+    "registry_tags": f"""WITH {ASSET},
+        first AS (SELECT * FROM asset
+                  QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_location) = 1),
+        numbered AS (SELECT row_number() OVER (ORDER BY hash) AS image_id, 'w' || (width % 7) AS tag FROM first),
+        all_tags AS (
+            SELECT image_id, 'size' AS category, tag,
+                   CASE WHEN image_id % 3 = 0 THEN 0.75 ELSE (image_id % 10) / 16.0 END::DOUBLE AS score,
+                   image_id % 5 = 0 AS archived FROM numbered
+            UNION ALL
+            SELECT image_id, 'extra', tag, 0.75::DOUBLE, FALSE FROM numbered WHERE image_id % 3 = 0)
+        SELECT * FROM all_tags WHERE image_id % 7 <> 0""",
+    "registry_notes": f"""WITH {ASSET},
+        numbered AS (SELECT row_number() OVER (ORDER BY hash) AS image_id, hash FROM (SELECT DISTINCT hash FROM asset))
+        SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'second' ELSE 'first ' || hash END AS content,
+               CASE WHEN image_id % 4 = 0 THEN TRUE END AS fourth FROM numbered""",
 }

@@ -23,6 +23,8 @@ QUERIES: dict[str, Query] = {}
 # Key of the single-image lookups.
 IMAGE_ID = 7
 # Threshold of the flows that run the vowel scorer.
+# Added to an id gives a number that is not exact as a 64-bit float.
+BEYOND_DOUBLES = 2**53 + 1
 VOWEL_THRESHOLD = 0.08
 
 
@@ -357,16 +359,20 @@ def score_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("score", F.col("score").cast("double"))
 
 
-def _count_words(text: str, lang: str) -> int:
+def _count_words(text: str, large: int | None, lang: str) -> int:
     if lang == "es":
         raise LookupError(lang)
-    return len(text.split(" "))
+    return len(text.split(" ")) + (0 if large is None else large % 1000)
 
 
 @query
 def parallel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return scoring.parallel_map(rows, _count_words, T.LongType(), args=["text"], kwargs=["lang"]).drop("text")
+    """Words of each document, plus the end of a number that no double holds; odd ids have none."""
+    rows = data.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + BEYOND_DOUBLES).alias("large")
+    )
+    mapped = scoring.parallel_map(rows, _count_words, T.LongType(), args=["text", "large"], kwargs=["lang"])
+    return mapped.drop("text")
 
 
 # ---- flows over a registry --------------------------------------------------------------------
@@ -459,3 +465,35 @@ def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry.add_images(dedup.against_registry(files, registry.images()))
     registry.compact("images")
     return registry.images().drop("added_at", "updated_at")
+
+
+@query
+def registry_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a stored catalogue: upserted, replaced, archived and removed, batch after batch."""
+    registry = _registry(spark, "tags")
+    registry.add_images(staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files"))
+    images = registry.images()
+    side = F.concat(F.lit("w"), F.col("width") % 7)
+    tagged = images.select("image_id", F.lit("size").alias("category"), side.alias("tag"), (F.col("image_id") % 10 / 16).alias("score"))
+    registry.upsert_tags(tagged)
+    thirds = tagged.where("image_id % 3 = 0").withColumn("score", F.lit(0.75))
+    registry.upsert_tags(thirds.unionByName(thirds.withColumn("category", F.lit("extra"))))
+    registry.archive_tags(tagged.where("image_id % 5 = 0"))
+    registry.remove_tags(images.where("image_id % 7 = 0"))
+    return registry.model_tags()
+
+
+@query
+def registry_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of a stored catalogue, replaced for every second image, beside what look-ups find."""
+    registry = _registry(spark, "notes")
+    registry.add_images(staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files"))
+    images = registry.images()
+    registry.upsert_notes(images.select("image_id", F.concat(F.lit("first "), "hash").alias("content")))
+    registry.upsert_notes(images.where("image_id % 2 = 0").select("image_id", F.lit("second").alias("content")))
+    registry.upsert_tags(images.where("image_id % 4 = 0").select(
+        "image_id", F.lit("kind").alias("category"), F.lit("fourth").alias("tag"), F.lit(0.5).alias("score")
+    ))
+    tagged = lookups.images_by_tag(registry.images(), registry.model_tags(), "fourth", "kind")
+    found = tagged.select("image_id", F.lit(True).alias("fourth"))
+    return registry.notes().join(found, "image_id", "left")
