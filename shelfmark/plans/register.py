@@ -15,7 +15,7 @@ from shelfmark import storage
 from shelfmark.errors import InvalidRowError
 from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
-from shelfmark.operators.joins import lookup_join, measured_bytes
+from shelfmark.operators.joins import lookup_join
 from shelfmark.operators.metadata import extract_metadata, file_metadata, skipped_files, valid_files
 from shelfmark.operators.outcome import SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
@@ -165,7 +165,8 @@ def register(
             return score_assets(spread, scorer, content=None, threshold=threshold)
         bytes_of = files.select("path", F.col(content).alias("content"))
         with_bytes = lookup_join(bytes_of, of, ["path"], "inner", unique=True)
-        return score_assets(with_bytes, scorer, threshold=threshold)
+        # a table of files may list one twice
+        return score_assets(with_bytes, scorer, threshold=threshold).dropDuplicates(["hash"])
 
     plan = scores(fresh, kept.rows, kept.bytes)
     before = _found(registry, folder, "scored", plan.schema)
@@ -182,9 +183,8 @@ def register(
     outcomes, counts = staged_with_counts(classified, "outcomes", *count_columns(), folder=folder)
     if counts.any_success:
         with registry.batch(label, state) as batch:
-            new = successful(outcomes).select(*NEW_IMAGE_COLUMNS)
-            # A table of files may list one twice; a folder cannot.
-            ids = batch.add_images(new, checked=content is None)
+            # one file of each hash, none of them registered, all with valid metadata
+            ids = batch.add_images(successful(outcomes).select(*NEW_IMAGE_COLUMNS), checked=True)
             batch.add_new_tags(new_tag_rows(scored, ids, vocab, vocab_bytes))
     storage.create(spark, os.path.join(folder, DONE), "")
     for name in ("fresh", "scored", "scored-more"):
@@ -200,9 +200,12 @@ def register(
 
 def _checked_vocabulary(vocab: DataFrame) -> int:
     """Its size in bytes; refused if it names a tag twice, for such tags would share a key."""
-    if not vocab.groupBy("category", "tag").count().where("count > 1").isEmpty():
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in vocab.columns), F.lit(0))
+    tags = vocab.groupBy("category", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    most, total = tags.agg(F.max("n"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if (most or 0) > 1:
         raise InvalidRowError("the vocabulary names a tag of a category more than once")
-    return measured_bytes(vocab)
+    return total
 
 
 def _workspace(registry: Registry, label: str | None) -> str:

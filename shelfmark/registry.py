@@ -40,7 +40,7 @@ from shelfmark.errors import (
 )
 from shelfmark.functions.columns import valid_location, valid_size, validity
 from shelfmark.operators import changes, checks
-from shelfmark.operators.dedup import duplicate_hashes
+from shelfmark.operators.dedup import HASH_ROW_BYTES, duplicate_hashes
 from shelfmark.operators.joins import lookup_join
 from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES, UPDATABLE_COLUMNS
 from shelfmark.session import empty_table, staged_with_counts
@@ -335,14 +335,16 @@ class Batch:
             nulls = checks.null_count(TABLES["images"].schema, NEW_IMAGE_COLUMNS).alias("nulls")
             rule = validity(*[F.col(c) for c in ("file_location", "hash", "width", "height")])
             new, seen = staged_with_counts(
-                new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls, F.count_if(rule != "ok").alias("invalid")
-            )
+                new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls, F.count_if(rule != "ok").alias("invalid"),
+                F.count(F.lit(1)).alias("rows"),
+            )
             self._refuse("images", seen.nulls, seen.invalid)
             if not duplicate_hashes(new).isEmpty():
                 raise DuplicateImageError("the batch holds the same hash more than once")
             registered = self.read("images").select("hash")
+            size = seen.rows * HASH_ROW_BYTES
             if not lookup_join(
-                registered, new.select("hash"), ["hash"], "left_semi", unique=True
+                registered, new.select("hash"), ["hash"], "left_semi", size, unique=True
             ).isEmpty():
                 raise DuplicateImageError("a hash is registered already")
         numbered = changes.numbered_images(new, self.next_image_id)
