@@ -160,7 +160,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     spark = docs.sparkSession
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
     marks = docs.select(number.alias("id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    least = staged(marks.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-copies")
+    found = marks.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = staged(found.where("n > 1"), "repeat-copies")
     copies = staged(
         marks.join(least, ["t1", "t2"]).where("id > least").groupBy("id").agg(F.collect_set("t1").alias("copied")),
         "repeat-copied",
@@ -170,11 +171,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     (
         docs.select("doc_id", "text", number.alias("id")).join(copies, "id", "left")
-        .select("id", "doc_id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
+        .withColumn("copy", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)))
+        .select("id", "doc_id", "text", "copy")
         .write.bucketBy(parts, "id").option("compression", "zstd")
         .option("path", new_workspace(spark, "repeat-texts")).saveAsTable(table)
     )
     texts = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone; the frame keeps the files and their buckets
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +213,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
+            numbers = pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column("doc_id"), *numbers, pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
@@ -221,10 +225,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
         "id IS NOT NULL AND (pack IS NOT NULL OR n > 1)"
     )
     candidates = _by_document(_unpacked(repeated))
+    wanted = texts.where("NOT copy").select("id", "text", "copy").join(candidates, "id")
     fulls = staged(
-        texts.where("NOT copy").select("id", "text", "copy").join(candidates, "id").select("id", "text", "copy", "singles", "packs")
-        .mapInArrow(full, SCHEMA), "repeat-full",
-    )
+        wanted.select("id", "text", "copy", "singles", "packs").mapInArrow(full, SCHEMA), "repeat-full"
+    )
     same = Window.partitionBy("h", "g")
     later = fulls.withColumn("least", F.min("id").over(same)).where("pack IS NOT NULL OR id > least")
     verdicts = _by_document(_unpacked(later))

@@ -151,8 +151,10 @@ class Model:
         lengths = self.lengths[ids]
         if (ids == self.unknown).any():
             pieces = self.processor.encode(text.decode(), out_type=str)
-            real = np.flatnonzero(lengths > 0)
-            lengths[real] = [1 if ids[i] != self.unknown and self.lengths[ids[i]] == 1 and p.startswith("<0x") else len(p.encode()) for i, p in zip(real, pieces, strict=True)]
+            # an unknown piece covers its own text, however long; bytes and all others are as before
+            for i, piece in zip(np.flatnonzero(lengths > 0), pieces, strict=True):
+                if ids[i] == self.unknown:
+                    lengths[i] = len(piece.encode())
         stop = np.cumsum(lengths)
         if (stop[-1] if len(stop) else 0) != len(begins):
             raise ValueError("pieces and normalised text differ in length")

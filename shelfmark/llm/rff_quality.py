@@ -28,7 +28,10 @@ LOWEST, HIGHEST = -0.5, 1.5
 # Labelled rows summed by one task.
 ROWS_PER_TASK = 20_000
 # Classes of bytes whose shares are statistics.
-_CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!?", "#*$%&", "|<>", "\n", " \t\r", "()[]{}\"'/-_=+@", None)
+_CLASSES = (
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!?", "#*$%&", "|<>",
+    "\n", " \t\r", "()[]{}\"'/-_=+@", None,
+)
 STATISTICS = 8 + len(_CLASSES)
 
 

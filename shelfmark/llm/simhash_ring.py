@@ -8,8 +8,6 @@ are a join key; the others prune what it finds before the full comparison.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
