@@ -175,6 +175,27 @@ ORACLE = {
             md5(text) AS text_md5
         FROM copies
     """,
+    "op7_doubling": rf"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, start, array_to_string(words[start:start + {doubling.WINDOW_WORDS - 1}], ' ') AS phrase
+            FROM split, unnest(range(1, len(words) - {doubling.WINDOW_WORDS - 2})) AS t(start)
+        ), later AS (
+            SELECT doc_id, start FROM (SELECT *, min(doc_id) OVER (PARTITION BY phrase) AS first FROM windows)
+            WHERE doc_id > first
+        ), gone AS (
+            SELECT DISTINCT doc_id, start + step AS pos FROM later, unnest(range({doubling.WINDOW_WORDS})) AS t(step)
+        ), flat AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM split
+        ), kept AS (
+            SELECT doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone.pos IS NULL) AS text
+            FROM flat LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
     "op9_bloom_cascade": rf"""
         WITH rest AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
