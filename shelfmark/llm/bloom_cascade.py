@@ -70,7 +70,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         levels.append(_level(inside, n_inside, len(levels), error))
         passed = outside.where(levels[-1].contains(F.col("key")))
         if len(levels) == 1:  # only here the tested keys may include listed ones
-            passed = lookup_join(passed, listed, ["key"], "left_anti", unique=True)
+            passed = lookup_join(passed, listed, ["key"], "left_anti")
         passed, n_passed = _counted(passed, "cascade-passed")
         inside, n_inside, outside, n_outside = passed, n_passed, inside, n_inside
     return Cascade(levels)
