@@ -59,7 +59,7 @@ def changed_images(current: DataFrame, changes: DataFrame) -> DataFrame:
     kept = current.drop(*UPDATABLE_COLUMNS)
     if "updated_at" in kept.columns:
         kept = kept.withColumn("updated_at", F.localtimestamp())
-    return lookup_join(kept, changes, ["image_id"], unique=True).select(*current.columns)
+    return lookup_join(kept, changes, ["image_id"]).select(*current.columns)
 
 
 def update_images(current: DataFrame, changes: DataFrame) -> DataFrame:

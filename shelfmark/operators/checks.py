@@ -37,12 +37,12 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
         return used.join(F.broadcast(ids), "image_id", "left_anti")
     size = used.count() * ID_ROW_BYTES
     found = joins.lookup_join(
-        ids, used.select("image_id"), ["image_id"], "left_semi", size, unique=True
+        ids, used.select("image_id"), ["image_id"], "left_semi", size
     )
-    return joins.lookup_join(used, found, ["image_id"], "left_anti", size, unique=True)
+    return joins.lookup_join(used, found, ["image_id"], "left_anti", size)
 
 
 def in_use(ids: DataFrame, *children: DataFrame) -> DataFrame:
     """Child rows that refer to one of the (distinct) ids, as ids."""
     used = reduce(DataFrame.unionByName, [c.select("image_id") for c in children])
-    return joins.lookup_join(used, ids, ["image_id"], "left_semi", unique=True)
+    return joins.lookup_join(used, ids, ["image_id"], "left_semi")

@@ -30,7 +30,7 @@ def against_registry(
         known = hashes.join(F.broadcast(candidates), "hash", "left_semi")
         # Known hashes are some of the candidates, so they are no larger.
         return incoming.join(F.broadcast(known), "hash", "left_anti")
-    return joins.salted_join(incoming, hashes, ["hash"], "left_anti")
+    return incoming.join(hashes, ["hash"], "left_anti")
 
 
 def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins against a lookup side: broadcast when its measured size allows, salted otherwise."""
+"""Joins against a lookup side: broadcast when its measured size allows, shuffled otherwise."""
 
 from __future__ import annotations
 
@@ -10,13 +10,6 @@ from pyspark.sql import types as T
 
 # Upper size of a side that may be copied to every executor.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# A key is hot when it holds more than this share of the rows seen, so there are at most 256.
-HOT_SHARE = 1 / 256
-# Rows looked at to find hot keys.
-HOT_SAMPLE_ROWS = 1_000_000
-
-_SALT = "_salt"
-_HOT = "_hot"
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -31,59 +24,18 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more than HOT_SHARE of the rows; by that share they are few.
-
-    A large table is judged by a repeatable sample. It decides only where rows are processed: a
-    key that is missed, or found in vain, changes no result.
-    """
-    keys = df.select(*on)
-    total = df.count()
-    if total > HOT_SAMPLE_ROWS:
-        keys = keys.sample(HOT_SAMPLE_ROWS / total, seed=total)
-    seen = min(total, HOT_SAMPLE_ROWS)
-    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > seen * HOT_SHARE).select(*on)
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Shuffle join in which the rows of a hot left key go to many tasks.
-
-    Left rows of a hot key are spread over as many parts as a shuffle has, by a hash of the whole
-    row, so that a retried task repeats its choice; matching right rows are repeated once per
-    part. Exact for every join type that keeps left rows (inner, left, left_semi, left_anti).
-    """
-    spark = left.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(left, on)
-    # fetched once (at most 256 rows): both sides must agree on them, whatever a sample gives
-    keys = spark.createDataFrame(found.collect(), found.schema)
-    hot = F.broadcast(keys.withColumn(_HOT, F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(n_parts)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(n_parts - 1))
-    salted_left = left.join(hot, list(on), "left").withColumn(
-        _SALT, F.when(F.col(_HOT), spread).otherwise(0)
-    )
-    salted_right = right.join(hot, list(on), "left").withColumn(
-        _SALT, F.explode(F.when(F.col(_HOT), parts).otherwise(F.array(F.lit(0))))
-    )
-    return salted_left.drop(_HOT).join(salted_right.drop(_HOT), [*on, _SALT], how).drop(_SALT)
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     right_bytes: int | None = None,
-    unique: bool = False,
 ) -> DataFrame:
     """Join a large left side with a lookup side: broadcast if small enough, shuffled otherwise.
 
     ``right_bytes`` is an upper bound of its size; the side is measured when the caller has none.
-    ``unique`` tells that left keys hardly repeat, so that the shuffle needs no salt.
+    Adaptive execution splits the left rows of a hot key in a shuffled join; a salt of our own cost
+    more than it saved.
     """
     size = measured_bytes(right) if right_bytes is None else right_bytes
-    if size <= MAX_BROADCAST_BYTES:
-        return left.join(F.broadcast(right), list(on), how)
-    return left.join(right, list(on), how) if unique else salted_join(left, right, on, how)
+    return left.join(F.broadcast(right) if size <= MAX_BROADCAST_BYTES else right, list(on), how)

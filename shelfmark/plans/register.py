@@ -164,7 +164,7 @@ def register(
             spread = of.repartition(scoring_tasks(registry, n, size), "hash")
             return score_assets(spread, scorer, content=None, threshold=threshold)
         bytes_of = files.select("path", F.col(content).alias("content"))
-        with_bytes = lookup_join(bytes_of, of, ["path"], "inner", unique=True)
+        with_bytes = lookup_join(bytes_of, of, ["path"], "inner")
         # a table of files may list one twice
         return score_assets(with_bytes, scorer, threshold=threshold).dropDuplicates(["hash"])
 
@@ -173,8 +173,8 @@ def register(
     if before is None:
         scored = staged(plan, "scored", folder)
     else:
-        usable = lookup_join(before, fresh.select("hash"), ["hash"], "left_semi", unique=True)
-        missing = lookup_join(fresh, before.select("hash"), ["hash"], "left_anti", unique=True)
+        usable = lookup_join(before, fresh.select("hash"), ["hash"], "left_semi")
+        missing = lookup_join(fresh, before.select("hash"), ["hash"], "left_anti")
         lacking = missing.agg(rows, size).first()
         more = [staged(scores(missing, lacking.rows, lacking.bytes), "scored-more", folder)] if lacking.rows else []
         scored = usable if not more else usable.unionByName(more[0])

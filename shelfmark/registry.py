@@ -344,7 +344,7 @@ class Batch:
             registered = self.read("images").select("hash")
             size = seen.rows * HASH_ROW_BYTES
             if not lookup_join(
-                registered, new.select("hash"), ["hash"], "left_semi", size, unique=True
+                registered, new.select("hash"), ["hash"], "left_semi", size
             ).isEmpty():
                 raise DuplicateImageError("a hash is registered already")
         numbered = changes.numbered_images(new, self.next_image_id)
@@ -410,7 +410,7 @@ class Batch:
         """Set the archive mark of the tags named by (image_id, category, tag)."""
         key = list(TABLES["model_tags"].key)
         wanted = keys.select(*key).distinct()
-        marked = lookup_join(self.read("model_tags"), wanted, key, "left_semi", unique=True)
+        marked = lookup_join(self.read("model_tags"), wanted, key, "left_semi")
         self.write_changes("model_tags", marked.withColumn("archived", F.lit(archived)), PUT)
 
     def _ids(self, ids: DataFrame | Sequence[int] | int) -> DataFrame:
@@ -420,7 +420,7 @@ class Batch:
         return self.registry.spark.createDataFrame(pa.table({"image_id": pa.array(listed, pa.int64())}))
 
     def _of(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
-        return lookup_join(rows, ids, ["image_id"], "left_semi", unique=True)
+        return lookup_join(rows, ids, ["image_id"], "left_semi")
 
     def _refuse(self, table: str, nulls: int, invalid: int = 0) -> None:
         if nulls:

@@ -23,42 +23,13 @@ def skewed(spark):
     return keys, lookup
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(skewed, how):
-    left, right = skewed
-    salted = joins.salted_join(left, right, ["k"], how)
-    plain = left.join(right, "k", how)
-    assert salted.columns == plain.columns
-    assert rows(salted) == rows(plain)
-
-
-def test_salt_spreads_the_hot_key(skewed):
-    left, right = skewed
-    hot = joins.hot_keys(left, ["k"])
-    assert rows(hot) == [(0,)]
-    salted = joins.salted_join(left, right, ["k"], "inner")
-    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_hot_keys_are_few_by_definition(spark):
-    even = spark.range(256 * 4).select((F.col("id") % 256).alias("k"))
-    assert joins.hot_keys(even, ["k"]).count() == 0
-
-
-def test_hot_keys_of_a_large_table_come_from_a_sample(skewed, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_SAMPLE_ROWS", 500)
-    left, right = skewed
-    assert (0,) in rows(joins.hot_keys(left, ["k"]))
-    assert rows(joins.salted_join(left, right, ["k"], "left")) == rows(left.join(right, "k", "left"))
-
-
 def test_lookup_side_is_broadcast_only_when_small(skewed, monkeypatch):
     left, right = skewed
     small = joins.lookup_join(left, right, ["k"], "left_anti")
     assert "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 100)
     large = joins.lookup_join(left, right, ["k"], "left_anti")
-    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
     assert rows(small) == rows(large)
 
 
@@ -326,19 +297,6 @@ def _kinds(*values):
     return " ".join(type(v).__name__ for v in values)
 
 
-def test_salted_join_without_reused_exchanges(spark, skewed, monkeypatch):
-    """Both sides agree on the hot keys although each look at the rows finds others in its sample."""
-    left, right = skewed
-    monkeypatch.setattr(joins, "HOT_SAMPLE_ROWS", 100)
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        mixed = left.orderBy(F.rand())
-        for how in ("inner", "left_anti"):
-            assert rows(joins.salted_join(mixed, right, ["k"], how)) == rows(left.join(right, "k", how))
-    finally:
-        spark.conf.unset("spark.sql.exchange.reuse")
-
-
 def _add(a, b, c=0):
     return a + b + c
 
