@@ -168,9 +168,14 @@ def _model(proto: bytes) -> Model:
     return Model(proto)
 
 
-def encode(docs: DataFrame, model: bytes, begin: bool = True, end: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, model: bytes, begin: bool = True, end: bool = True, decoded: bool = False
+) -> DataFrame:
     """(doc_id, ids, begins, ends, ids_packed) for each document: the whole text, without sampling.
 
+    With ``decoded`` the text that the ids decode to is added in the same pass, so that long lists
+    of ids need not cross to Python again.
+
     begins and ends are offsets into the UTF-8 text; ids_packed holds the ids as little-endian
     unsigned 32-bit integers. Null counts as empty and has only the begin and end ids. The result
     depends on the text alone, so repeated rows give repeated results. ``model`` is the file's
@@ -197,16 +202,20 @@ def encode(docs: DataFrame, model: bytes, begin: bool = True, end: bool = True)
                 batch.column("doc_id"), lists(ids), lists([s[0] for s in spans]), lists([s[1] for s in spans]),
                 pa.array(packed, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "begins", "ends", "ids_packed"])
+            if decoded:
+                columns.append(pa.array(loaded.processor.decode(found, num_threads=1), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, ids_packed binary"
-    )
+    kinds = {
+        "doc_id": dict(docs.dtypes)["doc_id"], "ids": "array<int>", "begins": "array<int>", "ends": "array<int>",
+        "ids_packed": "binary", **({"decoded": "string"} if decoded else {}),
+    }
+    names = list(kinds)
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Adds the decoded text in place of the ids; a null list gives a null text. A column named
+    """For stored ids: adds the decoded text in place of the ids; a null list gives a null text. A column named
     like the new one is replaced."""
     others = [c for c in encoded.columns if c not in (ids, text)]
 

@@ -46,14 +46,11 @@ def _code(column: str) -> Column:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_bytes: where the span of the last piece ends, which is the length of the text."""
-    model = tokenizer_model()
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model).select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2("ids_packed", 256).alias("ids_sha256"), F.element_at("ends", -1).alias("source_bytes"),
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_model(), decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("ids_packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).alias("source_bytes"),
     )
-    return pieces.decode(encoded, model).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"), "source_bytes"
-    )
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

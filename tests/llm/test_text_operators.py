@@ -60,8 +60,9 @@ def tuples(df):
 
 def encoded_as_library(df, proto, texts):
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
-    got = pieces.decode(pieces.encode(df, proto).withColumn("again", F.col("ids")), proto, ids="again").collect()
-    assert len(got) == len(texts)
+    encoded = pieces.encode(df, proto, decoded=True).withColumn("again", F.col("ids"))
+    got = pieces.decode(encoded, proto, ids="again").collect()
+    assert len(got) == len(texts) and all(r.text == r.decoded for r in got)
     for row in got:
         text = texts[row.doc_id] or ""
         ids = lib.encode(text, add_bos=True, add_eos=True)
