@@ -267,7 +267,7 @@ class Registry:
         parts = [p for p in state.parts if p.table == table]
         if len(parts) < 2 and all(p.kind == BASE for p in parts):
             return
-        with self.batch() as batch:
+        with self.batch(state=state) as batch:
             rows = self.read(table, state).repartitionByRange(*TABLES[table].sort)
             batch.write(table, BASE, rows, rebalance=False)
 
