@@ -179,11 +179,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The documents, one of each near-duplicate group: that of the least doc_id; of rows that repeat
-    this doc_id and text one stays. Of a group without any doc_id each different text stays."""
+    this doc_id and text one stays. Of a group without any doc_id each different text stays.
+    ``groups`` (doc_id, text_hash, component_id) are those of near_groups unless given."""
     key, mark = free_name(docs, "ring_id"), free_name(docs, "ring_text")
-    chosen = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    groups = near_groups(docs) if groups is None else groups
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias(key), F.col("text_hash").alias(mark)
     )
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(mark))

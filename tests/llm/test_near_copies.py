@@ -1,0 +1,56 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+import pytest
+
+from shelfmark.llm import near_copies, queries, simhash_ring
+from shelfmark.llm.minhash import shingle_hashes
+
+SF = "/root/testdata/sf0.001"
+
+
+def survivors(rows: list[tuple]) -> list[int]:
+    """Least doc_id of each group linked by a Jaccard similarity of 0.8, pair by pair."""
+    sets = [set(shingle_hashes((t or "").encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted({rows[find(i)][0] for i in range(len(rows))})
+
+
+def edited(texts: list[str], copies: int, most: int) -> list[str]:
+    """Copies of the texts with some words replaced, scattered."""
+    rng, made = random.Random(5), []
+    for text in texts:
+        for _ in range(copies):
+            words = text.split()
+            for place in rng.sample(range(len(words)), rng.randint(1, most)):
+                words[place] = f"edit{rng.random()}"
+            made.append(" ".join(words))
+    return made
+
+
+@pytest.mark.parametrize("hot", [128, 2])
+def test_stage_drops_all_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "HOT_MEMBERS", hot)
+    monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 3 if hot == 2 else 512)
+    docs = queries.table(spark, SF, "documents")
+    texts = [r.text for r in docs.collect() if r.text and 150 <= len(r.text.split()) <= 600][:25]
+    old = sorted((r.doc_id, r.text) for r in docs.collect())
+    rows = old + [(10_000 + i, t) for i, t in enumerate(edited(texts, 6, 8))] + [(20_000, None), (20_001, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert kept == survivors(rows)
+    assert len(kept) < simhash_ring.keep_one(df).count()
