@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from fnmatch import fnmatchcase
 from typing import Any, BinaryIO
@@ -24,15 +25,6 @@ from shelfmark.functions.images import CHAIN_PREFIX, HEADER_BYTES, CutShort, cha
 from shelfmark.schema import FILES_PER_BATCH
 from shelfmark.session import staged
 
-# Columns of Spark's binaryFile source, needed up front by a stream.
-FILE_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("modificationTime", T.TimestampType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
 # The largest content that fits into one value of a column.
 MAX_CONTENT = 2**31 - 2**16
 TOO_LARGE = "too large for a column"
@@ -135,27 +127,32 @@ def probe_files(files: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class FileStream:
+    """A growing folder, taken lot by lot."""
+
+    spark: SparkSession
+    path: str
+    recursive: bool
+    files_per_batch: int
+    name_pattern: str | None
+
+    def listing(self) -> DataFrame:
+        return list_files(self.spark, self.path, self.recursive, self.name_pattern)
+
+
 def file_stream(
     spark: SparkSession,
     path: str,
     recursive: bool = False,
     files_per_batch: int = FILES_PER_BATCH,
     name_pattern: str | None = None,
-) -> DataFrame:
-    """The files of a growing folder as a stream that takes at most ``files_per_batch`` at a time.
+) -> FileStream:
+    """The files of a growing folder for ``stream_register``, at most ``files_per_batch`` at a time.
 
-    Spark's own file source lists them, which leaves out names that start with a dot or an
-    underscore; a batch run over the same folder takes those.
+    They are those of ``list_files``, whatever their names or sizes.
     """
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", recursive)
-        .option("maxFilesPerTrigger", files_per_batch)
-    )
-    if name_pattern:
-        reader = reader.option("pathGlobFilter", name_pattern)
-    return reader.load(path)
+    return FileStream(spark, path, recursive, files_per_batch, name_pattern)
 
 
 def opener() -> Callable[[str], BinaryIO]:

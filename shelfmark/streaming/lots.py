@@ -1,0 +1,114 @@
+"""Lots of a growing folder: what the listing has and no lot before has taken.
+
+Lots are stored below the checkpoint before they are worked on, so that a lot that broke off is the
+same when it runs again. A file is taken once, by its path.
+"""
+
+from __future__ import annotations
+
+import os
+import threading
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfmark import storage
+from shelfmark.session import staged
+from shelfmark.sources.files import FileStream
+
+# Seconds between two listings of a folder that had nothing new.
+INTERVAL = 10.0
+_LOT = "path string, modificationTime timestamp, length bigint"
+
+
+class LotQuery:
+    """Works through lots in a thread of its own; the part of a StreamingQuery that callers need."""
+
+    def __init__(self, stream: FileStream, run: Callable[[DataFrame, int, str], None], checkpoint: str, available_now: bool):
+        self._stream, self._run, self._available_now = stream, run, available_now
+        self._spark, self._root = stream.spark, checkpoint
+        self._stopped, self._error = threading.Event(), None
+        self._thread = threading.Thread(target=self._work, name="lots", daemon=True)
+        self._thread.start()
+
+    @property
+    def isActive(self) -> bool:
+        return self._thread.is_alive()
+
+    def exception(self) -> BaseException | None:
+        return self._error
+
+    def stop(self) -> None:
+        """Ends after the lot that is being worked on."""
+        self._stopped.set()
+        self._thread.join()
+
+    def awaitTermination(self, timeout: float | None = None) -> bool | None:
+        self._thread.join(timeout)
+        if self._error:
+            raise self._error
+        return None if timeout is None else not self.isActive
+
+    def _work(self) -> None:
+        try:
+            self._state = self._identity()
+            number = self._resumed()
+            while not self._stopped.is_set():
+                number = self._round(number)
+                if self._available_now:
+                    break
+                self._stopped.wait(INTERVAL)
+        except BaseException as problem:
+            self._error = problem
+
+    def _identity(self) -> str:
+        """A name of this checkpoint, so that another one under the same label is not taken for it."""
+        path = os.path.join(self._root, "lots-id")
+        storage.create(self._spark, path, uuid.uuid4().hex)
+        return storage.read(self._spark, path)
+
+    def _at(self, number: int) -> str:
+        return os.path.join(self._root, "lots", f"lot={number}")
+
+    def _resumed(self) -> int:
+        """Number of the next lot, after one that was stored but not finished has run."""
+        folders = storage.names(self._spark, os.path.join(self._root, "lots")) or []
+        numbers = sorted(int(n.removeprefix("lot=")) for n in folders if n.startswith("lot="))
+        if not numbers:
+            return 0
+        last = numbers[-1]
+        if not storage.exists(self._spark, os.path.join(self._at(last), "_SUCCESS")):
+            return last
+        if not storage.exists(self._spark, self._mark(last)):
+            self._finish(last)
+        return last + 1
+
+    def _mark(self, number: int) -> str:
+        return os.path.join(self._root, "lots-done", str(number))
+
+    def _finish(self, number: int) -> None:
+        lot = self._spark.read.schema(_LOT).parquet(self._at(number))
+        self._run(lot, number, self._state)
+        storage.create(self._spark, self._mark(number), "")
+
+    def _taken(self, before: int) -> DataFrame:
+        if not before:
+            return self._spark.createDataFrame([], "path string")
+        lots = self._spark.read.schema(f"{_LOT}, lot bigint").parquet(os.path.join(self._root, "lots"))
+        return lots.where(F.col("lot") < before).select("path")
+
+    def _round(self, number: int) -> int:
+        """All that the folder has now; the number of the next lot."""
+        new = staged(self._stream.listing().join(self._taken(number), "path", "left_anti").select("path", "modificationTime", "length"), "lots-new")
+        while not self._stopped.is_set():
+            rest = new.join(self._taken(number), "path", "left_anti")
+            lot = rest.orderBy("modificationTime", "path").limit(self._stream.files_per_batch)
+            lot.write.mode("overwrite").parquet(self._at(number))
+            if self._spark.read.schema(_LOT).parquet(self._at(number)).isEmpty():
+                storage.delete(self._spark, self._at(number))
+                break
+            self._finish(number)
+            number += 1
+        return number

@@ -11,11 +11,13 @@ from shelfmark.operators.scoring import ScorerFactory
 from shelfmark.plans.register import Registration, register
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD
+from shelfmark.sources.files import FileStream, read_files
+from shelfmark.streaming.lots import LotQuery
 
 
 def stream_register(
     registry: Registry,
-    files: DataFrame,
+    files: DataFrame | FileStream,
     scorer: ScorerFactory,
     vocab: DataFrame,
     checkpoint: str,
@@ -26,15 +28,18 @@ def stream_register(
     content: str | None = None,
     on_batch: Callable[[int, Registration], None] | None = None,
     available_now: bool = True,
-) -> StreamingQuery:
+) -> StreamingQuery | LotQuery:
     """Register each micro-batch of a file stream before the next one starts.
 
     A micro-batch sees what earlier ones stored. Its commit carries ``name`` and its number, so
     one that runs again after a failure changes nothing. ``on_batch`` is told the number and the
     result of each; its tables of metadata and outcomes are removed after that.
+
+    A ``file_stream`` is listed as in a batch run, so every file is registered or told as skipped;
+    which paths are taken is kept below ``checkpoint``. Other streams are Spark's.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int, state: str | None = None) -> None:
         result = register(
             registry,
             batch,
@@ -43,12 +48,15 @@ def stream_register(
             threshold=threshold,
             on_duplicate=on_duplicate,
             content=content,
-            label=f"{name}:{batch_id}",
+            label=f"{name}:{state}:{batch_id}" if state else f"{name}:{batch_id}",
         )
         if on_batch:
             on_batch(batch_id, result)
         result.release()
 
+    if isinstance(files, FileStream):
+        whole = run if content is None else lambda lot, number, state: run(read_files(lot), number, state)
+        return LotQuery(files, whole, checkpoint, available_now)
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
