@@ -2,7 +2,8 @@
 
 Each document is repeated k times, k drawn from a Poisson distribution whose mean is the repetition
 rate that brings its source to the target share. The draw inverts the distribution at a uniform
-number hashed from seed and doc_id, so it is the same in every run and on every retry.
+number hashed from seed and doc_id, or text where there is no doc_id, so it is the same in every
+run and on every retry.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ def mix(
 
     Adds copy (1 to n_copies), n_copies and mix_key; columns of these names are replaced. Rows go
     to partitions by the hash of mix_key and are sorted by it inside each, so partitions read one
-    after the other are one shuffled sequence. Rows that repeat a doc_id share its draw, and so do
-    rows without a doc_id; a null text weighs 1 byte. No rows in, no rows out.
+    after the other are one shuffled sequence. Rows that repeat a doc_id share its draw;
+    rows without a doc_id are drawn by their text. A null text weighs 1 byte. No rows in, no rows out.
     """
     rates, n_sources = source_rates(docs, weights, default_weight, epochs)
     kept = docs.drop("copy", "n_copies", "mix_key")
@@ -108,7 +109,8 @@ def _source_key() -> Column:
 
 
 def _seeded(seed: int, use: str, number: Column) -> Column:
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    text = F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit("null")))
+    doc = F.coalesce(F.col("doc_id").cast("string"), text)
     return F.concat_ws(":", F.lit(str(seed)), F.lit(use), doc, number.cast("string"))
 
 
