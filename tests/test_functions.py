@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from conftest import bmp, bmp_os2, gif, jpeg, png, rows, tiff, webp
+from builders import bmp, bmp_os2, gif, jpeg, png, rows, tiff, webp
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

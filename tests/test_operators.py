@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from builders import rows
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from conftest import gif, jpeg, png, rows
+from builders import gif, jpeg, png, rows
 
 from shelfmark.errors import DuplicateImageError, InvalidRowError
 from shelfmark.operators import joins

@@ -4,7 +4,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import IMAGE_COLUMNS, image_row, rows
+from builders import IMAGE_COLUMNS, image_row, rows
 from pyspark.sql import functions as F
 
 from shelfmark import storage

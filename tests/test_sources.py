@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import png, rows
+from builders import png, rows
 
 from pyspark.sql import functions as F
 
@@ -73,7 +73,7 @@ def extraction_status_of(spark, error):
 
 
 def test_bytes_and_files_give_the_same_metadata(spark, tree):
-    from conftest import jpeg
+    from builders import jpeg
 
     (tree / "long.jpg").write_bytes(b"\xff\xd8" + (b"\xff\xe1\xff\xff" + bytes(65533)) * 40 + jpeg(64, 48)[2:])
     listed = list_files(spark, str(tree), recursive=True)

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import png
+from builders import png
 from test_register import last_byte_scorer, stored, vocab  # noqa: F401
 
 from shelfmark.sources import file_stream
