@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import line_runs, near_copies, pieces, poisson_mix, rff_quality, simhash_ring
+from shelfmark.llm import line_runs, pieces, poisson_mix, rff_quality, simhash_ring
 from shelfmark.llm.common import table
-from shelfmark.llm.queries import MIN_DOCS, MIX_SEED, MIX_WEIGHTS, tokenizer_model
+from shelfmark.llm.queries import DISTANCE, MIN_DOCS, MIX_SEED, MIX_WEIGHTS, SHINGLE_WORDS, tokenizer_model
 from shelfmark.session import staged
 
 
@@ -29,8 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more) the document with the least doc_id stays."""
-    return simhash_ring.keep_one(docs, near_copies.near_groups(docs))
+    """Of each group of near copies (three-word SimHashes that links of at most three bits connect) the
+    document with the least doc_id stays."""
+    return simhash_ring.keep_one(docs, simhash_ring.near_groups(docs, SHINGLE_WORDS, DISTANCE))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 SHARDS = 8
 MIN_DOCS = 10
+SHINGLE_WORDS = 3
+DISTANCE = 3
 MIX_SEED = 17
 # Parts of the mixture: this source gets three, every other one.
 MIX_WEIGHTS = {"src0": 3.0}
@@ -79,7 +81,7 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash_ring.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash_ring.near_groups(table(spark, sf_dir, "documents"), SHINGLE_WORDS, DISTANCE)
     return groups.select("doc_id", simhash_ring.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -31,7 +31,7 @@ KEY_BYTES = 32
 BLOCK = 65_536
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     """64 bits, each set if it is set in over half of the hashes of the word shingles."""
     words = text.lower().split()
     if not words:
@@ -39,7 +39,7 @@ def fingerprint(text: bytes) -> int:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.append(0, ends[:-1] + 1)
-    width = min(SHINGLE_WORDS, len(words))
+    width = min(shingle_words, len(words))
     places = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in places), np.uint64, len(words) - width + 1)
@@ -50,21 +50,23 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, text_hash, fp) for each document, fp as a signed 64-bit number; null texts count as empty."""
     kind = dict(docs.dtypes)["doc_id"]
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return arrow_map(hashed, hashed.columns, f"doc_id {kind}, text_hash bigint, fp bigint", lambda batch: {
         "doc_id": batch.column("doc_id"),
         "text_hash": batch.column("text_hash"),
-        "fp": pa.array(np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)),
+        "fp": pa.array(np.array([fingerprint(t, shingle_words) for t in texts_of(batch)], np.uint64).view(np.int64)),
     })
 
 
-def fingerprint_links(nodes: DataFrame) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b), a > b, between distinct fingerprints of column fp, that connect just those
-    which links of at most DISTANCE bits connect. All links are given but inside hot keys, where
-    spanning trees stand for them."""
+    which links of at most ``distance`` bits, three or fewer, connect. All links are given but inside
+    hot keys, where spanning trees stand for them."""
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"the ring's keys find fingerprints up to {DISTANCE} bits apart")
     fp = F.col("fp")
     exact = nodes.select(
         "fp", F.explode(F.array(*[_ring_key(i) for i in range(SEGMENTS)])).alias("key")
@@ -83,7 +85,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     either = exact.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
     if counts["n"]:
         hot = F.broadcast(sizes) if counts["n"] * KEY_BYTES <= MAX_BROADCAST_BYTES else sizes
-        edges = _hot_edges(either.join(hot, "key"))
+        edges = _hot_edges(either.join(hot, "key"), distance)
         either = either.join(hot.select("key"), "key", "left_anti")
     build = exact.select("key", F.col("fp").alias("other"))
     pairs = either.join(build, "key").where((F.col("fp") != F.col("other")) & (F.col("near") | (F.col("fp") > F.col("other"))))
@@ -91,8 +93,8 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     start = F.shiftright("key", 2 * WIDTH).cast("int")
     third = F.element_at(F.array(*[_segment(differ, i + 2) for i in range(SEGMENTS)]), start + 1)
     second = F.element_at(F.array(*[_segment(differ, i + 1) for i in range(SEGMENTS)]), start + 1)
-    chained = F.bit_count(second) + F.bit_count(third) <= 3 * DISTANCE // SEGMENTS
-    found = pairs.where(chained & (F.bit_count(differ) <= DISTANCE)).select(
+    chained = F.bit_count(second) + F.bit_count(third) <= 3 * distance // SEGMENTS
+    found = pairs.where(chained & (F.bit_count(differ) <= distance)).select(
         F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")
     )
     return (found.unionByName(edges) if counts["n"] else found).distinct()
@@ -112,11 +114,26 @@ def _ring_key(start: int) -> Column:
     return F.lit(start << 2 * WIDTH).cast("bigint") + _segment(fp, start) * (1 << WIDTH) + _segment(fp, start + 1)
 
 
-def _hot_edges(members: DataFrame) -> DataFrame:
-    """Edges among the members of hot keys: every two blocks of a key are one group."""
-    blocks = F.ceil(F.col("members") / HOT_MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = members.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+def _dealt(members: DataFrame) -> DataFrame:
+    """(key, one, two, fp): members of hot keys in groups to compare. Rows with the key itself and rows
+    near it are dealt into blocks each; a group is two blocks, one at least with the key itself, so both
+    its sides are bounded however many rows lie near a key."""
+    counts = staged(members.groupBy("key").agg(
+        F.ceil(F.count_if(~F.col("near")) / HOT_MEMBERS).cast("int").alias("blocks"),
+        F.ceil(F.count_if("near") / HOT_MEMBERS).cast("int").alias("near_blocks"),
+    ), "ring-blocks")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("blocks"))).cast("int")
+    # near blocks have numbers below zero; with one of them goes each block of the key itself
+    own = F.when(F.col("near"), -1 - own).otherwise(own)
+    lowest = F.when(F.col("near"), F.lit(0)).otherwise(-F.col("near_blocks"))
+    dealt = members.join(counts, "key").select(
+        "key", "fp", own.alias("own"), F.explode(F.sequence(lowest, F.col("blocks") - 1)).alias("with")
+    )
+    return dealt.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "fp")
+
+
+def _hot_edges(members: DataFrame, distance: int) -> DataFrame:
+    """Edges among the members of hot keys, a spanning tree for each group."""
 
     def trees(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.unique(frame["fp"].to_numpy(np.int64).view(np.uint64))
@@ -127,17 +144,14 @@ def _hot_edges(members: DataFrame) -> DataFrame:
             open_[seed], queue = False, [seed]
             while queue:
                 node = queue.pop()
-                reached = np.flatnonzero(open_ & (np.bitwise_count(values ^ values[node]) <= DISTANCE))
+                reached = np.flatnonzero(open_ & (np.bitwise_count(values ^ values[node]) <= distance))
                 open_[reached] = False
                 queue += reached.tolist()
                 edges += [(node, i) for i in reached.tolist()]
         pairs = values.view(np.int64)[np.array(edges, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
-    return (
-        dealt.select("key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "fp")
-        .groupBy("key", "one", "two").applyInPandas(trees, "a bigint, b bigint")
-    )
+    return _dealt(members).groupBy("key", "one", "two").applyInPandas(trees, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +176,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for each document, repeated rows included.
 
-    Documents with equal fingerprints, or fingerprints at most DISTANCE bits apart, are linked;
+    Documents with equal fingerprints, or fingerprints at most ``distance`` bits apart, are linked;
     component_id is the least doc_id that links reach. Texts without words have fingerprint zero and
     are linked like others. Rows without doc_id take part; a group without any doc_id has a null
-    component_id. Copies share one fingerprint and make no pairs.
+    component_id. Copies share one fingerprint and make no pairs. Long texts are counted in blocks of
+    shingles; an empty table gives an empty result; other columns are left out, whatever their names.
     """
-    prints = staged(fingerprints(docs), "ring-prints")
+    prints = staged(fingerprints(docs, shingle_words), "ring-prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "ring-nodes")
-    roots = components(fingerprint_links(nodes.select("fp")))
+    roots = components(fingerprint_links(nodes.select("fp"), distance))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = staged(linked.join(least, "root").select("fp", "component_id"), "ring-groups")

@@ -262,6 +262,17 @@ def test_simhash_links_equal_all_pairs(spark, monkeypatch, hot):
         assert {tuple(r) for r in edges.collect()} == links
 
 
+def test_blocks_of_hot_keys_are_bounded_by_near_members_too(spark, monkeypatch):
+    """Nine rows have the key, thousands lie near it; every row with the key meets all others."""
+    monkeypatch.setattr(simhash_ring, "HOT_MEMBERS", 8)
+    rows = [(1, i, False) for i in range(9)] + [(1, 100 + i, True) for i in range(5000)]
+    dealt = simhash_ring._dealt(spark.createDataFrame(rows, "key bigint, fp bigint, near boolean")).cache()
+    groups = dealt.groupBy("one", "two").agg(F.collect_set("fp").alias("fps")).collect()
+    assert max(len(g.fps) for g in groups) <= 4 * 8
+    met = {(a, b) for g in groups for a in g.fps if a < 9 for b in g.fps if a != b}
+    assert met == {(a, b) for a in range(9) for _, b, _ in rows if a != b}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90)], "a bigint, b bigint")
     got = {r.node: r.root for r in simhash_ring.components(edges).collect()}
