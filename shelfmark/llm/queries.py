@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm import (
     bloom_cascade,
     doubling,
+    fill_middle,
+    hard_negatives,
     isolation_rules,
     kd_shards,
     line_runs,
@@ -19,6 +21,7 @@ from shelfmark.llm import (
     poisson_mix,
     rff_quality,
     simhash_ring,
+    token_counts,
 )
 from shelfmark.llm.common import UPPER, table
 
@@ -31,6 +34,11 @@ DISTANCE = 3
 MIX_SEED = 17
 # Parts of the mixture: this source gets three, every other one.
 MIX_WEIGHTS = {"src0": 3.0}
+TOKEN_LIMIT = 4096
+# Positives of an anchor, negatives of a positive, and the negatives' scores in percent of the positive's.
+POSITIVES, NEGATIVES = 5, 10
+LEAST_PERCENT, MOST_PERCENT = 30, 90
+FIM_SEED, FIM_PERCENT, SPM_PERCENT = 42, 50, 80
 ALLOW_RULES = [("com", "/"), ("www.example.com", "/en/")]
 BLOCK_RULES = [("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/")]
 
@@ -110,11 +118,34 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_model(), limit=TOKEN_LIMIT)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    relabelled = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(
+        vectors.withColumn("label", relabelled), anchors=F.pmod("vec_id", F.lit(100)) == 0,
+        positives=POSITIVES, negatives=NEGATIVES, least_percent=LEAST_PERCENT, most_percent=MOST_PERCENT,
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = fill_middle.Rule(FIM_SEED, FIM_PERCENT, SPM_PERCENT)
+    moved = fill_middle.restored(fill_middle.fill_middle(table(spark, sf_dir, "documents"), rule))
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_kd_shards, op3_rff_quality, op4_line_runs, op5_simhash_ring,
         op6_poisson_mix, op7_doubling, op8_isolation_rules, op9_bloom_cascade, op10_minhash,
+        op11_token_counts, op12_hard_negatives, op13_fill_middle,
     )
 }
 
@@ -210,4 +241,49 @@ ORACLE = {
         )
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
     """,
+    "op12_hard_negatives": f"""
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, list_dot_product(a.v, r.v)::BIGINT AS score
+            FROM vectors a JOIN vectors r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}
+        ), negatives AS (
+            SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+            FROM positives JOIN scored USING (anchor_id) WHERE NOT alike
+                AND 100 * score BETWEEN {LEAST_PERCENT} * positive_score AND {MOST_PERCENT} * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives
+        WHERE rank <= {NEGATIVES}
+    """,
+    "op13_fill_middle": rf"""
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('{FIM_SEED}:' || doc_id) AS hash,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(units)::BIGINT AS n, ('0x' || substr(hash, 1, 8))::BIGINT % (n + 1) AS one,
+                ('0x' || substr(hash, 9, 8))::BIGINT % (n + 1) AS other,
+                CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(hash, 17, 8))::BIGINT % 100 >= {FIM_PERCENT}
+                    THEN 'plain' WHEN ('0x' || substr(hash, 25, 8))::BIGINT % 100 < {SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+            FROM split
+        ), cut AS (
+            SELECT *, array_to_string(units[1:least(one, other)], '') AS p, array_to_string(units[greatest(one, other) + 1:], '') AS s,
+                array_to_string(units[least(one, other) + 1:greatest(one, other)], '') AS m
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
