@@ -6,6 +6,7 @@ import hashlib
 import os
 from dataclasses import dataclass, replace
 from math import ceil
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
 from shelfmark.operators.joins import lookup_join
 from shelfmark.operators.metadata import extract_metadata, file_metadata, skipped_files, valid_files
-from shelfmark.operators.outcome import SUCCESS, classify, count_columns
+from shelfmark.operators.outcome import FAILURE, SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
 from shelfmark.operators.tags import decode_hits, to_tag_rows
 from shelfmark.registry import Registry
@@ -72,7 +73,8 @@ def new_tag_rows(
 class Registration:
     """What a run did: counts, the metadata of all files and the outcome of the scored ones.
 
-    ``known`` counts registered files and further copies within the batch.
+    ``known`` counts registered files and further copies within the batch. A stream tells the ``position``
+    of each lot.
     """
 
     files: int = 0
@@ -84,6 +86,7 @@ class Registration:
     metadata: DataFrame | None = None
     outcomes: DataFrame | None = None
     workspace: str | None = None
+    position: Any = None
 
     def release(self) -> None:
         """Remove the intermediate tables of the run, and with them metadata and outcomes."""
@@ -95,6 +98,16 @@ class Registration:
         return None if self.metadata is None else skipped_files(self.metadata)
 
 
+def unsettled(result: Registration) -> DataFrame | None:
+    """Paths of the files that could not be read or scored, which may go well another time."""
+    if result.metadata is None:
+        return None
+    paths = result.metadata.where(F.col("status") == "unreadable").select("path")
+    if result.outcomes is None:
+        return paths
+    return paths.unionByName(result.outcomes.where(F.col("outcome") == FAILURE).select("path"))
+
+
 def scoring_tasks(registry: Registry, files: int, size: int) -> int:
     """Tasks for the scorer by files and bytes to read; rows of metadata say little about it."""
     wanted = max(ceil(files / FILES_PER_TASK), ceil(size / BYTES_PER_TASK))
@@ -127,10 +140,10 @@ def register(
     """
     spark = registry.spark
     state = registry.state()
+    folder = _workspace(registry, label)
     if label and label in state.labels:
-        return Registration()
+        return _left_by(registry, folder)
     vocab_bytes = _checked_vocabulary(vocab)
-    folder = _workspace(registry, label)
     if storage.exists(spark, os.path.join(folder, DONE)):  # that run came to its end, without a batch
         storage.delete(spark, folder)
     if isinstance(files, str):
@@ -198,6 +211,16 @@ def register(
     )
 
 
+def _left_by(registry: Registry, folder: str) -> Registration:
+    """A committed run that is called again: it counts nothing, but has the tables that were not removed yet."""
+    stored = {
+        name: registry.spark.read.parquet(os.path.join(folder, name))
+        for name in ("metadata", "outcomes")
+        if storage.exists(registry.spark, os.path.join(folder, name, "_SUCCESS"))
+    }
+    return Registration(workspace=folder, **stored)
+
+
 def _checked_vocabulary(vocab: DataFrame) -> int:
     """Its size in bytes; refused if it names a tag twice, for such tags would share a key."""
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in vocab.columns), F.lit(0))

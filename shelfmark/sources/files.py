@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import stat
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from fnmatch import fnmatchcase
+from itertools import batched
 from typing import Any, BinaryIO
 from urllib.parse import quote
 
@@ -31,7 +33,10 @@ TOO_LARGE = "too large for a column"
 # Bytes read at a time to hash a file.
 CHUNK = 1024 * 1024
 
-_FILE, _FOLDER, _MISSING = "file", "folder", "missing"
+# Entries of a folder that a task holds at a time.
+LISTED_AT_ONCE = 10_000
+
+_FILE, _FOLDER, _CLOSED, _MISSING = "file", "folder", "closed", "missing"
 _ENTRIES = "path string, modificationTime timestamp, length bigint, kind string"
 
 
@@ -41,35 +46,28 @@ def list_files(
     """Every file below ``path`` as (path, modificationTime, length), whatever its name or size.
 
     Links are listed as files and never entered, so a link to a folder or to nothing is a file that
-    cannot be read; what cannot be asked for its size has a null length. A path to one file gives
-    that file; a missing path raises FileNotFoundError. Folders of one level are listed by as many
-    tasks as a shuffle has, level by level.
+    cannot be read; what cannot be asked for its size has a null length. So is a folder that cannot be
+    listed, or is gone by then: it has a row like a file, and whoever reads that row is told why. A path
+    to one file gives that file; a missing path raises FileNotFoundError. Folders of one level are listed
+    by as many tasks as a shuffle has, level by level, and in pieces of LISTED_AT_ONCE entries.
     """
     path = _plain(path)
     start = spark.createDataFrame([(path,)], "path string")
-    found = _entries(start, root=True)
+    found = _entries(start, name_pattern, root=True)
     kinds = {r.kind for r in found.where(F.col("path") == path).select("kind").collect()}
     if _MISSING in kinds:
         raise FileNotFoundError(path)
-    if _FILE in kinds:
-        levels = [found]
-    else:
-        levels, frontier = [], start
-        while True:
-            level = _entries(frontier)
-            levels.append(level)
-            folders = level.where(F.col("kind") == _FOLDER).select("path")
-            if not recursive or folders.isEmpty():
-                break
-            frontier = folders.repartition("path")
+    levels = [found]
+    frontier = start if _FOLDER in kinds else None
+    while frontier is not None:
+        level = _entries(frontier, name_pattern)
+        levels.append(level)
+        folders = level.where(F.col("kind") == _FOLDER).select("path")
+        frontier = folders.repartition("path") if recursive and not folders.isEmpty() else None
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
-    files = files.where(F.col("kind") == _FILE).drop("kind")
-    if name_pattern:
-        matches = F.udf(lambda name: fnmatchcase(name.rsplit("/", 1)[-1], name_pattern), "boolean")
-        files = files.where(matches("path"))
-    return files
+    return files.where(F.col("kind").isin(_FILE, _CLOSED)).drop("kind")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -129,7 +127,7 @@ def probe_files(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FileStream:
-    """A growing folder, taken lot by lot."""
+    """A growing folder, taken round by round and lot by lot."""
 
     spark: SparkSession
     path: str
@@ -150,7 +148,8 @@ def file_stream(
 ) -> FileStream:
     """The files of a growing folder for ``stream_register``, at most ``files_per_batch`` at a time.
 
-    They are those of ``list_files``, whatever their names or sizes.
+    They are those of ``list_files``, whatever their names or sizes. A file comes again when its time or
+    length has changed.
     """
     return FileStream(spark, path, recursive, files_per_batch, name_pattern)
 
@@ -193,19 +192,24 @@ def _remote(path: str, filesystems: dict[str, fs.FileSystem]) -> tuple[fs.FileSy
     return filesystems[root], inner
 
 
-def _entries(folders: DataFrame, root: bool = False) -> DataFrame:
-    """What the folders hold, stored; with ``root`` what the paths themselves are."""
+def _entries(folders: DataFrame, name_pattern: str | None, root: bool = False) -> DataFrame:
+    """What the folders hold, stored; with ``root`` what the paths themselves are. Files of other names than
+    the pattern's are left out where they are found."""
+
+    def wanted(row: tuple) -> bool:
+        return not name_pattern or row[3] != _FILE or fnmatchcase(row[0].rsplit("/", 1)[-1], name_pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string()]
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                rows = [_itself(path)] if root else list(_inside(path))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-                kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    ["path", "modificationTime", "length", "kind"],
-                )
+                rows = iter([_itself(path)]) if root else _inside(path)
+                for piece in batched(filter(wanted, rows), LISTED_AT_ONCE):
+                    columns = zip(*piece, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                        ["path", "modificationTime", "length", "kind"],
+                    )
 
     return staged(folders.mapInArrow(run, _ENTRIES), "listing")
 
@@ -216,34 +220,48 @@ def _itself(path: str) -> tuple:
         info = system.get_file_info(inner)
         kind = {fs.FileType.File: _FILE, fs.FileType.Directory: _FOLDER}.get(info.type, _MISSING)
         return path, info.mtime, info.size, kind
-    if not os.path.exists(path):
+    try:
+        facts = os.stat(path)
+    except OSError:
         return path, None, None, _MISSING
-    kind = _FILE if os.path.isfile(path) else _FOLDER
-    return path, *_facts(path), kind
+    return (path, *_facts(facts), _FOLDER if stat.S_ISDIR(facts.st_mode) else _FILE)
 
 
-def _facts(path: str) -> tuple:
+def _facts(found: os.stat_result) -> tuple:
+    return datetime.fromtimestamp(found.st_mtime, UTC), found.st_size
+
+
+def _inside(path: str) -> Iterator[tuple]:
+    """Rows of a folder's entries, one after the other; a folder that ends early has a row of its own."""
     try:
-        found = os.stat(path)
-        return datetime.fromtimestamp(found.st_mtime, UTC), found.st_size
+        yield from _local_entries(path) if "://" not in path else _remote_entries(path)
     except OSError:
-        return None, None
+        yield path, None, None, _CLOSED
 
 
-def _inside(path: str) -> Iterator[tuple]:
-    if "://" not in path:
-        with os.scandir(path) as entries:
-            for entry in entries:
-                if entry.is_dir(follow_symlinks=False):
+def _local_entries(path: str) -> Iterator[tuple]:
+    with os.scandir(path) as entries:
+        for entry in entries:
+            try:
+                facts = entry.stat(follow_symlinks=False)
+                if stat.S_ISDIR(facts.st_mode):
                     yield entry.path, None, None, _FOLDER
-                elif entry.is_file(follow_symlinks=False) or entry.is_symlink():
-                    yield entry.path, *_facts(entry.path), _FILE
-        return
+                    continue
+                if stat.S_ISLNK(facts.st_mode):
+                    facts = entry.stat()
+                elif not stat.S_ISREG(facts.st_mode):
+                    continue  # pipes, sockets and devices hold no content
+                row = _facts(facts)
+            except OSError:
+                row = None, None
+            yield entry.path, *row, _FILE
+
+
+def _remote_entries(path: str) -> Iterator[tuple]:
     system, inner = _remote(path, {})
     for info in system.get_file_info(fs.FileSelector(inner)):
-        inside = f"{path.rstrip('/')}/{info.base_name}"
         kind = _FOLDER if info.type == fs.FileType.Directory else _FILE
-        yield inside, info.mtime, info.size, kind
+        yield f"{path.rstrip('/')}/{info.base_name}", info.mtime, info.size, kind
 
 
 def _probed(open_: Callable[[str], BinaryIO], path: str) -> tuple:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +13,12 @@ from shelfmark.plans.register import Registration, register
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD
 from shelfmark.sources.files import FileStream, read_files
-from shelfmark.streaming.lots import LotQuery
+from shelfmark.streaming.rounds import Position, Rounds
+
+# Seconds between two listings of a folder.
+INTERVAL = 10
+# Parts of a table after which a stream merges them.
+MAX_PARTS = 200
 
 
 def stream_register(
@@ -28,18 +34,21 @@ def stream_register(
     content: str | None = None,
     on_batch: Callable[[int, Registration], None] | None = None,
     available_now: bool = True,
-) -> StreamingQuery | LotQuery:
+) -> StreamingQuery:
     """Register each micro-batch of a file stream before the next one starts.
 
     A micro-batch sees what earlier ones stored. Its commit carries ``name`` and its number, so
     one that runs again after a failure changes nothing. ``on_batch`` is told the number and the
     result of each; its tables of metadata and outcomes are removed after that.
 
-    A ``file_stream`` is listed as in a batch run, so every file is registered or told as skipped;
-    which paths are taken is kept below ``checkpoint``. Other streams are Spark's.
+    A ``file_stream`` is listed in every micro-batch as in a batch run, so every file is registered or told
+    as skipped. What it has new, or changed, goes through in lots of bounded size, each a commit of its
+    own; ``on_batch`` is called for each lot, with its position in the result. Files that could not be read
+    or scored come again in the next micro-batches, a bounded number of times. Other streams are Spark's.
+    Tables of many parts are merged on the way.
     """
 
-    def run(batch: DataFrame, batch_id: int, state: str | None = None) -> None:
+    def run(batch: DataFrame, number: int, label: str, position: Position | None = None) -> Registration:
         result = register(
             registry,
             batch,
@@ -48,16 +57,32 @@ def stream_register(
             threshold=threshold,
             on_duplicate=on_duplicate,
             content=content,
-            label=f"{name}:{state}:{batch_id}" if state else f"{name}:{batch_id}",
+            label=f"{name}:{label}",
         )
+        result = replace(result, position=position)
         if on_batch:
-            on_batch(batch_id, result)
-        result.release()
+            on_batch(number, result)
+        _merge_parts(registry)
+        return result
+
+    def lot(paths: DataFrame, position: Position, label: str) -> Registration:
+        return run(paths if content is None else read_files(paths), position.number, label, position)
 
     if isinstance(files, FileStream):
-        whole = run if content is None else lambda lot, number, state: run(read_files(lot), number, state)
-        return LotQuery(files, whole, checkpoint, available_now)
-    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        clock = registry.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+        writer = clock.writeStream.foreachBatch(Rounds(files, lot, checkpoint).__call__)
+    else:
+        writer = files.writeStream.foreachBatch(lambda batch, number: run(batch, number, str(number)).release())
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
+    elif isinstance(files, FileStream):
+        writer = writer.trigger(processingTime=f"{INTERVAL} seconds")
     return writer.start()
+
+
+def _merge_parts(registry: Registry) -> None:
+    parts = [part.table for part in registry.state().parts]
+    for table in ("images", "model_tags"):
+        if parts.count(table) > MAX_PARTS:
+            registry.compact(table)

@@ -82,6 +82,45 @@ def test_bytes_and_files_give_the_same_metadata(spark, tree):
     assert rows(file_metadata(listed).where("file_type = 'jpg'"), "width", "height", "status") == [(64, 48, "ok")]
 
 
+def test_a_folder_that_is_gone_or_closed_is_one_row(spark, tree):
+    """Between two levels a folder vanishes, another turns out to be a file: the listing goes on."""
+    import shelfmark.sources.files as files
+
+    paths = [(str(tree / name),) for name in ("sub", "gone", "a.png")]
+    found = files._entries(spark.createDataFrame(paths, "path string"), None)
+    assert {(r.path, r.kind) for r in found.collect()} == {
+        (str(tree / "sub" / "d.png"), "file"), (str(tree / "gone"), "closed"), (str(tree / "a.png"), "closed"),
+    }
+    (row,) = file_metadata(found.where("path like '%gone'")).collect()
+    assert row.status == "unreadable" and row.error.startswith("FileNotFoundError")
+
+
+def test_a_large_flat_folder_leaves_its_task_in_pieces(spark, tmp_path):
+    import tracemalloc
+
+    import shelfmark.sources.files as files
+
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(30_000):
+        (flat / f"{i:05d}.png").touch()
+    tracemalloc.start()
+    pieces = sum(1 for _ in files.batched(files._inside(str(flat)), files.LISTED_AT_ONCE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces == 3 and peak < 20_000_000
+    assert list_files(spark, str(flat)).count() == 30_000
+    assert list_files(spark, str(flat), name_pattern="0000*").count() == 10
+
+
+def test_pipes_are_left_out(spark, tmp_path):
+    import os
+
+    os.mkfifo(tmp_path / "pipe")
+    (tmp_path / "file").write_bytes(b"x")
+    assert [r.path for r in list_files(spark, str(tmp_path)).collect()] == [str(tmp_path / "file")]
+
+
 def test_a_file_gives_itself_and_a_missing_path_raises(spark, tree):
     found = scan_files(spark, str(tree / "a.png"))
     assert [r.length for r in found.collect()] == [len(png(1, 2))]
@@ -91,6 +130,8 @@ def test_a_file_gives_itself_and_a_missing_path_raises(spark, tree):
 
 def test_name_pattern(spark, tree):
     assert scan_files(spark, str(tree), name_pattern="a*").count() == 1
+    assert list_files(spark, str(tree), recursive=True, name_pattern="d*").count() == 2
+    assert list_files(spark, str(tree / "a.png"), name_pattern="b*").count() == 0
 
 
 def test_locations_lead_back_to_the_bytes(spark, tree):

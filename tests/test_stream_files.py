@@ -1,45 +1,188 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from builders import png
-from test_register import last_byte_scorer, stored, vocab  # noqa: F401
+from test_register import last_byte_scorer, many, stored, vocab  # noqa: F401
 
+from shelfmark.plans.register import register
+from shelfmark.registry import Registry
+from shelfmark.session import staged
 from shelfmark.sources import file_stream
+from shelfmark.streaming import register as streaming
+from shelfmark.streaming import rounds
 from shelfmark.streaming.register import stream_register
 
 
-def test_stream_takes_files_of_any_name_and_size(spark, registry, vocab, tmp_path):  # noqa: F811
+def name_of(location):
+    return location.rsplit("/", 1)[-1]
+
+
+@pytest.fixture
+def follow(spark, registry, vocab, tmp_path):  # noqa: F811
+    """A folder and a function that works off what it has; the calls of on_batch are told to ``seen``."""
     root = tmp_path / "growing"
     root.mkdir()
-    (root / "a.png").write_bytes(png(1, 2, b"A"))
-    (root / "_DSC1234.png").write_bytes(png(3, 4, b"A"))
-    (root / ".x.png").write_bytes(png(5, 6, b"A"))
-    (root / "empty.png").write_bytes(b"")
     seen, skipped = [], []
 
-    def told(number, result):
-        seen.append((number, result.files))
-        if result.metadata is not None:
-            skipped.extend(r.file_location.rsplit("/", 1)[-1] for r in result.skipped_files.collect())
-
-    def run(fail=False):
+    def run(scorer=last_byte_scorer, fail=False, files_per_batch=3, **more):
         def once(number, result):
-            told(number, result)
+            seen.append((number, result.files))
+            if result.metadata is not None:
+                skipped.extend((name_of(r.file_location), r.status) for r in result.skipped_files.collect())
             if fail:
-                raise InterruptedError
+                raise InterruptedError("lost")
 
-        stream_register(
-            registry, file_stream(spark, str(root), files_per_batch=3), last_byte_scorer, vocab,
-            str(tmp_path / "state"), on_batch=once,
-        ).awaitTermination()
+        stream = file_stream(spark, str(root), files_per_batch=files_per_batch)
+        query = stream_register(registry, stream, scorer, vocab, str(tmp_path / "state"), on_batch=once, **more)
+        query.awaitTermination()
+        return query
 
-    run()
-    assert seen == [(0, 3), (1, 1)] and skipped == ["empty.png"]
-    assert {r.file_location.rsplit("/", 1)[-1] for r in registry.images().collect()} == {"a.png", "_DSC1234.png", ".x.png"}
-    run()
+    run.root, run.seen, run.skipped, run.state = root, seen, skipped, tmp_path / "state"
+    return run
+
+
+def registered(registry):
+    return sorted(name_of(r.file_location) for r in registry.images().collect())
+
+
+def test_stream_takes_files_of_any_name_and_size(registry, follow):
+    root, seen = follow.root, follow.seen
+    (root / "a.png").write_bytes(png(1, 2, b"A"))
+    (root / "_DSC1234.png").write_bytes(png(3, 4, b"A"))
+    (root / ".x.png").write_bytes(png(5, 6, b"A"))
+    (root / "empty.png").write_bytes(b"")
+    query = follow()
+    assert query.exception() is None and not query.isActive and query.lastProgress["sources"]
+    assert seen == [(0, 3), (1, 1)] and follow.skipped == [("empty.png", "empty")]
+    assert registered(registry) == [".x.png", "_DSC1234.png", "a.png"]
+    follow()
     assert len(seen) == 2
     (root / "_later.png").write_bytes(png(7, 8, b"A"))
-    with pytest.raises(InterruptedError):
-        run(fail=True)
+    with pytest.raises(Exception, match="lost"):
+        follow(fail=True)
+    assert len(registered(registry)) == 4  # the lot was committed before the run broke off
+    follow()
+    assert len(registered(registry)) == 4 and seen[2:] == [(2, 1), (2, 0)]
+    assert len([n for n in os.listdir(follow.state / "rounds") if n.isdigit()]) == 2
+
+
+def test_changed_files_come_again(registry, follow):
+    whole = png(9, 9, b"body of the image A")
+    (follow.root / "cut.png").write_bytes(whole[:12])
+    (follow.root / "same.png").write_bytes(png(1, 1, b"A"))
+    follow()
+    assert follow.skipped == [("cut.png", "unsupported")] and registered(registry) == ["same.png"]
+    (follow.root / "cut.png").write_bytes(whole)
+    follow()
+    assert registered(registry) == ["cut.png", "same.png"]
+    (follow.root / "same.png").write_bytes(png(2, 2, b"A"))
+    follow()
+    assert follow.seen == [(0, 2), (1, 1), (2, 1)] and registered(registry) == ["cut.png", "same.png", "same.png"]
+    (follow.root / "cut.png").unlink()
+    follow()
+    (follow.root / "cut.png").write_bytes(whole)
+    follow()  # it was away, so it is looked at; its content is known
+    assert follow.seen[3:] == [(3, 1)] and len(registered(registry)) == 3
+
+
+def flaky(marks):
+    """Fails on each content until its mark is there."""
+
+    def make():
+        def score(contents):
+            return [ValueError("not yet") if not os.path.exists(f"{marks}/ready") else [1.0, -1.0, -1.0] for _ in contents]
+
+        return score
+
+    return make
+
+
+def test_failed_files_are_tried_a_bounded_number_of_times(registry, follow, tmp_path):
+    (follow.root / "later.png").write_bytes(png(1, 2, b"A"))
+    os.symlink(follow.root / "target", follow.root / "link.png")
+    follow(flaky(tmp_path))
+    follow(flaky(tmp_path))
+    assert follow.seen == [(0, 2), (1, 2)] and registered(registry) == []
+    (tmp_path / "ready").write_text("")
+    (follow.root / "target").write_bytes(png(3, 4, b"A"))
+    follow(flaky(tmp_path))
+    # link and target are one content
+    assert len(registered(registry)) == 2 and "later.png" in registered(registry)
+    before = len(follow.seen)
+    os.symlink(follow.root / "nowhere", follow.root / "dangling.png")
+    for _ in range(rounds.MAX_ATTEMPTS + 2):
+        follow(flaky(tmp_path))
+    assert len(follow.seen) == before + rounds.MAX_ATTEMPTS
+    assert [s for s in follow.skipped if s[0] == "dangling.png"] == [("dangling.png", "unreadable")] * rounds.MAX_ATTEMPTS
+
+
+def test_lots_have_positions_and_one_that_broke_off_is_taken_up(spark, registry, vocab, follow, tmp_path):  # noqa: F811
+    many(follow.root, 0, 23)
+    told = []
+
+    def breaks(number, result):
+        told.append(result.position)
+        if number == 4 and len(told) == 5:
+            raise InterruptedError("lost")
+
+    def run():
+        stream = file_stream(spark, str(follow.root), files_per_batch=4)
+        stream_register(registry, stream, last_byte_scorer, vocab, str(tmp_path / "st"), on_batch=breaks).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
     run()
-    assert registry.images().count() == 4 and [n for n, _ in seen[2:]] in ([2], [2, 2])
+    assert [(p.lot, p.offset) for p in told] == [(1, 0), (2, 4), (3, 8), (4, 12), (5, 16), (5, 16), (6, 20)]
+    assert {(p.lots, p.files) for p in told} == {(6, 23)} and told[0].is_first and told[-1].is_last
+    other = Registry(spark, str(tmp_path / "other")).init()
+    register(other, str(follow.root), last_byte_scorer, vocab)
+    assert stored(registry) == stored(other)
+
+
+def test_a_lot_reads_its_own_rows_only(spark, follow, tmp_path):
+    """Each lot is found by a range of a sorted column, pushed down to the scan."""
+    many(follow.root, 0, 40)
+    plans = []
+
+    def work(lot, position, label):
+        plans.append((lot.count(), lot._jdf.queryExecution().executedPlan().toString()))
+        return rounds.Registration()
+
+    steps = rounds.Rounds(file_stream(spark, str(follow.root), files_per_batch=7), work, str(tmp_path / "c"))
+    steps(None, 0)
+    assert [n for n, _ in plans] == [7, 7, 7, 7, 7, 5]
+    assert all("PushedFilters: [IsNotNull(at), GreaterThanOrEqual(at" in p and "Exchange" not in p for _, p in plans)
+    steps(None, 1)
+    assert len(plans) == 6
+
+
+def test_streams_merge_parts(registry, follow, monkeypatch):
+    monkeypatch.setattr(streaming, "MAX_PARTS", 3)
+    many(follow.root, 0, 12)
+    follow(files_per_batch=2)
+    parts = [p.table for p in registry.state().parts]
+    assert parts.count("images") <= 4 and registry.images().count() == 9
+
+
+def test_a_stream_goes_on_until_it_is_stopped(registry, follow, monkeypatch):
+    import time
+
+    monkeypatch.setattr(streaming, "INTERVAL", 1)
+    many(follow.root, 0, 2)
+    query = stream_register(
+        registry, file_stream(registry.spark, str(follow.root)), last_byte_scorer, staged_vocab(registry.spark),
+        str(follow.state), available_now=False,
+    )
+    for stop, images in ((2, 2), (4, 3)):
+        many(follow.root, stop - 2, stop)
+        end = time.time() + 60
+        while registry.images().count() < images and time.time() < end:
+            time.sleep(0.5)
+    query.stop()
+    assert registry.images().count() == 3 and not query.isActive
+
+
+def staged_vocab(spark):
+    return staged(spark.createDataFrame([(0, "last", "general")], "idx int, tag string, category string"), "vocab")
