@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.plans.standins import SHORTEST, THRESHOLD
+from shelfmark.plans.standins import EMPTY_EVERY, SHORTEST, THRESHOLD
 from shelfmark.plans.workload import IMAGE_ID, VOWEL_THRESHOLD
 
 ASSET = """
@@ -85,8 +85,13 @@ file AS (
          CASE lang WHEN 'es' THEN 'unsupported' ELSE 'ok' END AS status
   FROM headed)"""
 
-REGISTERED_FILES = f"""WITH {IMAGE_FILE}, {VOCAB},
-kept AS (SELECT * FROM file WHERE status = 'ok'
+LISTED = """
+listed AS (SELECT *, regexp_extract(file_location, '([0-9]+)[.]Png$', 1)::BIGINT AS id FROM file)"""
+
+
+def _registered(files: str) -> str:
+    return f"""WITH {IMAGE_FILE}, {LISTED}, {VOCAB},
+kept AS (SELECT * FROM listed WHERE status = 'ok' AND {files}
          QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_location) = 1),
 letter AS (
   SELECT k.hash, l.idx,
@@ -104,6 +109,9 @@ stored AS (SELECT *, row_number() OVER (ORDER BY hash) AS image_id FROM kept
 SELECT image_id, category, tag, score, FALSE AS archived, file_location, width, height, hash
 FROM stored JOIN hit USING (hash)"""
 
+
+REGISTERED_FILES = _registered("TRUE")
+
 ORACLE: dict[str, str] = {
     "asset_metadata": f"WITH {ASSET} SELECT * FROM asset",
     "asset_geometry": f"""WITH {ASSET}
@@ -120,6 +128,10 @@ ORACLE: dict[str, str] = {
         SELECT path, file_location, width, height, file_type, hash, file_size, status FROM file""",
     "extraction_status": f"""WITH {IMAGE_FILE}
         SELECT file_location, status FROM file WHERE status <> 'ok'""",
+    "list_files": f"""WITH {IMAGE_FILE}, {LISTED}
+        SELECT regexp_replace(file_location, '[0-9]+[.]Png$', '')
+                 || CASE id % 5 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || id || '.Png' AS location,
+               CASE WHEN id % {EMPTY_EVERY} = 0 THEN 0 ELSE file_size END AS length FROM listed""",
     "vocab_from_json": """
         SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS idx, 'k' AS tag,
                CASE event_type WHEN 'error' THEN 'unknown' ELSE event_type END AS category
@@ -236,6 +248,8 @@ ORACLE: dict[str, str] = {
                CASE WHEN lang = 'es' THEN 'LookupError: es' END AS error FROM documents""",
     "register_files": REGISTERED_FILES,
     "stream_register": REGISTERED_FILES,
+    "stream_files": f"""SELECT category, tag, score, width, height, hash
+        FROM ({_registered(f"id % {EMPTY_EVERY} <> 0")})""",
     "commit_atomic": f"""WITH {ASSET}
         SELECT row_number() OVER (ORDER BY hash) AS image_id, hash,
                'bytes ' || min(file_size) AS tag FROM asset GROUP BY hash""",

@@ -7,15 +7,19 @@ documents with a label are the ones registered already.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import content_hash, file_extension
 from shelfmark.operators.dedup import keep_first
 from shelfmark.operators.tags import decode_scores, to_tag_rows
+from shelfmark.session import staged
 
 # Score threshold that leaves some files without any tag.
 THRESHOLD = 0.2
@@ -129,6 +133,33 @@ def as_image(documents: DataFrame) -> DataFrame:
     )
 
 
+# Every so many-th document is written as a file without content.
+EMPTY_EVERY = 97
+
+
+def write_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Documents as real image files below a folder, written in tasks. Some names begin with _ or a dot,
+    and some files are empty."""
+    number = F.regexp_extract("path", r"(\d+)\.Png$", 1).cast("bigint")
+    front = F.when(number % 5 == 0, "_").when(number % 5 == 1, ".").otherwise("")
+    content = F.when(number % EMPTY_EVERY != 0, F.col("content"))
+    place = F.regexp_replace(F.regexp_replace("path", "^file:", ""), r"\d+\.Png$", "")
+    files = as_image(table(spark, sf_dir, "documents")).select(
+        F.concat(F.lit(folder), place, front, number, F.lit(".Png")).alias("path"), content.alias("content")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+                system.create_dir(os.path.dirname(inner), recursive=True)
+                with system.open_output_stream(inner) as out:
+                    out.write(content or b"")
+            yield batch.select(["path"])
+
+    staged(files.mapInArrow(run, "path string"), "written")
+
+
 # Letters whose share of the bytes is the score of the test scorer, in vocabulary order.
 LETTERS = b"aeiou"
 SHORTEST = 64

@@ -14,6 +14,8 @@ from shelfmark.plans import standins as data
 from shelfmark.plans.register import fresh_files, register, registration_plan
 from shelfmark.registry import Registry
 from shelfmark.session import new_workspace, staged
+from shelfmark.sources.files import file_stream
+from shelfmark.sources.files import list_files as listed_files
 from shelfmark.sources.vocab import parse_vocab
 from shelfmark.streaming import register as streaming
 
@@ -26,6 +28,7 @@ IMAGE_ID = 7
 # Added to an id gives a number that is not exact as a 64-bit float.
 BEYOND_DOUBLES = 2**53 + 1
 VOWEL_THRESHOLD = 0.08
+FILES_PER_LOT = 4000
 
 
 def query(function: Query) -> Query:
@@ -98,6 +101,15 @@ def vocab_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_vocab(data.table(spark, sf_dir, "events"), document, "event_id")
 
 
+@query
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree, listed by folder; some names are hidden, some files empty."""
+    folder = new_workspace(spark, "tree")
+    data.write_files(spark, sf_dir, folder)
+    listed = listed_files(spark, folder, recursive=True)
+    return listed.select(F.regexp_extract("path", r"(/[^/]+/[^/]+/[^/]+)$", 1).alias("location"), "length")
+
+
 # ---- copies -----------------------------------------------------------------------------------
 
 
@@ -424,6 +436,21 @@ def stream_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(registry)
 
 
+@query
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree, registered by a folder stream in lots; a second run has nothing due."""
+    folder, registry = new_workspace(spark, "tree"), _registry(spark, "stream-files")
+    data.write_files(spark, sf_dir, folder)
+    words, state = data.vocab(spark, sf_dir), new_workspace(spark, "rounds")
+    for _ in range(2):
+        files = file_stream(spark, folder, recursive=True, files_per_batch=FILES_PER_LOT)
+        streaming.stream_register(
+            registry, files, data.letter_scorer, words, state, threshold=VOWEL_THRESHOLD
+        ).awaitTermination()
+    # numbers and, of copies, the file that is kept depend on the lots
+    return _stored(registry).select("category", "tag", "score", "width", "height", "hash")
+
+
 @query
 def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit of work that fails leaves no image; the one after it stores images and tags."""
