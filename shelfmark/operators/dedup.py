@@ -13,24 +13,26 @@ HASH_ROW_BYTES = 80
 
 
 def against_registry(
-    incoming: DataFrame, registered: DataFrame, registered_rows: int | None = None
+    incoming: DataFrame, registered: DataFrame, registered_rows: int | None = None, most_bytes: int | None = None
 ) -> DataFrame:
     """Incoming rows whose hash is not registered. Copies inside ``incoming`` all stay.
 
     A small registry is broadcast. With a large one a small batch looks up its own hashes: one
-    scan of the registry's hashes, without a shuffle. Only two large sides are shuffled.
-    ``registered_rows`` is an upper bound of the registry's rows, if the caller knows one.
+    scan of the registry's hashes, without a shuffle. Of two large sides both are shuffled, or the incoming
+    one alone if the registry is stored in buckets by hash (``Registry.compact``). ``registered_rows`` is an
+    upper bound of the registry's rows, if the caller knows one; ``most_bytes`` what may be broadcast.
     """
+    most_bytes = joins.MAX_BROADCAST_BYTES if most_bytes is None else most_bytes
     hashes = registered.select("hash")
     rows = hashes.count() if registered_rows is None else registered_rows
-    if rows * HASH_ROW_BYTES <= joins.MAX_BROADCAST_BYTES:
+    if rows * HASH_ROW_BYTES <= most_bytes:
         return incoming.join(F.broadcast(hashes), "hash", "left_anti")
-    if incoming.count() * HASH_ROW_BYTES <= joins.MAX_BROADCAST_BYTES:
+    if incoming.count() * HASH_ROW_BYTES <= most_bytes:
         candidates = incoming.select("hash").distinct()
         known = hashes.join(F.broadcast(candidates), "hash", "left_semi")
         # Known hashes are some of the candidates, so they are no larger.
         return incoming.join(F.broadcast(known), "hash", "left_anti")
-    return incoming.join(hashes, ["hash"], "left_anti")
+    return incoming.join(hashes.hint("merge"), ["hash"], "left_anti")
 
 
 def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -108,6 +109,7 @@ def score_assets(
     threshold: float | None = None,
     batch_rows: int = 32,
     reader: Callable[[], Callable[[str], bytes]] = read_by_path,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Replace the bytes by (scores, error).
 
@@ -117,6 +119,9 @@ def score_assets(
 
     With a ``threshold`` only the scores that reach it leave the worker, with their positions in
     ``positions``: a vector over a large vocabulary shrinks to the few tags it gives.
+
+    With a resource ``profile`` the stage that scores runs on executors that have what it asks for, such
+    as a GPU for each task; scanning and storing keep the session's own.
     """
     kept = [f for f in df.schema.fields if f.name != content]
     names = [f.name for f in kept]
@@ -156,7 +161,7 @@ def score_assets(
     vector = [SCORES] if threshold is None else [POSITIONS, SCORES]
     schema = T.StructType([*kept, *vector, ERROR])
     out = schema.names
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema, profile=profile)
 
 
 def parallel_map(

@@ -138,6 +138,8 @@ ORACLE: dict[str, str] = {
         FROM events""",
     "dedup_against_registry": f"""WITH {REGISTERED}
         SELECT image_id, hash FROM asset WHERE hash NOT IN (SELECT hash FROM known)""",
+    "dedup_buckets": f"""WITH {REGISTERED}
+        SELECT image_id, hash FROM asset WHERE hash NOT IN (SELECT hash FROM known)""",
     "dedup_in_batch": f"""WITH {ASSET}
         SELECT image_id, hash, file_location FROM asset
         QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_location) = 1""",
@@ -275,6 +277,13 @@ ORACLE: dict[str, str] = {
             UNION ALL
             SELECT image_id, 'extra', tag, 0.75::DOUBLE, FALSE FROM numbered WHERE image_id % 3 = 0)
         SELECT * FROM all_tags WHERE image_id % 7 <> 0""",
+    "bucket_lookups": f"""WITH {ASSET},
+        first AS (SELECT * FROM asset
+                  QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file_location) = 1),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY hash) AS number FROM first)
+        SELECT number AS image_id, CASE WHEN width % 7 = 2 OR height % 3 = 0 THEN hash END AS hash,
+               CASE WHEN height <= 2 THEN 2 END::BIGINT AS children FROM numbered
+        WHERE width % 7 = 2 OR height % 3 = 0 OR height <= 2""",
     "registry_notes": f"""WITH {ASSET},
         numbered AS (SELECT row_number() OVER (ORDER BY hash) AS image_id, hash FROM (SELECT DISTINCT hash FROM asset))
         SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'second' ELSE 'first ' || hash END AS content,

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from math import ceil
 from typing import Any
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,7 @@ def register(
     recursive: bool = False,
     content: str | None = None,
     label: str | None = None,
+    profile: ResourceProfile | None = None,
 ) -> Registration:
     """Register new files and their tags as one batch.
 
@@ -135,7 +137,7 @@ def register(
     when the files that remain are too many to broadcast. Nothing is written when no file is valid,
     all are known, or none succeeds.
 
-    A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
+    With a resource ``profile`` the scorer runs on executors that have what it asks for. A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
     off, its metadata and scores are found and used again.
     """
     spark = registry.spark
@@ -175,11 +177,11 @@ def register(
     def scores(of: DataFrame, n: int, size: int) -> DataFrame:
         if content is None:
             spread = of.repartition(scoring_tasks(registry, n, size), "hash")
-            return score_assets(spread, scorer, content=None, threshold=threshold)
+            return score_assets(spread, scorer, content=None, threshold=threshold, profile=profile)
         bytes_of = files.select("path", F.col(content).alias("content"))
         with_bytes = lookup_join(bytes_of, of, ["path"], "inner")
         # a table of files may list one twice
-        return score_assets(with_bytes, scorer, threshold=threshold).dropDuplicates(["hash"])
+        return score_assets(with_bytes, scorer, threshold=threshold, profile=profile).dropDuplicates(["hash"])
 
     plan = scores(fresh, kept.rows, kept.bytes)
     before = _found(registry, folder, "scored", plan.schema)

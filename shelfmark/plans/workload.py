@@ -124,6 +124,16 @@ def dedup_against_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.against_registry(incoming, _known(spark, sf_dir))
 
 
+@query
+def dedup_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check against a stored registry in buckets by hash, as for two sides too large to broadcast."""
+    registry = _registry(spark, "dedup")
+    registry.add_images(staged(data.known_files(spark, sf_dir).drop("image_id"), "known"))
+    registry.compact("images", buckets=_buckets(spark))
+    incoming = data.assets(spark, sf_dir).select("image_id", "hash")
+    return dedup.against_registry(incoming, registry.images(), most_bytes=0)
+
+
 @query
 def dedup_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = data.assets(spark, sf_dir).select("image_id", "hash", "file_location")
@@ -394,6 +404,10 @@ def _registry(spark: SparkSession, name: str) -> Registry:
     return Registry(spark, new_workspace(spark, name)).init()
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _stored(registry: Registry) -> DataFrame:
     images = registry.images().select("image_id", "file_location", "width", "height", "hash")
     return registry.model_tags().join(images, "image_id")
@@ -510,6 +524,25 @@ def registry_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.model_tags()
 
 
+@query
+def bucket_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by their tags, and tags without a large image, over stored tables in buckets."""
+    registry = _registry(spark, "buckets")
+    registry.add_images(staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files"))
+    images = registry.images()
+    sizes = [(F.lit("size"), F.col("width") % 7), (F.lit("shape"), F.col("height") % 3)]
+    for category, value in sizes:
+        tag = F.concat(F.lit("v"), value)
+        registry.upsert_tags(images.select("image_id", category.alias("category"), tag.alias("tag"), F.lit(0.5).alias("score")))
+    for name in ("images", "model_tags"):
+        registry.compact(name, buckets=_buckets(spark))
+    stored, tagged = registry.images(), registry.model_tags()
+    wanted = spark.createDataFrame([("size", "v2"), ("shape", "v0")], "category string, tag string")
+    found = lookups.images_by_tags(stored, tagged, wanted).select("image_id", "hash")
+    lone = checks.orphans(tagged, stored.where("height > 2"))
+    return found.join(lone, "image_id", "full")
+
+
 @query
 def registry_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of a stored catalogue, replaced for every second image, beside what look-ups find."""

@@ -4,7 +4,7 @@ Layout below ``root``:
 
 * ``<table>/batch=<id>-<part>-<unique>`` holds the rows of one write. An ``insert`` part has new keys only;
   a ``change`` part has whole new versions of rows, or deletions; a ``base`` part replaces all
-  that came before it.
+  that came before it, and may be dealt to buckets for joins of large tables.
 * ``commits/<id>`` is one small file, created last and never replaced. A batch without it does not
   exist for readers, so all tables of a batch appear together or not at all. Parts have unique
   names, and of two writers of the same id the second is refused.
@@ -42,7 +42,7 @@ from shelfmark.functions.columns import valid_location, valid_size, validity
 from shelfmark.operators import changes, checks
 from shelfmark.operators.dedup import HASH_ROW_BYTES, duplicate_hashes
 from shelfmark.operators.joins import lookup_join
-from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES, UPDATABLE_COLUMNS
+from shelfmark.schema import NEW_IMAGE_COLUMNS, TABLES, UPDATABLE_COLUMNS, Table
 from shelfmark.session import empty_table, staged_with_counts
 
 INSERT, CHANGE, BASE = "insert", "change", "base"
@@ -67,6 +67,7 @@ class Part:
     kind: str
     path: str
     rows: int
+    buckets: int = 0
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,11 @@ class Registry:
         """Current rows of a table."""
         layout = TABLES[table]
         parts = [p for p in (state or self.state()).parts if p.table == table and p.rows]
-        plain = self._scan([p.path for p in parts if p.kind != CHANGE], layout.schema)
+        whole = [p for p in parts if p.kind != CHANGE]
+        if len(whole) == 1 and whole[0].buckets:
+            plain = self._scan_buckets(whole[0], layout)
+        else:
+            plain = self._scan([p.path for p in whole], layout.schema)
         changed = [p.path for p in parts if p.kind == CHANGE]
         if not changed:
             return plain
@@ -202,6 +207,19 @@ class Registry:
             return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*[os.path.join(self.root, p) for p in paths])
 
+    def _scan_buckets(self, part: Part, layout: Table) -> DataFrame:
+        """A part of buckets: joins and groupings by its column need no shuffle of it."""
+        name = f"buckets_{uuid.uuid4().hex}"
+        path = os.path.join(self.root, part.path).replace("'", "\\'")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layout.schema)
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({layout.bucket}) INTO {part.buckets} BUCKETS "
+            f"LOCATION '{path}'"
+        )
+        rows = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name alone; the frame keeps the files and their buckets
+        return rows
+
     def images(self) -> DataFrame:
         return self.read("images")
 
@@ -261,15 +279,24 @@ class Registry:
         with self.batch() as batch:
             batch.archive_tags(keys, archived)
 
-    def compact(self, table: str) -> None:
-        """Rewrite the current rows as one base, laid out for lookups by the table's sort order."""
+    def compact(self, table: str, buckets: int = 0) -> None:
+        """Rewrite the current rows as one base, laid out for lookups by the table's sort order.
+
+        With ``buckets`` the rows are dealt by the table's bucket column instead, images by hash and all
+        else by image_id: until the next part comes, the check of new hashes shuffles only the new ones, and
+        joins of tags with images do not shuffle the tags. Take at least as many as a shuffle has partitions.
+        """
         state = self.state()
         parts = [p for p in state.parts if p.table == table]
-        if len(parts) < 2 and all(p.kind == BASE for p in parts):
+        if len(parts) < 2 and all(p.kind == BASE and p.buckets == buckets for p in parts):
             return
         with self.batch(state=state) as batch:
-            rows = self.read(table, state).repartitionByRange(*TABLES[table].sort)
-            batch.write(table, BASE, rows, rebalance=False)
+            rows = self.read(table, state)
+            if buckets:
+                rows = rows.repartition(buckets, TABLES[table].bucket)
+            else:
+                rows = rows.repartitionByRange(*TABLES[table].sort)
+            batch.write(table, BASE, rows, rebalance=False, buckets=buckets)
 
 
 @dataclass
@@ -302,7 +329,7 @@ class Batch:
         return self.registry.read(table, self.before.with_parts(self.parts))
 
     def write(
-        self, table: str, kind: str, rows: DataFrame, rebalance: bool = True
+        self, table: str, kind: str, rows: DataFrame, rebalance: bool = True, buckets: int = 0
     ) -> DataFrame:
         """Write one part, sorted inside its files, and count it on the way.
 
@@ -320,8 +347,14 @@ class Batch:
         for column in LOOKUP_COLUMNS:
             if column in TABLES[table].columns:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-        writer.parquet(os.path.join(self.registry.root, path))
-        self.parts.append(Part(table, kind, path, seen.get["rows"]))
+        if buckets:
+            column, taken = TABLES[table].bucket, f"buckets_{uuid.uuid4().hex}"
+            writer = writer.bucketBy(buckets, column).sortBy(column)
+            writer.option("path", os.path.join(self.registry.root, path)).saveAsTable(taken)
+            self.registry.spark.sql(f"DROP TABLE {taken}")
+        else:
+            writer.parquet(os.path.join(self.registry.root, path))
+        self.parts.append(Part(table, kind, path, seen.get["rows"], buckets))
         return self.registry._scan([path], rows.schema)
 
     def write_changes(self, table: str, rows: DataFrame, op: str) -> DataFrame:

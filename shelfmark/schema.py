@@ -64,11 +64,13 @@ UPDATABLE_COLUMNS = ("file_location", "width", "height", "file_type", "file_size
 
 @dataclass(frozen=True)
 class Table:
-    """One catalogue table: its columns, its key and the order of rows inside its files."""
+    """One catalogue table: its columns, its key, the order of rows inside its files, and the column by which
+    its rows are dealt to buckets where that is asked for."""
 
     schema: T.StructType
     key: tuple[str, ...]
     sort: tuple[str, ...]
+    bucket: str = "image_id"
 
     @property
     def columns(self) -> list[str]:
@@ -78,7 +80,7 @@ class Table:
 TAG_KEY = ("image_id", "category", "tag")
 
 TABLES: dict[str, Table] = {
-    "images": Table(IMAGES, ("image_id",), ("image_id",)),
+    "images": Table(IMAGES, ("image_id",), ("image_id",), "hash"),
     "model_tags": Table(MODEL_TAGS, TAG_KEY, ("category", "tag", "image_id")),
     "manual_tags": Table(MANUAL_TAGS, TAG_KEY, ("category", "tag", "image_id")),
     "notes": Table(NOTES, ("image_id",), ("image_id",)),

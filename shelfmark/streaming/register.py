@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,6 +35,7 @@ def stream_register(
     content: str | None = None,
     on_batch: Callable[[int, Registration], None] | None = None,
     available_now: bool = True,
+    profile: ResourceProfile | None = None,
 ) -> StreamingQuery:
     """Register each micro-batch of a file stream before the next one starts.
 
@@ -45,7 +47,7 @@ def stream_register(
     as skipped. What it has new, or changed, goes through in lots of bounded size, each a commit of its
     own; ``on_batch`` is called for each lot, with its position in the result. Files that could not be read
     or scored come again in the next micro-batches, a bounded number of times. Other streams are Spark's.
-    Tables of many parts are merged on the way.
+    Tables of many parts are merged on the way. A resource ``profile`` is for the scorer, as in ``register``.
     """
 
     def run(batch: DataFrame, number: int, label: str, position: Position | None = None) -> Registration:
@@ -58,6 +60,7 @@ def stream_register(
             on_duplicate=on_duplicate,
             content=content,
             label=f"{name}:{label}",
+            profile=profile,
         )
         result = replace(result, position=position)
         if on_batch:

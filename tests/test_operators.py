@@ -414,3 +414,15 @@ def test_tag_lookups(spark):
     manual = spark.createDataFrame([(3, "x", "y")], "image_id long, category string, tag string")
     union = lookups.all_tags(found, manual)
     assert rows(union.where("source = 'manual'")) == [(3, "x", "y", None, None, "manual")]
+
+
+def test_the_scorer_can_have_a_profile_of_its_own(spark):
+    """Only the stage that scores asks for more; the plan is not run here."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    df = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    scored = scoring.score_assets(df, lambda: len, profile=profile)
+    node = scored._jdf.queryExecution().analyzed()
+    assert node.nodeName() == "MapInArrow" and node.profile().get().id() == profile.id
+    assert scoring.score_assets(df, lambda: len)._jdf.queryExecution().analyzed().profile().isEmpty()

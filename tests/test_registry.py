@@ -15,7 +15,7 @@ from shelfmark.errors import (
     ImageNotFoundError,
     InvalidRowError,
 )
-from shelfmark.operators import lookups
+from shelfmark.operators import checks, dedup, joins, lookups
 from shelfmark.registry import COMMITS_PER_SNAPSHOT, Part, Registry
 from shelfmark.schema import TABLES
 
@@ -327,3 +327,68 @@ def test_views_and_tables(spark, registry, three_images):
     assert {"cat_" + r.name for r in registry.tables().collect()} <= {
         r.tableName for r in spark.sql("SHOW TABLES").collect()
     }
+
+
+# ---- buckets ----------------------------------------------------------------------------------
+
+
+def exchanges(df):
+    """Shuffles of the plan as it would be run, by what they deal by."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    return [m.replace("#", " ").split()[0] for m in re.findall(r"Exchange hashpartitioning\(([^,]*),", plan)]
+
+
+@pytest.fixture
+def nothing_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture
+def catalogue(spark, registry):
+    """Fifty images with two tags each, in buckets."""
+    images = [(f"/f/{i}.png", i + 1, 5, "png", f"{i:064x}", 10) for i in range(50)]
+    registry.add_images(spark.createDataFrame(images, IMAGE_COLUMNS))
+    tags = [(i, c, f"t{i % 4}", 0.5) for i in range(1, 51) for c in ("x", "y")]
+    registry.upsert_tags(spark.createDataFrame(tags, "image_id bigint, category string, tag string, score double"))
+    for table in ("images", "model_tags"):
+        registry.compact(table, buckets=4)
+    return registry
+
+
+def test_new_hashes_alone_are_shuffled_against_buckets(spark, catalogue, nothing_broadcast):
+    new = spark.createDataFrame([(f"{i:064x}", i) for i in range(40, 60)], "hash string, n int")
+    left = dedup.against_registry(new, catalogue.images())
+    assert exchanges(left) == ["hash"]
+    assert sorted(r.n for r in left.collect()) == list(range(50, 60))
+
+
+def test_tags_in_buckets_stay_where_they_are(spark, catalogue, nothing_broadcast):
+    images, tags = catalogue.images(), catalogue.model_tags()
+    assert exchanges(tags.groupBy("image_id").count()) == []
+    found = lookups.images_by_tag(images, tags, "t1", "x")
+    assert exchanges(found) == ["image_id"] and found.count() == 13  # the images alone
+    lone = checks.orphans(tags, images.where("width <= 40"))
+    assert set(exchanges(lone)) == {"image_id"} and len(exchanges(lone)) == 1
+    assert sorted(map(tuple, lone.collect())) == [(i, 2) for i in range(41, 51)]
+
+
+def test_buckets_end_with_the_next_part_and_come_back(spark, catalogue):
+    more = [("/f/new.png", 1, 5, "png", "f" * 64, 10)]
+    catalogue.add_images(spark.createDataFrame(more, IMAGE_COLUMNS))
+    assert catalogue.images().count() == 51
+    catalogue.update_images(catalogue.images().where("image_id = 3").withColumn("width", F.lit(99)))
+    catalogue.compact("images", buckets=8)
+    rows_ = catalogue.images().collect()
+    assert len(rows_) == 51 and {r.width for r in rows_ if r.image_id == 3} == {99}
+    before = len(catalogue.state().parts)
+    catalogue.compact("images", buckets=8)  # nothing to do
+    assert len(catalogue.state().parts) == before
+    catalogue.compact("images")
+    assert catalogue.images().count() == 51 and not catalogue.state().parts[-1].buckets
+    assert not spark.catalog.listTables()
