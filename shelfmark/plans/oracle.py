@@ -250,6 +250,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN lang = 'es' THEN 'LookupError: es' END AS error FROM documents""",
     "register_files": REGISTERED_FILES,
     "stream_register": REGISTERED_FILES,
+    "stream_state": f"SELECT category, tag, score, width, height, hash FROM ({REGISTERED_FILES})",
     "stream_files": f"""SELECT category, tag, score, width, height, hash
         FROM ({_registered(f"id % {EMPTY_EVERY} <> 0")})""",
     "commit_atomic": f"""WITH {ASSET}

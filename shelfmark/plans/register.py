@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from math import ceil
 from typing import Any
@@ -22,7 +23,7 @@ from shelfmark.operators.metadata import extract_metadata, file_metadata, skippe
 from shelfmark.operators.outcome import FAILURE, SUCCESS, classify, count_columns
 from shelfmark.operators.scoring import ScorerFactory, score_assets
 from shelfmark.operators.tags import decode_hits, to_tag_rows
-from shelfmark.registry import Registry
+from shelfmark.registry import Registry, State
 from shelfmark.schema import DEFAULT_THRESHOLD, NEW_IMAGE_COLUMNS
 from shelfmark.session import new_workspace, shared_dir, staged, staged_with_counts
 from shelfmark.sources.files import list_files
@@ -127,6 +128,7 @@ def register(
     content: str | None = None,
     label: str | None = None,
     profile: ResourceProfile | None = None,
+    unknown: Callable[[DataFrame, State], DataFrame] | None = None,
 ) -> Registration:
     """Register new files and their tags as one batch.
 
@@ -137,7 +139,8 @@ def register(
     when the files that remain are too many to broadcast. Nothing is written when no file is valid,
     all are known, or none succeeds.
 
-    With a resource ``profile`` the scorer runs on executors that have what it asks for. A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
+    ``unknown`` may take the place of the check against the registered hashes: it gives the rows whose hash is
+    not registered in a state of the registry. With a resource ``profile`` the scorer runs on executors that have what it asks for. A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
     off, its metadata and scores are found and used again.
     """
     spark = registry.spark
@@ -158,9 +161,12 @@ def register(
         metadata, found = staged_with_counts(facts, "metadata", rows, skipped, folder=folder)
     else:
         found = metadata.agg(rows, skipped).first()
-    known = registry.read("images", state).select("hash")
     valid = valid_files(metadata)
-    fresh = fresh_files(valid, known, on_duplicate, state.rows("images"))
+    if unknown is None:
+        known = registry.read("images", state).select("hash")
+        fresh = fresh_files(valid, known, on_duplicate, state.rows("images"))
+    else:
+        fresh = within_batch(unknown(valid, state), on_duplicate)
     size = F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")
     fresh, kept = staged_with_counts(fresh, "fresh", rows, size, folder=folder)
     result = Registration(

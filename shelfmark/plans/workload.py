@@ -465,6 +465,24 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(registry).select("category", "tag", "score", "width", "height", "hash")
 
 
+@query
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents are registered first; a stream of all of them then asks a state for their hashes."""
+    registry = _registry(spark, "stream-state")
+    words = data.vocab(spark, sf_dir)
+    labelled = data.table(spark, sf_dir, "labels").select("doc_id")
+    documents = data.table(spark, sf_dir, "documents")
+    first = data.as_image(documents.join(labelled, "doc_id", "left_semi"))
+    register(registry, first, data.letter_scorer, words, threshold=VOWEL_THRESHOLD, content="content")
+    stream = spark.readStream.schema(documents.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    streaming.stream_register(
+        registry, data.as_image(stream), data.letter_scorer, words, new_workspace(spark, "stream-hashes"),
+        threshold=VOWEL_THRESHOLD, content="content", state_from_bytes=-1,
+    ).awaitTermination()
+    # numbers and, of copies, the file that is kept depend on which of them came first
+    return _stored(registry).select("category", "tag", "score", "width", "height", "hash")
+
+
 @query
 def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit of work that fails leaves no image; the one after it stores images and tags."""

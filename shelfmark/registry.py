@@ -72,17 +72,20 @@ class Part:
 
 @dataclass(frozen=True)
 class State:
-    """What the commit records add up to. Its size grows with batches, not with rows."""
+    """What the commit records add up to since the catalogue was last emptied. Its size grows with batches,
+    not with rows."""
 
     batch_id: int = -1
     next_image_id: int = 1
     parts: tuple[Part, ...] = ()
     labels: frozenset[str] = frozenset()
+    since: int = 0
 
     @staticmethod
     def from_record(record: dict) -> State:
         parts = tuple(Part(**part) for part in record["parts"])
-        return State(record["batch_id"], record["next_image_id"], parts, frozenset(record["labels"]))
+        labels = frozenset(record["labels"])
+        return State(record["batch_id"], record["next_image_id"], parts, labels, record.get("since", 0))
 
     def record(self) -> dict:
         return {
@@ -90,6 +93,7 @@ class State:
             "next_image_id": self.next_image_id,
             "parts": [asdict(part) for part in self.parts],
             "labels": sorted(self.labels),
+            "since": self.since,
         }
 
     def with_parts(self, parts: Sequence[Part]) -> State:
@@ -163,7 +167,7 @@ class Registry:
                 continue
             record = json.loads(text)
             found = True
-            state = State() if record["reset"] else state
+            state = State(since=number) if record["reset"] else state
             labels = state.labels | ({record["label"]} if record["label"] else set())
             state = replace(
                 state.with_parts([Part(**part) for part in record["parts"]]),

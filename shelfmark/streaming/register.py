@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,11 +10,14 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfmark.operators.dedup import HASH_ROW_BYTES
+from shelfmark.operators.joins import MAX_BROADCAST_BYTES
 from shelfmark.operators.scoring import ScorerFactory
 from shelfmark.plans.register import Registration, register
 from shelfmark.registry import Registry
 from shelfmark.schema import DEFAULT_THRESHOLD
 from shelfmark.sources.files import FileStream, read_files
+from shelfmark.streaming.hash_state import HashState
 from shelfmark.streaming.rounds import Position, Rounds
 
 # Seconds between two listings of a folder.
@@ -36,6 +40,7 @@ def stream_register(
     on_batch: Callable[[int, Registration], None] | None = None,
     available_now: bool = True,
     profile: ResourceProfile | None = None,
+    state_from_bytes: int = MAX_BROADCAST_BYTES,
 ) -> StreamingQuery:
     """Register each micro-batch of a file stream before the next one starts.
 
@@ -48,7 +53,12 @@ def stream_register(
     own; ``on_batch`` is called for each lot, with its position in the result. Files that could not be read
     or scored come again in the next micro-batches, a bounded number of times. Other streams are Spark's.
     Tables of many parts are merged on the way. A resource ``profile`` is for the scorer, as in ``register``.
+
+    Micro-batches are checked against the registry's hashes by a broadcast as long as these have at most
+    ``state_from_bytes``, and beyond that against Spark's state store, which has one mark for each of them below
+    ``checkpoint``: a micro-batch then reads no more of a larger registry. Take the RocksDB store for that.
     """
+    hashes = HashState(registry, os.path.join(checkpoint, "hashes"))
 
     def run(batch: DataFrame, number: int, label: str, position: Position | None = None) -> Registration:
         result = register(
@@ -61,6 +71,7 @@ def stream_register(
             content=content,
             label=f"{name}:{label}",
             profile=profile,
+            unknown=hashes.unknown if registry.state().rows("images") * HASH_ROW_BYTES > state_from_bytes else None,
         )
         result = replace(result, position=position)
         if on_batch:

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from builders import png
+from pyspark.sql import functions as F
 from test_register import last_byte_scorer, many, stored, vocab  # noqa: F401
 
 from shelfmark.plans.register import register
@@ -186,3 +187,74 @@ def test_a_stream_goes_on_until_it_is_stopped(registry, follow, monkeypatch):
 
 def staged_vocab(spark):
     return staged(spark.createDataFrame([(0, "last", "general")], "idx int, tag string, category string"), "vocab")
+
+
+# ---- the registry's hashes as state -------------------------------------------------------------
+
+
+@pytest.fixture
+def hashes(spark, registry, tmp_path):
+    from shelfmark.streaming.hash_state import HashState
+
+    state = HashState(registry, str(tmp_path / "hashes"))
+
+    def ask(*numbers):
+        rows_ = spark.createDataFrame([(f"{n:064x}", n) for n in numbers], "hash string, n int")
+        return sorted(r.n for r in state.unknown(rows_, registry.state()).collect())
+
+    ask.folder = tmp_path / "hashes"
+    return ask
+
+
+def add(registry, *numbers):
+    rows_ = [(f"/f/{n}.png", 1, 1, "png", f"{n:064x}", 1) for n in numbers]
+    columns = "file_location string, width int, height int, file_type string, hash string, file_size bigint"
+    registry.add_images(registry.spark.createDataFrame(rows_, columns))
+
+
+def test_state_follows_commits_of_all_kinds(spark, registry, hashes):
+    assert hashes(1, 2) == [1, 2] and hashes(1, 1, 2) == [1, 1, 2]  # asking does not make known
+    add(registry, 1, 2, 3)
+    assert hashes(1, 2, 4) == [4]
+    registry.remove_images(registry.images().where("file_location = '/f/2.png'"))
+    assert hashes(1, 2, 3) == [2]
+    registry.update_images(registry.images().where("file_location = '/f/3.png'").withColumn("width", F.lit(7)))
+    add(registry, 2, 5)
+    assert hashes(1, 2, 3, 4, 5) == [4]
+    registry.remove_images(registry.images().where("file_location = '/f/5.png'"))
+    registry.compact("images")
+    assert hashes(1, 2, 3, 4, 5) == [4, 5]
+    assert hashes() == []
+    registry.init(overwrite=True)
+    assert hashes(1, 2) == [1, 2] and len(os.listdir(hashes.folder)) == 1
+
+
+def test_rows_read_do_not_grow_with_the_registry(spark, registry, hashes, monkeypatch):
+    from shelfmark.streaming import hash_state
+
+    fed = []
+    feed = hash_state.HashState._feed
+
+    def counted(self, root, rows_):
+        fed.append(rows_.count())
+        feed(self, root, rows_)
+
+    monkeypatch.setattr(hash_state.HashState, "_feed", counted)
+    add(registry, *range(500))
+    assert hashes(1, 600) == [600] and fed == [500, 2]  # the first question feeds all
+    for n in (600, 601):
+        add(registry, n)
+        del fed[:]
+        assert hashes(5, n, 700) == [700] and fed == [1, 3]
+
+
+def test_stream_with_state_equals_batch(spark, registry, vocab, follow, tmp_path):  # noqa: F811
+    many(follow.root, 0, 8)
+    follow(state_from_bytes=-1, files_per_batch=4)
+    many(follow.root, 8, 14)
+    with pytest.raises(Exception, match="lost"):
+        follow(state_from_bytes=-1, files_per_batch=4, fail=True)
+    follow(state_from_bytes=-1, files_per_batch=4)
+    other = Registry(spark, str(tmp_path / "other")).init()
+    register(other, str(follow.root), last_byte_scorer, vocab)
+    assert stored(registry) == stored(other)
