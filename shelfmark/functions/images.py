@@ -1,23 +1,19 @@
 """Width and height from an image header.
 
-For bytes in a table, formats with the size at a fixed offset are column expressions; a Pandas UDF
-follows the segments of JPEG and TIFF, on the first bytes and only where these end too early on the
-whole file. Tasks that read files themselves follow those segments as they read.
+For bytes in a table all formats are column expressions; for JPEG and TIFF these follow the chain of
+segments step by step. Tasks that read files themselves follow the chain in Python as they read.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Size = tuple[int, int]
 
-SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
-
 # Leading bytes of each format; WebP names its variant at byte 8.
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 PNG_FIRST_CHUNK = b"IHDR"
@@ -44,8 +40,11 @@ TIFF_WIDTH, TIFF_LENGTH = 256, 257
 TIFF_SHORT, TIFF_LONG = 3, 4
 
 
-# Bytes of a JPEG or TIFF that are looked at first; the whole file follows if they do not tell.
+# Bytes of a JPEG or TIFF file that are looked at first; more follow if they do not tell.
 CHAIN_PREFIX = 64 * 1024
+# Steps of a JPEG chain that are taken at once; the root of more steps than a value has bytes, for the few
+# chains that go on after those.
+FIRST_STEPS, MORE_STEPS = 24, 1300
 
 
 class CutShort(Exception):
@@ -94,23 +93,6 @@ def chained_size(data: bytes) -> Size | None:
         raise CutShort from error
 
 
-CHAINED = T.StructType([*SIZE.fields, T.StructField("cut", T.BooleanType())])
-
-
-@F.pandas_udf(CHAINED)
-def chained_sizes(contents: pd.Series) -> pd.DataFrame:
-    """Struct (width, height, cut) of JPEG and TIFF bytes; cut: more bytes could tell."""
-    rows = []
-    for data in contents:
-        try:
-            width, height = (chained_size(data) if data is not None else None) or (None, None)
-            rows.append((width, height, False))
-        except CutShort:
-            rows.append((None, None, True))
-    frame = pd.DataFrame(rows, columns=CHAINED.names)
-    return frame.astype({"width": "Int64", "height": "Int64", "cut": bool})
-
-
 def starts_with(content: Column, magic: bytes) -> Column:
     return F.substring(content, 1, len(magic)) == F.lit(bytearray(magic))
 
@@ -165,9 +147,85 @@ def fixed_size(content: Column) -> Column:
     )
 
 
-def is_chained(content: Column) -> Column:
-    """JPEG and TIFF keep their size in chains of segments that may reach anywhere."""
-    found = starts_with(content, JPEG_MAGIC)
-    for magic in TIFF_MAGICS:
-        found = found | starts_with(content, magic)
-    return found
+def _number(content: Column, start: Column, size: int, little: bool) -> Column:
+    """The same at an offset that is a column."""
+    first = start.cast("int") + 1
+    digits = [F.hex(F.substr(content, first + i, F.lit(1))) for i in range(size)]
+    value = F.conv(F.concat(*(reversed(digits) if little else digits)), 16, 10).cast("bigint")
+    return F.when((start >= 0) & (start + size <= F.length(content)), value)
+
+
+def _followed(content: Column) -> Column:
+    """Struct (pos, width, height) after the walk over a JPEG's marker segments; pos is below zero once it is over."""
+    frames, bare = ([f"{m:02X}" for m in sorted(marks)] for marks in (JPEG_FRAMES, JPEG_BARE))
+
+    def at(pos: Column, width: Column | None = None, height: Column | None = None) -> Column:
+        none = F.lit(None).cast("bigint")
+        width, height = none if width is None else width, none if height is None else height
+        return F.struct(pos.cast("bigint").alias("pos"), width.alias("width"), height.alias("height"))
+
+    def step(state: Column, _: Column) -> Column:
+        pos = state["pos"]
+        # marker, length of the segment, and in a frame its precision, height and width
+        head = F.hex(F.substr(content, pos.cast("int") + 1, F.lit(9)))
+        marker = F.substring(head, 3, 2)
+
+        def digits(start: int) -> Column:
+            return F.conv(F.substring(head, start, 4), 16, 10).cast("bigint")
+
+        over = at(F.lit(-1))
+        return (
+            F.when(pos < 0, state)
+            .when((pos >= F.length(content)) | ~head.startswith("FF") | (F.length(head) < 4), over)
+            .when(marker.isin(frames), F.when(F.length(head) == 18, at(F.lit(-1), digits(15), digits(11))).otherwise(over))
+            .when(marker == "FF", at(pos + 1))
+            .when(marker.isin(bare), at(pos + 2))
+            .when(F.length(head) < 8, over)
+            .otherwise(at(pos + 2 + digits(5)))
+        )
+
+    def repeated(inner: Callable[[Column, Column], Column], times: int) -> Callable[[Column, Column], Column]:
+        def loop(state: Column, _: Column) -> Column:
+            return F.when(state["pos"] < 0, state).otherwise(
+                F.aggregate(F.sequence(F.lit(1), F.lit(times)), state, inner)
+            )
+
+        return loop
+
+    first = repeated(step, FIRST_STEPS)
+    rest = step
+    for _ in range(3):
+        rest = repeated(rest, MORE_STEPS)
+    return F.aggregate(F.array(F.lit(0), F.lit(1)), at(F.lit(2)), lambda state, i: F.when(i == 0, first(state, i)).otherwise(rest(state, i)))
+
+
+def _directory(content: Column, little: bool) -> Column:
+    """Struct (width, height) from a TIFF's first image directory."""
+    start = _number(content, F.lit(4), 4, little)
+    fields = _number(content, start, 2, little)
+    whole = (fields == 0) | (start + 2 + 12 * (fields - 1) + 4 <= F.length(content))
+    entries = F.transform(F.sequence(F.lit(0), fields - 1), lambda i: start + 2 + 12 * i)
+
+    def side(number: int) -> Column:
+        named = F.filter(
+            entries,
+            lambda e: (_number(content, e, 2, little) == number) & _number(content, e + 2, 2, little).isin(TIFF_SHORT, TIFF_LONG),
+        )
+        last = F.get(F.slice(named, -1, 1), F.lit(0))
+        short = _number(content, last + 2, 2, little) == TIFF_SHORT
+        return F.when(short, _number(content, last + 8, 2, little)).otherwise(_number(content, last + 8, 4, little))
+
+    found = F.struct(side(TIFF_WIDTH).alias("width"), side(TIFF_LENGTH).alias("height"))
+    both = F.filter(F.array(found), lambda f: f["width"].isNotNull() & f["height"].isNotNull())
+    return F.when(whole & (fields > 0), F.get(both, F.lit(0)))
+
+
+def chained_sides(content: Column) -> Column:
+    """Struct (width, height) of a JPEG or TIFF file; null for all others, or with nulls where it is not told."""
+    walked = F.when(starts_with(content, JPEG_MAGIC), _followed(content))
+    jpeg = F.transform(F.array(walked), lambda w: F.struct(w["width"].alias("width"), w["height"].alias("height")))
+    return (
+        F.when(starts_with(content, JPEG_MAGIC), F.get(jpeg, F.lit(0)))
+        .when(starts_with(content, TIFF_MAGICS[0]), _directory(content, True))
+        .when(starts_with(content, TIFF_MAGICS[1]), _directory(content, False))
+    )

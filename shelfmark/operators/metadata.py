@@ -13,7 +13,7 @@ from shelfmark.functions.columns import (
     valid_location,
     valid_size,
 )
-from shelfmark.functions.images import CHAIN_PREFIX, chained_sizes, fixed_size, is_chained
+from shelfmark.functions.images import chained_sides, fixed_size
 from shelfmark.sources.files import TOO_LARGE, probe_files
 
 # Largest width or height the images table can hold.
@@ -23,14 +23,8 @@ MAX_SIDE = 2**31 - 1
 def probe_dimensions(df: DataFrame, content: str = "content") -> DataFrame:
     """Add (width, height) read from the image header; both null for an unknown format."""
     bytes_ = F.col(content)
-    chained = F.when(is_chained(bytes_), bytes_)
-    first = df.withColumn("_first", chained_sizes(F.substring(chained, 1, CHAIN_PREFIX)))
-    longer = F.col("_first.cut") & (F.length(bytes_) > CHAIN_PREFIX)
-    whole = first.withColumn("_whole", chained_sizes(F.when(longer, bytes_)))
-    fixed = evaluated(whole, _fixed=fixed_size(bytes_))
-    return fixed.withColumns(
-        {side: F.coalesce(f"_fixed.{side}", f"_first.{side}", f"_whole.{side}") for side in ("width", "height")}
-    ).drop("_first", "_whole", "_fixed")
+    told = evaluated(df, _sides=F.coalesce(fixed_size(bytes_), chained_sides(bytes_)))
+    return told.withColumns({side: F.col(f"_sides.{side}") for side in ("width", "height")}).drop("_sides")
 
 
 def extraction_status(

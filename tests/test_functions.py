@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import struct
 
 import pytest
 from builders import bmp, bmp_os2, gif, jpeg, png, rows, tiff, webp
@@ -64,6 +66,47 @@ def test_long_jpeg_headers_are_followed_to_their_end(spark):
     assert len(chain) > CHAIN_PREFIX
 
 
+def _told(data):
+    try:
+        return chained_size(data) or (None, None)
+    except CutShort:
+        return None, None
+
+
+def test_columns_follow_chains_as_tasks_do(spark):
+    """Random segments, fill bytes, bare markers, tables of fields, and all of these cut short."""
+    rng = random.Random(6)
+
+    def segment():
+        kind = rng.choice([0xC0, 0xC2, 0xC4, 0xC8, 0xD0, 0xD8, 0x01, 0xE0, 0xE1, 0xFF, 0xFE, 0xDA])
+        size = rng.choice([0, 1, 2, 4, 9, 300])
+        return bytes([0xFF, kind, size >> 8, size & 255]) + rng.randbytes(rng.choice([0, 2, 5, 7, 298]))
+
+    def field(order):
+        number, kind = rng.choice([254, 256, 256, 257, 257, 258]), rng.choice([3, 3, 4, 4, 1])
+        return struct.pack(order + "HHII", number, kind, 1, rng.randrange(1 << 32))
+
+    contents = [b"\xff\xd8\xff\xe0\x00\x02" + b"".join(segment() for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    contents += [b"\xff\xd8" + b"\xff" * n + jpeg(7, 9)[2:] for n in (1, 50, 3000)]
+    contents += [b"\xff\xd8\xff\xd0" + b"\xff\x01" * 40 + jpeg(5, 6)[2:]]
+    for order, mark in (("<", b"II*\x00"), (">", b"MM\x00*")):
+        for _ in range(150):
+            gap, fields = rng.choice([0, 3]), [field(order) for _ in range(rng.randint(0, 8))]
+            start = rng.choice([8 + gap] * 4 + [0, 5000, 2**32 - 1])
+            told = len(fields) + rng.choice([0, 0, 0, 1, -1])
+            contents.append(mark + struct.pack(order + "I", start) + bytes(gap) + struct.pack(order + "H", max(told, 0)) + b"".join(fields))
+    contents += [c[: rng.randint(0, len(c))] for c in contents]
+    wanted = [_told(c) for c in contents]
+    assert _sizes(spark, contents) == wanted
+    assert sum(w != (None, None) for w in wanted) > 100
+
+
+def test_sizes_of_bytes_need_no_python(spark):
+    df = spark.createDataFrame([(b"x",)], "content binary")
+    plan = probe_dimensions(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 @pytest.mark.parametrize(
     ("path", "extension"),
     [
