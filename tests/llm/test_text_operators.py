@@ -334,6 +334,43 @@ def test_repeats_of_shared_and_missing_ids(spark):
     assert got == sorted([(1, 30, 0), (1, 30, 0), (1, 31, 0), (None, 30, 30), (None, 1, 0)], key=repr)
 
 
+@pytest.mark.parametrize("window", [1, 5, 13, 40, 100])
+def test_repeats_level_by_level(spark, window):
+    """Passages of 6 to 150 words that a few texts share, whole or cut, among words of their own."""
+    rng = np.random.default_rng(window)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    passages = [rng.choice(vocabulary, n).tolist() for n in (6, 14, 30, 45, 80, 101, 150)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(int(rng.integers(0, 4))):
+            text += rng.choice(vocabulary, int(rng.integers(0, 40))).tolist()
+            passage = passages[int(rng.integers(0, len(passages)))]
+            start = int(rng.integers(0, 3))
+            text += passage[start : len(passage) - int(rng.integers(0, 3))]
+        rows.append((int(rng.integers(0, 10**6)) * 100 + i, " ".join(text)))
+    lengths = doubling.levels(window)
+    assert lengths[-1] == window and all(a <= b <= 2 * a for a, b in zip(lengths, lengths[1:], strict=False))
+    got = tuples(doubling.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), window))
+    assert got == sorted(brute.without_repeats(rows, window), key=repr)
+    alone = [(i, " ".join(rng.permutation(vocabulary))) for i in range(3)]
+    got = tuples(doubling.drop_repeats(spark.createDataFrame(alone, "doc_id bigint, text string"), max(window, 30)))
+    assert [r[2] for r in got] == [0, 0, 0]
+
+
+def test_repeats_where_a_third_has_no_id(spark):
+    """Rows without doc_id lose what any other row has, and take nothing from each other; each text is a group
+    of its own."""
+    rng = np.random.default_rng(4)
+    own = [" ".join(rng.choice([f"q{i}" for i in range(2000)], 20)) for _ in range(120)]
+    rows = [(i if i % 3 else None, f"{text} {brute.PASSAGE if i % 2 else ''}") for i, text in enumerate(own)]
+    rows += [(None, own[1]), (None, own[0]), (None, own[0]), (5000, own[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    slow = brute.without_repeats([(10**6 if d is None else d, t) for d, t in rows])
+    wanted = sorted(((None if d == 10**6 else d, *rest) for d, *rest in slow), key=repr)
+    assert tuples(doubling.drop_repeats(df)) == wanted
+
+
 # 8: rules
 
 
