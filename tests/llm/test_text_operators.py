@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
@@ -88,6 +89,24 @@ def test_pieces_equal_the_library(odd):
     assert plain.ends[-1] == len(text.encode())
 
 
+def test_spans_equal_the_librarys_offsets(spark):
+    """The library tells begin and end of each piece in code points of the source text."""
+    model = queries.tokenizer_model()
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    loaded = pieces.Model(model)
+    for text in ["Hello  world, this is it.", "É ÀÇ é naïve  ▁ ▁▁ x", "漢字 and 😀 😀emoji", "tab\tand\nlines \n", " a", "a "]:
+        proto = lib.encode(text, return_type="proto")
+        ids = np.array([p.id for p in proto.pieces], np.int64)
+        begins, ends = loaded.spans(text.encode(), ids)
+        raw = text.encode()
+        for piece, begin, end in zip(proto.pieces, begins.tolist(), ends.tolist(), strict=True):
+            own = raw[begin:end].decode()
+            if piece.piece.startswith("<0x"):  # each byte of a character spans the character here
+                assert piece.surface in ("", own)
+            elif piece.begin < piece.end:
+                assert own == piece.surface, (text, piece)
+
+
 @pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
 def test_pieces_through_a_compiled_map(spark, rule):
     """The library's own maps, put into the given model: longest prefixes, trimmed white space."""
@@ -464,6 +483,52 @@ def test_edited_fingerprints(spark, odd, none):
     assert (one.doc_id, one.edited_sha256, one.near_next) == (None, sha("aba"), 1.0)
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_neighbours_where_one_id_holds_many_rows(spark, hot):
+    """Half of the rows have no doc_id, or one: they are cut into blocks by their texts' hashes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "bc", "def", "ghij"], int(rng.integers(0, 12)))) for _ in range(240)]
+    rows = [(i if i % 2 else hot, t if i % 9 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    keyed = df.select(F.coalesce("doc_id", F.lit(neighbours.NO_ID)).alias("key"), F.xxhash64("text").alias("sub"), "doc_id", "text")
+    order = sorted(((r.key, r.sub, r.text or "", r.doc_id) for r in keyed.collect()), key=lambda r: r[:3], reverse=True)
+    wanted = []
+    for i, (_, _, text, doc) in enumerate(order):
+        after, cut = order[(i + 1) % len(order)][2], len(text) // 3
+        wanted.append((doc, sha(text[: len(text) - cut] + after[:cut])))
+    got = neighbours.edited_fingerprints(df).select("doc_id", "edited_sha256")
+    assert tuples(got) == sorted(wanted, key=repr)
+    block_of = neighbours._blocks(keyed, 16)
+    sizes = np.bincount(block_of(np.array([r[0] for r in order]), np.array([r[1] for r in order])))
+    assert sizes.max() < 60
+
+
+def test_signatures_equal_a_slow_minhash(spark):
+    """Python integers, shingle by shingle and place by place; the share of equal places tells the similarity."""
+    a, b = [int(x) for x in minhash._A], [int(x) for x in minhash._B]
+    mask, step, mix = 2**64 - 1, int(minhash._STEP), int(minhash._MIX)
+
+    def slow(text):
+        found = [xxhash.xxh64_intdigest(w) for w in text.lower().encode().split()]
+        shingles = set()
+        for i in range(max(len(found) - 4, 1) if found else 0):
+            total = 0
+            for h in found[i : i + 5]:
+                total = (total * step + h) & mask
+            shingles.add((total ^ (total >> 32)) * mix & mask)
+        return [min(((s * x + y) & mask for s in shingles), default=mask) >> 24 & 0xFFFF for x, y in zip(a, b, strict=True)]
+
+    base = [f"w{i}" for i in range(300)]
+    edited = base[:40] + ["new"] + base[40:200] + base[230:]
+    texts = ["", "one", "Five words are one SHINGLE", " ".join(base), " ".join(edited), brute.PASSAGE]
+    for text in texts:
+        assert minhash.signature(text.encode()).tolist() == slow(text)
+    one, other = (minhash.signature(" ".join(x).encode()) for x in (base, edited))
+    sets = [set(minhash.shingle_hashes(" ".join(x).encode()).tolist()) for x in (base, edited)]
+    exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert abs(minhash.likeness(one, other) - exact) < 0.12
+
+
 def test_minhash_links(spark, odd):
     rng = np.random.default_rng(2)
     base = rng.choice([f"w{i}" for i in range(900)], 400).tolist()
@@ -484,7 +549,7 @@ def test_minhash_links(spark, odd):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     wanted = duck.execute(queries.ORACLE[name])
