@@ -194,6 +194,12 @@ def judge(stats: DataFrame, forest: Forest | None, threshold: float) -> DataFram
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_failed, odd, kept) for every document, repeated rows included."""
+    """(doc_id, counts, base_failed, odd, kept) for every document, repeated rows included.
+
+    Null and empty texts have no words and fail the base rules; texts are counted whole, however long. Equal
+    counts have equal verdicts. Labels that are null, or of unknown documents, are not used; for too few labels
+    see ``fit``. Rows without doc_id are judged like all others. An empty table gives an empty result; other
+    columns are left out, whatever their names.
+    """
     stats = staged(rule_counts(docs), "rules-counts")
     return judge(stats, *fit(stats, labels))

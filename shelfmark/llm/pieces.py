@@ -178,7 +178,8 @@ def encode(
 
     begins and ends are offsets into the UTF-8 text; ids_packed holds the ids as little-endian
     unsigned 32-bit integers. Null counts as empty and has only the begin and end ids. The result
-    depends on the text alone, so repeated rows give repeated results. ``model`` is the file's
+    depends on the text alone, so repeated rows give repeated results, and rows without doc_id count like
+    others. An empty table gives an empty result; other columns are left out. ``model`` is the file's
     content, so executors need not see the file.
     """
 
