@@ -348,6 +348,7 @@ class Batch:
             .observe(seen, F.count(F.lit(1)).alias("rows"))
             .write
         )
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")  # no larger than the rows ask for
         for column in LOOKUP_COLUMNS:
             if column in TABLES[table].columns:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
