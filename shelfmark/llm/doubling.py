@@ -179,26 +179,28 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     other words, joined by a space. Null texts have no words. Rows that share a doc_id do not
     remove from each other; rows without doc_id come after all others, and do not remove from each other
     either. Copies of a whole text are settled by its hash alone; the windows of the others go through the
-    levels. Hashes of a document are regrouped by doc_id and text, so rows without doc_id are as many
-    groups as they have texts. A text is hashed as a whole by one task, however long. An empty table gives an
+    levels. Hashes of a document are regrouped by doc_id and, where several rows share that, by text, so rows
+    without doc_id are as many groups as they have texts. A text is hashed as a whole by one task, however long. An empty table gives an
     empty result; other columns are left out, whatever their names.
     """
     if window < 1:
         raise ValueError("a window has one word at least")
     spark = docs.sparkSession
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
-    marks = docs.select(number.alias("id"), F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    found = marks.groupBy("text_key", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    text_hash = F.xxhash64("text").alias("t1")
+    marks = docs.select(number.alias("id"), text_hash, F.xxhash64(F.lit(1), "text").alias("t2"))
+    found = marks.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     least = staged(found.where("n > 1"), "repeat-copies")
-    copies = staged(
-        marks.join(least, ["text_key", "t2"]).where("id > least").select("id", "text_key").distinct(), "repeat-copied"
-    )
+    copies = staged(marks.join(least, ["t1", "t2"]).where("id > least").select("id", "t1").distinct(), "repeat-copied")
+    # ids of several rows, the lack of one included: only there a document is named by its text as well
+    shared = staged(marks.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("shared")), "repeat-ids")
     table = f"repeat_texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
     (
-        docs.select("doc_id", "text", number.alias("id"), F.xxhash64("text").alias("text_key"))
-        .join(copies.withColumn("copy", F.lit(True)), ["id", "text_key"], "left")
+        docs.select("doc_id", "text", number.alias("id"), text_hash).join(shared, "id", "left")
+        .join(copies.withColumn("copy", F.lit(True)), ["id", "t1"], "left")
+        .withColumn("text_key", F.when(F.col("shared"), F.col("t1")).otherwise(0))
         .select("id", "text_key", "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
         .write.bucketBy(parts, "id", "text_key").option("compression", "zstd")
         .option("path", new_workspace(spark, "repeat-texts")).saveAsTable(table)
