@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from shelfmark import storage
 from shelfmark.errors import InvalidRowError
+from shelfmark.functions.columns import content_hash
 from shelfmark.operators.changes import numbered_images
 from shelfmark.operators.dedup import against_registry, within_batch
 from shelfmark.operators.joins import lookup_join
@@ -31,6 +32,8 @@ from shelfmark.sources.files import list_files
 # Most files and bytes one scoring task is planned for.
 FILES_PER_TASK = 2000
 BYTES_PER_TASK = 512 * 1024 * 1024
+# Size of the 64-bit hash of a path in a broadcast.
+PATH_KEY_BYTES = 32
 # Marks the intermediate tables of a run that came to its end.
 DONE = "_DONE"
 
@@ -135,9 +138,9 @@ def register(
     ``files`` is a folder, all of whose files are listed, or a DataFrame (path, length, content). By
     default the tasks read the files by path, once for metadata and, those that remain, once for the
     scorer; a file that cannot be read is skipped with the reason. ``content="content"`` takes the
-    bytes from the DataFrame instead, for files that exist only there: they then go through a shuffle
-    when the files that remain are too many to broadcast. Nothing is written when no file is valid,
-    all are known, or none succeeds.
+    bytes from the DataFrame instead, for files that exist only there: these are read twice as well, and go
+    through a shuffle only when the files that remain are too many (two million) for a broadcast of 32 bytes for
+    each. Nothing is written when no file is valid, all are known, or none succeeds.
 
     ``unknown`` may take the place of the check against the registered hashes: it gives the rows whose hash is
     not registered in a state of the registry. With a resource ``profile`` the scorer runs on executors that have what it asks for. A ``label`` makes the batch a no-op when it was committed before. If a run of that label broke
@@ -184,10 +187,14 @@ def register(
         if content is None:
             spread = of.repartition(scoring_tasks(registry, n, size), "hash")
             return score_assets(spread, scorer, content=None, threshold=threshold, profile=profile)
-        bytes_of = files.select("path", F.col(content).alias("content"))
-        with_bytes = lookup_join(bytes_of, of, ["path"], "inner")
-        # a table of files may list one twice
-        return score_assets(with_bytes, scorer, threshold=threshold, profile=profile).dropDuplicates(["hash"])
+        # The bytes stay in the tasks that read them: hashes of the paths choose rows, and what a path's hash
+        # chooses in vain, or the table lists twice, goes when the scores meet the files by hash.
+        paths = of.select(F.xxhash64("path").alias("_path")).distinct()
+        bytes_of = files.select(F.xxhash64("path").alias("_path"), F.col(content).alias("content"))
+        chosen = lookup_join(bytes_of, paths, ["_path"], "left_semi", n * PATH_KEY_BYTES)
+        hashed = chosen.select("content", content_hash(F.col("content")).alias("hash"))
+        scored = score_assets(hashed, scorer, threshold=threshold, profile=profile).dropDuplicates(["hash"])
+        return of.join(scored, "hash")
 
     plan = scores(fresh, kept.rows, kept.bytes)
     before = _found(registry, folder, "scored", plan.schema)
