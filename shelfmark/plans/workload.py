@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions.columns import aspect_ratio, total_pixels, validity
 from shelfmark.operators import changes, checks, dedup, ids, lookups, metadata, outcome, scoring, tags
+from shelfmark.operators.joins import lookup_join
 from shelfmark.plans import standins as data
 from shelfmark.plans.register import fresh_files, register, registration_plan
 from shelfmark.registry import Registry
@@ -472,7 +473,7 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = data.vocab(spark, sf_dir)
     labelled = data.table(spark, sf_dir, "labels").select("doc_id")
     documents = data.table(spark, sf_dir, "documents")
-    first = data.as_image(documents.join(labelled, "doc_id", "left_semi"))
+    first = data.as_image(lookup_join(documents, labelled, ["doc_id"], "left_semi"))
     register(registry, first, data.letter_scorer, words, threshold=VOWEL_THRESHOLD, content="content")
     stream = spark.readStream.schema(documents.schema).parquet(f"{sf_dir}/documents.parque[t]")
     streaming.stream_register(

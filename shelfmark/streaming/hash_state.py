@@ -12,41 +12,30 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark import storage
 from shelfmark.operators.joins import lookup_join
 from shelfmark.registry import BASE, CHANGE, CHANGE_FIELDS, DELETE, INSERT, Part, Registry, State
 from shelfmark.schema import TABLES
 
-# A row tells that a hash is registered or not from some part on, or asks for it under a token.
+# A row tells that a hash is registered or not from some part on, or asks for it under a number and a token.
 FEED = "hash string, at bigint, known boolean, token string"
 # Parts of one batch, at most, as a power of two.
 _PARTS = 20
 
 
-def judged(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the last of what is told of a hash; gives the tokens under which an unknown one is asked for."""
-    last, tokens = None, set()
-    for frame in frames:
-        asked = frame["token"].notna()
-        tokens.update(frame["token"][asked])
-        told = frame[~asked]
-        if len(told):
-            row = told.loc[told["at"].idxmax()]
-            last = max(last or (-1, False), (int(row["at"]), bool(row["known"])))
-    if last and last[1]:
-        state.update((True,))
-    elif last and state.exists:
-        state.remove()
-    if tokens and not state.exists:
-        yield pd.DataFrame({"token": sorted(tokens), "hash": key[0]})
+def judged(fed: DataFrame) -> DataFrame:
+    """For each hash the last of what is told of it and the last question that asks for it. Aggregates of Spark's
+    own: rows of a hash are combined per task, and its row in the state is as small as one of the feed."""
+    asks = F.col("token").isNotNull()
+    return fed.groupBy("hash").agg(
+        F.max(F.when(~asks, F.struct("at", "known"))).alias("last"),
+        F.max(F.when(asks, F.struct("at", "token"))).alias("asked"),
+    )
 
 
 def _place(part: Part) -> int:
@@ -64,21 +53,30 @@ class HashState:
     def unknown(self, rows: DataFrame, state: State) -> DataFrame:
         """Rows whose hash is not registered in this state of the registry. Copies all stay."""
         bases = [_place(p) for p in state.parts if p.table == "images" and p.kind == BASE]
-        name = f"{state.since}-{max(bases, default=0)}"
+        name = f"seen-{state.since}-{max(bases, default=0)}"
         for old in storage.names(self._spark, self._folder) or []:
             if old != name:
                 storage.delete(self._spark, os.path.join(self._folder, old))
         root = os.path.join(self._folder, name)
         self._feed_commits(root, state)
-        token = uuid.uuid4().hex
-        asked = rows.where("hash IS NOT NULL").select("hash").distinct().withColumn("token", F.lit(token))
-        self._feed(root, asked)
-        self._answer(root)
+        token, number = uuid.uuid4().hex, self._next_question(root)
+        asked = rows.where("hash IS NOT NULL").select("hash").distinct()
+        self._feed(root, asked.withColumns({"token": F.lit(token), "at": F.lit(number).cast("bigint")}))
+        self._answer(root, token)
         answers = os.path.join(root, "answers", f"token={token}")
         if not storage.exists(self._spark, answers):
             return rows.limit(0)
         return lookup_join(rows, self._spark.read.schema("hash string").parquet(answers), ["hash"], "left_semi")
 
+    def _next_question(self, root: str) -> int:
+        folder = os.path.join(root, "questions")
+        before = [int(n) for n in storage.names(self._spark, folder) or []]
+        number = max(before, default=-1) + 1
+        storage.create(self._spark, os.path.join(folder, str(number)), "")
+        for old in before:
+            storage.delete(self._spark, os.path.join(folder, str(old)))
+        return number
+
     def _feed(self, root: str, rows: DataFrame) -> None:
         rest = {"at": "bigint", "known": "boolean", "token": "string"}
         given = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in rest.items() if c not in rows.columns})
@@ -104,17 +102,18 @@ class HashState:
                     self._feed(root, _told(changed.where(F.col("_op") == DELETE), _place(part), False))
         storage.create(self._spark, os.path.join(marks, str(state.batch_id)), "")
 
-    def _answer(self, root: str) -> None:
+    def _answer(self, root: str, token: str) -> None:
         answers = os.path.join(root, "answers")
 
+        lone = (F.col("asked.token") == token) & ~F.coalesce("last.known", F.lit(False))
+
         def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("append").partitionBy("token").parquet(answers)
+            answer = batch.where(lone).select("hash", F.col("asked.token").alias("token"))
+            answer.write.mode("append").partitionBy("token").parquet(answers)
 
         fed = self._spark.readStream.schema(FEED).option("cleanSource", "delete").parquet(os.path.join(root, "feed"))
-        state = fed.groupBy("hash").applyInPandasWithState(
-            judged, "token string, hash string", "known boolean", "append", GroupStateTimeout.NoTimeout
-        )
-        writer = state.writeStream.foreachBatch(keep).option("checkpointLocation", os.path.join(root, "state"))
+        state = judged(fed).writeStream.outputMode("update").foreachBatch(keep)
+        writer = state.option("checkpointLocation", os.path.join(root, "state"))
         writer.trigger(availableNow=True).start().awaitTermination()
 
 
