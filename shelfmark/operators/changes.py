@@ -15,12 +15,13 @@ from shelfmark.operators.joins import lookup_join
 from shelfmark.schema import IMAGES, NEW_IMAGE_COLUMNS, UPDATABLE_COLUMNS
 
 
-def numbered_images(new: DataFrame, start: int | Column) -> DataFrame:
-    """New image rows with ids from ``start`` and both timestamps set to now."""
-    now = F.localtimestamp()
-    numbered = assign_ids(new.select(*NEW_IMAGE_COLUMNS), start)
+def numbered_images(new: DataFrame, start: int | Column, lot: str | None = None) -> DataFrame:
+    """New image rows with ids from ``start`` and both timestamps set to now; with a column ``lot``, which stays,
+    lot by lot."""
+    now, kept = F.localtimestamp(), [lot] if lot else []
+    numbered = assign_ids(new.select(*kept, *NEW_IMAGE_COLUMNS), start, lot=lot)
     stamped = numbered.withColumn("added_at", now).withColumn("updated_at", now)
-    return stamped.select([F.col(f.name).cast(f.dataType) for f in IMAGES.fields])
+    return stamped.select(*kept, *[F.col(f.name).cast(f.dataType) for f in IMAGES.fields])
 
 
 def last_per_key(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:

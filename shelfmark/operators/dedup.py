@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,15 @@ def with_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     return joins.lookup_join(rows, hashes.select("hash").distinct(), ["hash"], "left_semi")
 
 
-def keep_first(rows: DataFrame, key: str = "hash", order: str = "file_location") -> DataFrame:
-    """One row per hash, the one with the smallest location.
+def keep_first(rows: DataFrame, key: str | Sequence[str] = "hash", order: str = "file_location") -> DataFrame:
+    """One row per hash, or other key, the one with the smallest location.
 
     An aggregation, so copies are combined before the shuffle however many one hash has.
     """
-    rest = [c for c in rows.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in rows.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest)))
-    return rows.groupBy(key).agg(first.alias("_row")).select(key, "_row.*").select(*rows.columns)
+    return rows.groupBy(*keys).agg(first.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
 def duplicate_hashes(rows: DataFrame) -> DataFrame:

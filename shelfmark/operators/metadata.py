@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +61,18 @@ def extract_metadata(files: DataFrame) -> DataFrame:
     return _metadata(probe_dimensions(hashed))
 
 
-def file_metadata(files: DataFrame) -> DataFrame:
+def file_metadata(files: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """The same, with ``error``, of listed files (path): each is read once, in its task, whatever
-    its size."""
-    probed = evaluated(probe_files(files), _fixed=fixed_size(F.col("header")))
-    return _metadata(probed.withColumns({s: F.coalesce(f"_fixed.{s}", s) for s in ("width", "height")}))
+    its size. ``kept`` columns of the files come first."""
+    probed = evaluated(probe_files(files, kept), _fixed=fixed_size(F.col("header")))
+    return _metadata(probed.withColumns({s: F.coalesce(f"_fixed.{s}", s) for s in ("width", "height")}), kept)
 
 
-def _metadata(probed: DataFrame) -> DataFrame:
+def _metadata(probed: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     location = plain_location(F.col("path"))
     told = [F.col("error")] if "error" in probed.columns else []
     return probed.select(
+        *kept,
         "path",
         location.alias("file_location"),
         F.when(F.col("width") <= MAX_SIDE, F.col("width")).cast("int").alias("width"),

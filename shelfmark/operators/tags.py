@@ -137,6 +137,6 @@ def explode_results(
     )
 
 
-def to_tag_rows(tags: DataFrame) -> DataFrame:
-    """Rows shaped like the model tag table; a fresh tag is never archived."""
-    return tags.select("image_id", "category", "tag", "score", F.lit(False).alias("archived"))
+def to_tag_rows(tags: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """Rows shaped like the model tag table, after the ``kept`` columns; a fresh tag is never archived."""
+    return tags.select(*kept, "image_id", "category", "tag", "score", F.lit(False).alias("archived"))

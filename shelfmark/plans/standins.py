@@ -149,12 +149,18 @@ def write_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        made = set()
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
-                system.create_dir(os.path.dirname(inner), recursive=True)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                inner = root.rstrip("/") + path.removeprefix(folder)
+                place = os.path.dirname(inner)
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
                 with system.open_output_stream(inner) as out:
-                    out.write(content or b"")
+                    if content.is_valid:
+                        out.write(content.as_buffer())
             yield batch.select(["path"])
 
     staged(files.mapInArrow(run, "path string"), "written")

@@ -2,7 +2,8 @@
 
 Layout below ``root``:
 
-* ``<table>/batch=<id>-<part>-<unique>`` holds the rows of one write. An ``insert`` part has new keys only;
+* ``<table>/batch=<id>-<part>-<unique>`` holds the rows of one write; ``<table>/lots=<unique>/lot=<n>/batch=...`` those of a
+  lot, of which several are written by one job. An ``insert`` part has new keys only;
   a ``change`` part has whole new versions of rows, or deletions; a ``base`` part replaces all
   that came before it, and may be dealt to buckets for joins of large tables.
 * ``commits/<id>`` is one small file, created last and never replaced. A batch without it does not
@@ -22,11 +23,11 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,6 +256,10 @@ class Registry:
         """
         return Batch(self, state or self.state(), label)
 
+    def lot_batches(self, state: State, lots: Sequence[int]) -> LotBatches:
+        """A batch for each of several lots, in their order, planned together on one state."""
+        return LotBatches(self, state, Batch(self, state).batch_id, list(lots))
+
     def add_images(self, new: DataFrame) -> DataFrame:
         with self.batch() as batch:
             return batch.add_images(new)
@@ -343,15 +348,8 @@ class Batch:
         path = os.path.join(table, name)
         seen = Observation()
         sized = rows.hint("rebalance") if rebalance else rows
-        writer = (
-            sized.sortWithinPartitions(*TABLES[table].sort)
-            .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write
-        )
-        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")  # no larger than the rows ask for
-        for column in LOOKUP_COLUMNS:
-            if column in TABLES[table].columns:
-                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        counted = sized.sortWithinPartitions(*TABLES[table].sort).observe(seen, F.count(F.lit(1)).alias("rows"))
+        writer = _with_filters(counted.write, table)
         if buckets:
             column, taken = TABLES[table].bucket, f"buckets_{uuid.uuid4().hex}"
             writer = writer.bucketBy(buckets, column).sortBy(column)
@@ -465,3 +463,47 @@ class Batch:
             raise InvalidRowError(f"{table}: a required column is null in {nulls} rows")
         if invalid:
             raise InvalidRowError(f"{table}: location, hash or size is not valid in {invalid} rows")
+
+
+@dataclass
+class LotBatches:
+    """Batches whose rows are written by one job for each table, and which are committed one by one.
+
+    The rows have a column ``lot``; those of a lot are a part of its own, below a folder that the lots share.
+    """
+
+    registry: Registry
+    before: State
+    first: int
+    lots: list[int]
+    parts: dict[int, list[Part]] = field(default_factory=dict)
+
+    def write(self, table: str, rows: DataFrame, counts: Mapping[int, int], rebalance: bool = True) -> DataFrame:
+        """Insert the rows of all lots, of which ``counts`` tells how many each has; (lot, columns) are given back."""
+        layout, number = TABLES[table], len(next(iter(self.parts.values()), []))
+        folder = os.path.join(table, f"lots={uuid.uuid4().hex}")
+        names = {lot: f"{self.first + i}-{number}-{uuid.uuid4().hex}" for i, lot in enumerate(self.lots)}
+        cells = [F.lit(cell) for pair in names.items() for cell in pair]
+        dealt = rows.select("lot", F.create_map(*cells)[F.col("lot")].alias("batch"), *layout.columns)
+        sized = dealt.hint("rebalance", F.col("lot")) if rebalance else dealt
+        writer = _with_filters(sized.sortWithinPartitions("lot", "batch", *layout.sort).write, table)
+        writer.partitionBy("lot", "batch").parquet(os.path.join(self.registry.root, folder))
+        for lot, name in names.items():
+            path = os.path.join(folder, f"lot={lot}", f"batch={name}")
+            self.parts.setdefault(lot, []).append(Part(table, INSERT, path, counts[lot]))
+        placed = [T.StructField("lot", T.IntegerType()), T.StructField("batch", T.StringType())]
+        return self.registry._scan([folder], T.StructType([*layout.schema.fields, *placed]))
+
+    def commit(self, lot: int, label: str | None, next_image_id: int) -> bool:
+        """Make a lot visible; False, and nothing done, if another writer has taken its number."""
+        number = self.first + self.lots.index(lot)
+        return self.registry._commit(number, label, next_image_id, False, self.parts[lot])
+
+
+def _with_filters(writer: DataFrameWriter, table: str) -> DataFrameWriter:
+    """With a Bloom filter for each column that look-ups name."""
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")  # no larger than the rows ask for
+    for column in LOOKUP_COLUMNS:
+        if column in TABLES[table].columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    return writer

@@ -39,14 +39,14 @@ def new_workspace(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, folder: str | None = None, by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder, or a given one below it, and read them back.
 
     Ends the lineage: later jobs, and tasks that are run again, read the table and do not repeat
-    the work behind it.
+    the work behind it. With ``by`` the rows of each value of that column have a folder of their own.
     """
     path = os.path.join(folder, name) if folder else new_workspace(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

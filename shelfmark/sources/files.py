@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from fnmatch import fnmatchcase
@@ -101,12 +101,23 @@ def scan_files(
     return read_files(list_files(spark, path, recursive, name_pattern))
 
 
-def probe_files(files: DataFrame) -> DataFrame:
-    """(path, length, hash, header, width, height, error) of listed files, of any size.
+def probe_files(files: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """(path, length, hash, header, width, height, error) of listed files, of any size, after the ``kept`` columns.
 
     Each file is read once, in pieces, and hashed as it passes; only its first bytes leave the task,
     as header. width and height are those of JPEG and TIFF files. length is what was read.
     """
+    given = files.select(*kept, "path")
+    added = [
+        T.StructField("length", T.LongType()),
+        T.StructField("hash", T.StringType()),
+        T.StructField("header", T.BinaryType()),
+        T.StructField("width", T.LongType()),
+        T.StructField("height", T.LongType()),
+        T.StructField("error", T.StringType()),
+    ]
+    schema = T.StructType([*given.schema.fields, *added])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = opener()
@@ -115,14 +126,10 @@ def probe_files(files: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                ["path", "length", "hash", "header", "width", "height", "error"],
+                [*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names
             )
 
-    return files.select("path").mapInArrow(
-        run,
-        "path string, length bigint, hash string, header binary, width bigint, height bigint, error string",
-    )
+    return given.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 from pyspark.resource import ResourceProfile
@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.dedup import HASH_ROW_BYTES
 from shelfmark.operators.joins import MAX_BROADCAST_BYTES
 from shelfmark.operators.scoring import ScorerFactory
-from shelfmark.plans.register import Registration, register
-from shelfmark.registry import Registry
+from shelfmark.plans.register import Registration, register, register_lots
+from shelfmark.registry import Registry, State
 from shelfmark.schema import DEFAULT_THRESHOLD
 from shelfmark.sources.files import FileStream, read_files
 from shelfmark.streaming.hash_state import HashState
@@ -50,7 +50,8 @@ def stream_register(
 
     A ``file_stream`` is listed in every micro-batch as in a batch run, so every file is registered or told
     as skipped. What it has new, or changed, goes through in lots of bounded size, each a commit of its
-    own; ``on_batch`` is called for each lot, with its position in the result. Files that could not be read
+    own; ``on_batch`` is called for each lot, with its position in the result. Lots of small files are read, scored
+    and written together, see ``rounds``, with the same tables as one by one. Files that could not be read
     or scored come again in the next micro-batches, a bounded number of times. Other streams are Spark's.
     Tables of many parts are merged on the way. A resource ``profile`` is for the scorer, as in ``register``.
 
@@ -71,7 +72,7 @@ def stream_register(
             content=content,
             label=f"{name}:{label}",
             profile=profile,
-            unknown=hashes.unknown if registry.state().rows("images") * HASH_ROW_BYTES > state_from_bytes else None,
+            unknown=ask(registry.state()),
         )
         result = replace(result, position=position)
         if on_batch:
@@ -79,12 +80,33 @@ def stream_register(
         _merge_parts(registry)
         return result
 
+    def ask(state: State) -> Callable[[DataFrame, State], DataFrame] | None:
+        return hashes.unknown if state.rows("images") * HASH_ROW_BYTES > state_from_bytes else None
+
+    def together(
+        files: DataFrame, lots: Sequence[tuple[Position, str]], known: str, settle: Callable[[int, DataFrame], None]
+    ) -> Iterator[tuple[Position, Registration]]:
+        positions = {position.number: position for position, _ in lots}
+        labels = [(position.number, f"{name}:{label}") for position, label in lots]
+        results = register_lots(
+            registry, files, labels, scorer, vocab, name=f"{name}:{known}", threshold=threshold, profile=profile,
+            unknown=ask, settle=settle,
+        )
+        for number, result in results:
+            result = replace(result, position=positions[number])
+            if on_batch:
+                on_batch(number, result)
+            yield positions[number], result
+        _merge_parts(registry)
+
     def lot(paths: DataFrame, position: Position, label: str) -> Registration:
         return run(paths if content is None else read_files(paths), position.number, label, position)
 
     if isinstance(files, FileStream):
         clock = registry.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-        writer = clock.writeStream.foreachBatch(Rounds(files, lot, checkpoint).__call__)
+        # a lot that holds copies is refused alone, and bytes are read for one lot at a time
+        many = together if content is None and on_duplicate == "keep_first" else None
+        writer = clock.writeStream.foreachBatch(Rounds(files, lot, checkpoint, many).__call__)
     else:
         writer = files.writeStream.foreachBatch(lambda batch, number: run(batch, number, str(number)).release())
     writer = writer.option("checkpointLocation", checkpoint)

@@ -159,6 +159,100 @@ def test_a_lot_reads_its_own_rows_only(spark, follow, tmp_path):
     assert len(plans) == 6
 
 
+def run_lots(registry, root, state, vocab, each, on_batch=None):  # noqa: F811
+    """Counts of each lot, images and tags of a stream over a folder."""
+    told = []
+
+    def seen(number, result):
+        paths = sorted(name_of(r.path) for r in result.metadata.collect())
+        done = sorted(r.outcome for r in result.outcomes.collect()) if result.outcomes is not None else []
+        told.append((result.position, result.files, result.skipped, result.known, result.success, result.failure, result.empty, paths, done))
+        if on_batch:
+            on_batch(number)
+
+    stream = file_stream(registry.spark, str(root), files_per_batch=each)
+    stream_register(registry, stream, last_byte_scorer, vocab, str(state), on_batch=seen).awaitTermination()
+    images = sorted(registry.images().select("image_id", "file_location", "width", "height", "hash").collect())
+    tags = sorted(registry.model_tags().select("image_id", "category", "tag", "score").collect())
+    return told, images, tags
+
+
+def copies_and_failures(root):
+    """Each content comes several times: good, failing and empty ones, and files that are no images."""
+    for i in range(14):
+        content = [png(i + 1, 2, b"A"), png(1, 1, b"A"), png(2, 2, b"F"), png(3, 3, b"E"), b"no image"][i % 5]
+        (root / f"{i:02}.png").write_bytes(content)
+        os.utime(root / f"{i:02}.png", (i, i))
+
+
+def test_lots_together_equal_one_by_one(spark, registry, vocab, monkeypatch, tmp_path):  # noqa: F811
+    root = tmp_path / "files"
+    root.mkdir()
+    copies_and_failures(root)
+    found = run_lots(registry, root, tmp_path / "state", vocab, 3)
+    assert len(found[0]) == 5
+    alone = Registry(spark, str(tmp_path / "alone")).init()
+    monkeypatch.setattr(streaming, "Rounds", lambda files, work, checkpoint, many: rounds.Rounds(files, work, checkpoint))
+    assert found == run_lots(alone, root, tmp_path / "alone-state", vocab, 3)
+    assert registry.state().labels and registry.state().batch_id == alone.state().batch_id
+    assert [(p.table, p.kind, p.rows) for p in registry.state().parts] == [(p.table, p.kind, p.rows) for p in alone.state().parts]
+
+
+def test_another_writer_between_lots(spark, registry, vocab, tmp_path):  # noqa: F811
+    """What a caller commits after a lot, the lots after it see."""
+    root = tmp_path / "files"
+    root.mkdir()
+    copies_and_failures(root)
+
+    def comes_between(number):
+        if number == 0:
+            gone = registry.images().where("width = 1 and height = 1").select("image_id")
+            registry.remove_tags(gone)
+            registry.remove_images(registry.images().where("width = 1 and height = 1"))
+
+    told, images, tags = run_lots(registry, root, tmp_path / "state", vocab, 3, comes_between)
+    assert len(told) == 5 and sum(t[1] for t in told) == 14
+    assert [r.hash for r in images].count(next(r.hash for r in images if (r.width, r.height) == (1, 1))) == 1
+    assert {r.image_id for r in tags} == {r.image_id for r in images}
+    assert name_of(next(r.file_location for r in images if (r.width, r.height) == (1, 1))) == "06.png"
+
+
+def test_jobs_do_not_grow_with_lots(spark, registry, vocab, tmp_path):  # noqa: F811
+    root = tmp_path / "files"
+    root.mkdir()
+    many(root, 0, 12)
+    jobs = []
+    for each in (12, 1):
+        registry = Registry(spark, str(tmp_path / f"catalogue-{each}")).init()
+        before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+        stream = file_stream(spark, str(root), files_per_batch=each)
+        stream_register(registry, stream, last_byte_scorer, vocab, str(tmp_path / f"state-{each}")).awaitTermination()
+        jobs.append(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before)
+        assert registry.images().count() == 9
+    assert jobs[1] < jobs[0] + 24  # one by one, eleven more lots took over 200 jobs more
+
+
+def test_stretches_are_bounded_by_bytes_and_lots(spark, tmp_path, monkeypatch):
+    sizes = [10, 10, 90, 10, 10, 10, 200, 10]
+    for i, size in enumerate(sizes):
+        (tmp_path / f"{i}.bin").write_bytes(b"x" * size)
+        os.utime(tmp_path / f"{i}.bin", (i, i))
+    monkeypatch.setattr(rounds, "BYTES_TOGETHER", 100)
+    monkeypatch.setattr(rounds, "LOTS_TOGETHER", 2)
+    seen = []
+
+    def together(files, lots, known, settle):
+        placed = sorted((r.lot, name_of(r.path)) for r in files.select("lot", "path").collect())
+        seen.append(placed)
+        for position, _ in lots:
+            yield position, rounds.Registration()
+
+    state = str(tmp_path.parent / f"{tmp_path.name}-state")
+    rounds.Rounds(file_stream(spark, str(tmp_path), files_per_batch=1), None, state, together)(None, 0)
+    assert [[n for n, _ in s] for s in seen] == [[0, 1], [2, 3], [4, 5], [6], [7]]
+    assert all(name == f"{n}.bin" for s in seen for n, name in s)
+
+
 def test_streams_merge_parts(registry, follow, monkeypatch):
     monkeypatch.setattr(streaming, "MAX_PARTS", 3)
     many(follow.root, 0, 12)
