@@ -60,6 +60,17 @@ def known_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(assets(spark, sf_dir).join(labels(spark, sf_dir), "image_id", "left_semi"))
 
 
+def storable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files to store, one for each content.
+
+    A document without a text has no content and no hash, one without an id, source or language no location: such
+    files are skipped, as ``register`` skips them, so that they do not end the run of all others. Sizes may be zero
+    or unknown, since they count characters and lines.
+    """
+    files = assets(spark, sf_dir).where("file_location IS NOT NULL AND file_size IS NOT NULL")
+    return keep_first(files.drop("image_id"))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tags. Part types stand for categories; some large parts have none."""
     kind = F.col("p_type")

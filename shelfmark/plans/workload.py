@@ -547,11 +547,11 @@ def registry_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images by their tags, and tags without a large image, over stored tables in buckets."""
     registry = _registry(spark, "buckets")
-    registry.add_images(staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files"))
+    registry.add_images(staged(data.storable_files(spark, sf_dir), "files"), counted=True)
     images = registry.images()
     sizes = [(F.lit("size"), F.col("width") % 7), (F.lit("shape"), F.col("height") % 3)]
     for category, value in sizes:
-        tag = F.concat(F.lit("v"), value)
+        tag = F.concat(F.lit("v"), F.coalesce(value.cast("string"), F.lit("")))  # bare where the size is unknown
         registry.upsert_tags(images.select("image_id", category.alias("category"), tag.alias("tag"), F.lit(0.5).alias("score")))
     for name in ("images", "model_tags"):
         registry.compact(name, buckets=_buckets(spark))

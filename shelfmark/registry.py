@@ -260,9 +260,9 @@ class Registry:
         """A batch for each of several lots, in their order, planned together on one state."""
         return LotBatches(self, state, Batch(self, state).batch_id, list(lots))
 
-    def add_images(self, new: DataFrame) -> DataFrame:
+    def add_images(self, new: DataFrame, counted: bool = False) -> DataFrame:
         with self.batch() as batch:
-            return batch.add_images(new)
+            return batch.add_images(new, counted=counted)
 
     def upsert_tags(self, tags: DataFrame, table: str = "model_tags") -> None:
         with self.batch() as batch:
@@ -365,11 +365,15 @@ class Batch:
         added = [F.lit(m).cast(f.dataType).alias(f.name) for m, f in zip(marks, CHANGE_FIELDS, strict=True)]
         return self.write(table, CHANGE, rows.select(*TABLES[table].columns, *added))
 
-    def add_images(self, new: DataFrame, checked: bool = False) -> DataFrame:
-        """Insert images and give (hash, image_id). ``checked`` skips the null and hash rules."""
+    def add_images(self, new: DataFrame, checked: bool = False, counted: bool = False) -> DataFrame:
+        """Insert images and give (hash, image_id). ``checked`` skips the null and hash rules. With ``counted`` the
+        sides are counts, as of characters and lines, and may be zero or unknown, but not negative."""
         if not checked:
             nulls = checks.null_count(TABLES["images"].schema, NEW_IMAGE_COLUMNS).alias("nulls")
-            rule = validity(*[F.col(c) for c in ("file_location", "hash", "width", "height")])
+            sides = [F.col("width"), F.col("height")]
+            if counted:
+                sides = [F.coalesce(F.nullif(side, F.lit(0)), F.lit(1)) for side in sides]
+            rule = validity(F.col("file_location"), F.col("hash"), *sides)
             new, seen = staged_with_counts(
                 new.select(*NEW_IMAGE_COLUMNS), "new-images", nulls, F.count_if(rule != "ok").alias("invalid"),
                 F.count(F.lit(1)).alias("rows"),
