@@ -488,11 +488,11 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit of work that fails leaves no image; the one after it stores images and tags."""
     registry = _registry(spark, "commit")
-    images = staged(dedup.keep_first(data.assets(spark, sf_dir)), "images")
+    images = staged(data.storable_files(spark, sf_dir), "images")
 
     def store(then_fail: bool) -> None:
         with registry.batch() as batch:
-            new = batch.add_images(images).join(images.select("hash", "file_size"), "hash")
+            new = batch.add_images(images, counted=True).join(images.select("hash", "file_size"), "hash")
             size_tag = F.concat(F.lit("bytes "), "file_size").alias("tag")
             batch.upsert(
                 "manual_tags", new.select("image_id", F.lit("size").alias("category"), size_tag)
