@@ -513,8 +513,8 @@ def commit_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, update, delete, insert again and compact, through stored batches."""
     registry = _registry(spark, "changes")
-    files = staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files")
-    registry.add_images(files)
+    files = staged(data.storable_files(spark, sf_dir), "files")
+    registry.add_images(files, counted=True)
     large = registry.images().where("height >= 40")
     registry.update_images(
         large.withColumn("file_type", F.lit("long")).withColumn("width", F.lit(None).cast("int"))
@@ -522,7 +522,7 @@ def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = registry.images().where("file_type = 'txt' and height = 1")
     registry.remove_images(small)
     # Removed files come back under new ids.
-    registry.add_images(dedup.against_registry(files, registry.images()))
+    registry.add_images(dedup.against_registry(files, registry.images()), counted=True)
     registry.compact("images")
     return registry.images().drop("added_at", "updated_at")
 
