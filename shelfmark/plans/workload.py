@@ -531,16 +531,17 @@ def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of a stored catalogue: upserted, replaced, archived and removed, batch after batch."""
     registry = _registry(spark, "tags")
-    registry.add_images(staged(dedup.keep_first(data.assets(spark, sf_dir).drop("image_id")), "files"))
+    registry.add_images(staged(data.storable_files(spark, sf_dir), "files"), counted=True)
     images = registry.images()
-    side = F.concat(F.lit("w"), F.col("width") % 7)
+    unknown = F.lit("w")  # a tag has a name, also where the width has no value
+    side = F.concat(F.lit("w"), F.coalesce((F.col("width") % 7).cast("string"), F.lit("")))
     tagged = images.select("image_id", F.lit("size").alias("category"), side.alias("tag"), (F.col("image_id") % 10 / 16).alias("score"))
     registry.upsert_tags(tagged)
     thirds = tagged.where("image_id % 3 = 0").withColumn("score", F.lit(0.75))
     registry.upsert_tags(thirds.unionByName(thirds.withColumn("category", F.lit("extra"))))
     registry.archive_tags(tagged.where("image_id % 5 = 0"))
     registry.remove_tags(images.where("image_id % 7 = 0"))
-    return registry.model_tags()
+    return registry.model_tags().withColumn("tag", F.nullif("tag", unknown))
 
 
 @query

@@ -51,7 +51,7 @@ def duck(folder):
     return duck
 
 
-@pytest.mark.parametrize("name", ["bucket_lookups", "commit_atomic", "registry_changes", "registry_notes"])
+@pytest.mark.parametrize("name", ["bucket_lookups", "commit_atomic", "registry_changes", "registry_notes", "registry_tags"])
 def test_odd_documents_do_not_end_the_run(spark, duck, folder, name):
     """All documents with a text and a location are in the result as the SQL has them, sizes of zero or none included."""
     df = contract.queries()[name](spark, folder)
